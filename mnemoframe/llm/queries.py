@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import html_extract, simhash, url_filter
+from mnemoframe.llm import digest, html_extract, packing, quality, shards, simhash, url_filter
+from mnemoframe.llm.common import cut
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies; every executor has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +40,36 @@ def op4_url_digest_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, URL_HOSTS)
 
 
+def op3_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = cut(digest.fingerprints(docs), "digests")
+    groups = digest.groups(docs, found).select(F.col("doc_id").alias("_k"), "group_id")
+    out = found.join(groups, F.col("doc_id") == F.col("_k"), "left").drop("_k")
+    return out.withColumn("group_id", F.coalesce("group_id", "doc_id"))
+
+
+def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_html_text_density": op1_html_text_density,
     "op2_simhash_pivot": op2_simhash_pivot,
+    "op3_host_quality_rules": op3_host_quality_rules,
     "op4_url_digest_array": op4_url_digest_array,
+    "op5_canonical_digest": op5_canonical_digest,
+    "op8_extendible_shards": op8_extendible_shards,
+    "op10_linear_grouping_packing": op10_linear_grouping_packing,
 }
 
 _OP4_SQL = r"""
@@ -57,4 +91,57 @@ SELECT page_id, host, path, rule, CASE
   ELSE 'allow' END AS verdict FROM r
 """
 
-ORACLES = {"op4_url_digest_array": _OP4_SQL}
+_OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), g AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g, unnest(range(1, len(w) - 1)) AS i FROM d
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(3) r(k) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(l) AS n_lines,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN covered USING (doc_id)
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols * 10 > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+           OR n_dup_lines * 2 > n_lines AS failed FROM m
+), h AS (
+  SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (failed) AS DOUBLE) AS bad FROM f GROUP BY source
+), a AS (
+  SELECT sum(n) AS docs, count(*) AS hosts, sum(bad) / sum(n) AS mu FROM h
+), s AS (
+  SELECT docs, hosts, mu, sum(n * pow(bad / n - mu, 2)) AS ss, sum(n * n) AS nn FROM h, a GROUP BY docs, hosts, mu
+), b AS (
+  SELECT mu, CASE WHEN docs > nn / docs THEN (ss - (hosts - 1) * mu * (1 - mu)) / (docs - nn / docs) END AS between_hosts FROM s
+), p AS (
+  SELECT mu, greatest(1.0, least(10000.0, CASE WHEN between_hosts > 0 THEN mu * (1 - mu) / between_hosts - 1 ELSE 10000.0 END)) AS nu FROM b
+), r AS (
+  SELECT source, (bad + mu * nu) / (n + nu) AS rate FROM h, p
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.8 AS kept
+FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
+"""
+
+_OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents
+), small AS (SELECT * FROM d WHERE bytes <= 67108864), u AS (
+  SELECT *, h >> (60 - CAST(depth AS INT)) AS prefix FROM small, range(61) r(depth)
+), fits AS (
+  SELECT depth, prefix FROM u GROUP BY ALL HAVING sum(bytes) <= 67108864
+), leaf AS (
+  SELECT doc_id, bytes, h, min(depth) AS depth FROM u JOIN fits USING (depth, prefix) GROUP BY ALL
+), s AS (
+  SELECT doc_id, bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - CAST(depth AS INT))), CAST(depth AS INT), '0') END AS shard, CAST(depth AS INT) AS depth FROM leaf
+  UNION ALL SELECT doc_id, bytes, '*' || upper(to_hex(h)), 60 FROM d WHERE bytes > 67108864
+)
+SELECT doc_id, bytes, shard, depth, CAST(sum(bytes) OVER (PARTITION BY shard) AS BIGINT) AS shard_bytes,
+       count(*) OVER (PARTITION BY shard) AS shard_rows, bytes > 67108864 AS oversized FROM s
+"""
+
+ORACLES = {"op3_host_quality_rules": _OP3_SQL, "op4_url_digest_array": _OP4_SQL, "op8_extendible_shards": _OP8_SQL}
