@@ -51,3 +51,14 @@ def small(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
 def checked_text(text: str = "text"):
     """A null text as an empty one."""
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def row_key(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "_row") -> DataFrame:
+    """``docs`` with a struct that tells rows apart by key and text; equal rows share it."""
+    return docs.withColumn(out, F.struct(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t")))
+
+
+def without(docs: DataFrame, rejected: DataFrame, key: str = "_row") -> DataFrame:
+    """``docs`` without the rows whose key is in ``rejected``, null-safely."""
+    gone = small(rejected.select(F.col(key).alias("_gone")).distinct())
+    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")

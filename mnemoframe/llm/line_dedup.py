@@ -41,39 +41,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe.llm.common import cut, small
+from mnemoframe.llm.rolling import prefix_sums, window
 
 MIN_WORDS = 50
 WIDTH = 30
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
-
 
 def line_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     """Hashes of all runs of ``width`` words."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _power(len(words))
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) * up, out=sums[1:])
-    h = (sums[width:] - sums[:n]) * down[:n]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+    sums = prefix_sums(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)))
+    at = np.arange(n)
+    return window(sums, at, at + width)
 
 
 def winnow(h: np.ndarray, span: int) -> np.ndarray:

@@ -41,7 +41,7 @@ GROUPS = 64
 #: Lengths up to this are small: they wait for the slack.
 SMALL = 100
 #: Words of a generation whose ids a worker remembers; it keeps two (about 200 bytes a word).
-CACHE = 500_000
+CACHE = 900_000
 #: White space on which tokenizers and str.split() may differ: such texts are encoded whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  　﻿]")
 
@@ -64,8 +64,22 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode many words in one call: a NUL between them is a word of its own, whose id marks the ends."""
-        plain = [w for w in words if "\0" not in w]
-        self.known.update((w, self._whole(w)) for w in words if "\0" in w)
+        known = self.known
+        plain = []
+        for w in words:
+            # case is dropped, and a mark after a letter is a token of its own: such words follow from others
+            base = w.lower() if w.isascii() else w
+            if base[-1] in ",.;:!?" and base[-2:-1].isalpha():
+                ids, mark = known.get(base[:-1]), known.get(base[-1])
+                ids = ids + mark if ids is not None and mark is not None else None
+            else:
+                ids = known.get(base)
+            if ids is not None:
+                known[w] = ids
+            elif "\0" in w:
+                known[w] = self._whole(w)
+            else:
+                plain.append(w)
         mark = self.tokenizer.encode("\0", add_special_tokens=False).ids
         for at in range(0, len(plain), 5_000):
             part = plain[at : at + 5_000]
@@ -79,15 +93,19 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        fresh = set().union(*(w for w in words if w)) - self.known.keys()
+        found = [None if w is None else list(map(self.known.get, w)) for w in words]
+        fresh = {x for w, f in zip(words, found) if w and None in f for x, y in zip(w, f) if y is None}
         if len(self.known) + len(fresh) > CACHE:  # words not seen since the last such moment go
             self.older, self.known = self.known, {}
             fresh = set().union(*(w for w in words if w))
         again = fresh & self.older.keys()
         self.known.update((w, self.older[w]) for w in again)
         self._learn(list(fresh - again))
-        known = self.known
-        return [self._whole(t) if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, words)]
+        known = self.known.__getitem__
+        return [
+            self._whole(t) if w is None else b"".join(known(x) if y is None else y for x, y in zip(w, f)) if None in f else b"".join(f)
+            for t, w, f in zip(texts, words, found)
+        ]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -162,7 +180,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     x = inverse @ demand
     for _ in range(rounds):
         value, column = _knapsack(sizes, inverse.sum(axis=0), capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + 1e-3:
             break
         d = inverse @ column
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import digest, html_extract, packing, quality, shards, simhash, url_filter
+from mnemoframe.llm import digest, html_extract, language_id, line_dedup, packing, quality, sampled_pieces, shards, simhash, url_filter
 from mnemoframe.llm.common import cut
 
 
@@ -53,6 +53,20 @@ def op5_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("group_id", F.coalesce("group_id", "doc_id"))
 
 
+def op6_gumbel_topk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sampled_pieces.sampled(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
+def op7_bayesian_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
+def op9_pairwise_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "text", F.col("_ld_blocks").alias("n_blocks"), F.col("_ld_words").alias("n_words_deleted"))
+
+
 def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -68,7 +82,10 @@ QUERIES = {
     "op3_host_quality_rules": op3_host_quality_rules,
     "op4_url_digest_array": op4_url_digest_array,
     "op5_canonical_digest": op5_canonical_digest,
+    "op6_gumbel_topk_pieces": op6_gumbel_topk_pieces,
+    "op7_bayesian_language_id": op7_bayesian_language_id,
     "op8_extendible_shards": op8_extendible_shards,
+    "op9_pairwise_line_dedup": op9_pairwise_line_dedup,
     "op10_linear_grouping_packing": op10_linear_grouping_packing,
 }
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.common import cut
+from mnemoframe.llm.common import cut, small
 
 PIVOTS = 16
 #: Mean number of fingerprints that chance alone may put into a bucket.
@@ -235,7 +235,13 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """One row of each group of near copies: the one with the smallest key (of repeated rows with that key, one)."""
-    groups = near_groups(docs, key, text, width, radius)
-    kept = groups.filter(F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([key])
+    """One row of each group of near copies, the one with the smallest key; rows that share a key count as one document and leave one row."""
+    groups = cut(near_groups(docs, key, text, width, radius), "groups")
+    dropped = small(groups.filter(~F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("_gone")).distinct())
+    kept = docs.join(dropped, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    again = groups.groupBy(key).count().filter("count > 1").select(F.col(key).alias("_gone"))
+    if again.isEmpty():
+        return kept
+    again = small(again)
+    same = F.col(key).eqNullSafe(F.col("_gone"))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([key]))
