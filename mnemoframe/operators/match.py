@@ -79,11 +79,13 @@ def _automaton(keys: DataFrame, texts: DataFrame) -> DataFrame:
 def _tokens(keys: DataFrame, texts: DataFrame) -> DataFrame:
     parts = keys.withColumn("words", F.split("key", " ")).withColumn("row", F.xxhash64("key"))
     long, short = parts.filter(F.size("words") >= 3), parts.filter(F.size("words") < 3)
-    words = texts.select("text_id", "normal", F.explode(F.array_distinct(F.split("normal", " "))).alias("word"))
+    words = texts.select("text_id", F.explode(F.array_distinct(F.split("normal", " "))).alias("word"))
     inner = long.select("key_id", "key", F.explode(F.expr("slice(words, 2, size(words) - 2)")).alias("word")).distinct()
-    often = words.groupBy("word").count()
-    rarest = inner.join(often, "word").groupBy("key_id", "key").agg(F.min_by("word", F.struct("count", "word")).alias("word"))
-    out = words.join(rarest, "word").filter(F.contains("normal", F.col("key"))).select("key_id", "text_id")
+    often = words.join(inner.select("word").distinct(), "word", "left_semi").groupBy("word").count()
+    # words that no text holds rule a key out, so the inner join may drop them only if all are held: the rarest of all decides
+    rarest = inner.join(often, "word", "left").groupBy("key_id", "key").agg(F.min_by("word", F.struct(F.coalesce("count", F.lit(0)), "word")).alias("word"))
+    candidates = words.join(rarest, "word").select("key_id", "key", "text_id")
+    out = candidates.join(texts, "text_id").filter(F.contains("normal", F.col("key"))).select("key_id", "text_id")
     for i in range(max(1, -(-short.select("key").distinct().count() // MAX_KEYS))):
         n = max(1, -(-short.select("key").distinct().count() // MAX_KEYS))
         out = out.unionByName(_automaton(short.filter(F.pmod("row", F.lit(n)) == i).select("key_id", "key"), texts))

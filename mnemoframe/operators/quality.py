@@ -207,11 +207,13 @@ def overlaps(targets: DataFrame, sentences: DataFrame) -> DataFrame:
     t = targets.withColumn("needle", X.tokens("target")).filter(F.trim("needle") != "").select("a_seq", "a_id", "a_value", "needle").distinct()
     s = sentences.select("b_seq", "b_id", "b_value", X.tokens(F.coalesce("text", F.lit(""))).alias("hay"))
     split = lambda c: F.array_distinct(F.split(F.trim(c), " "))
-    hay = s.select("*", F.explode(split("hay")).alias("word"))
-    often = hay.groupBy("word").count()
-    rare = t.select("*", F.explode(split("needle")).alias("word")).join(often, "word")
-    rare = rare.groupBy("a_seq", "a_id", "a_value", "needle").agg(F.min_by("word", F.struct("count", "word")).alias("word"))
-    hit = hay.join(rare, "word").filter((F.col("a_seq") != F.col("b_seq")) & ~F.col("a_value").eqNullSafe(F.col("b_value")) & F.contains("hay", F.col("needle")))
+    s = s.withColumn("row", F.xxhash64("b_seq", "hay"))
+    words = s.select("row", F.explode(split("hay")).alias("word"))
+    needles = t.select("*", F.explode(split("needle")).alias("word"))
+    often = words.join(needles.select("word").distinct(), "word", "left_semi").groupBy("word").count()
+    rare = needles.join(often, "word", "left").groupBy("a_seq", "a_id", "a_value", "needle").agg(F.min_by("word", F.struct(F.coalesce("count", F.lit(0)), "word")).alias("word"))
+    hit = words.join(rare, "word").drop("word").distinct().join(s, "row")
+    hit = hit.filter((F.col("a_seq") != F.col("b_seq")) & ~F.col("a_value").eqNullSafe(F.col("b_value")) & F.contains("hay", F.col("needle")))
     out = hit.groupBy("a_seq", "a_id", F.trim("needle").alias("target")).agg(F.min_by("b_id", "b_seq").alias("b_id"))
     message = F.concat(F.lit("value form '"), F.col("target"), F.lit("' occurs in "), F.col("b_id"), F.lit("'s sentences"))
     return out.select(F.col("a_seq").alias("seq"), F.col("a_id").alias("fact_id"), "target", "b_id", F.lit("warning").alias("severity"), message.alias("message"))
