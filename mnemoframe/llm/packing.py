@@ -41,10 +41,13 @@ GROUPS = 64
 #: Lengths up to this are small: they wait for the slack.
 SMALL = 100
 #: Words of a generation whose ids a worker remembers; it keeps two (about 200 bytes a word).
-CACHE = 900_000
+CACHE = 1_200_000
 #: White space on which tokenizers and str.split() may differ: such texts are encoded whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  　﻿]")
 
+#: Words that the tokenizer takes as one, whatever the case.
+_LATIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
+
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, equal to encoding each text whole.
@@ -54,8 +57,14 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Latin letters in lower case are normal already and one word to the splitting pattern: they go straight to the merges
+        self.latin = Tokenizer.from_file(path)
+        self.latin.normalizer = None
+        self.latin.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.marks = {x: self._whole(x) for x in ",.;:!?"} | {"": b""}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -63,27 +72,30 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Encode many words in one call: a NUL between them is a word of its own, whose id marks the ends."""
         known = self.known
-        plain = []
+        plain, other, marked = [], [], []
         for w in words:
             # case is dropped, and a mark after a letter is a token of its own: such words follow from others
-            base = w.lower() if w.isascii() else w
-            if base[-1] in ",.;:!?" and base[-2:-1].isalpha():
-                ids, mark = known.get(base[:-1]), known.get(base[-1])
-                ids = ids + mark if ids is not None and mark is not None else None
-            else:
-                ids = known.get(base)
-            if ids is not None:
-                known[w] = ids
+            end = m.end() if (m := _LATIN.match(w)) else 0
+            if end == len(w) or end == len(w) - 1 and w[-1] in self.marks:
+                base = w[:end].lower()
+                marked.append((w, base, self.marks[w[end:]]))
+                if base not in known:
+                    plain.append(base)
             elif "\0" in w:
                 known[w] = self._whole(w)
             else:
-                plain.append(w)
-        mark = self.tokenizer.encode("\0", add_special_tokens=False).ids
-        for at in range(0, len(plain), 5_000):
-            part = plain[at : at + 5_000]
-            ids = np.array(self.tokenizer.encode(" \0 ".join(part) + " \0", add_special_tokens=False).ids, dtype="<u4")
+                other.append(w)
+        self._encode(self.latin, list(set(plain)))
+        self._encode(self.tokenizer, other)
+        known.update((w, known[base] + mark) for w, base, mark in marked)
+
+    def _encode(self, tokenizer, words: list[str]) -> None:
+        """Encode many words in one call: a NUL between them is a word of its own, whose id marks the ends."""
+        mark = tokenizer.encode("\0", add_special_tokens=False).ids
+        for at in range(0, len(words), 5_000):
+            part = words[at : at + 5_000]
+            ids = np.array(tokenizer.encode_batch_fast([" \0 ".join(part) + " \0"], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(ids == mark[0]).tolist()
             if len(mark) != 1 or len(ends) != len(part):
                 self.known.update((w, self._whole(w)) for w in part)
@@ -93,17 +105,19 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        found = [None if w is None else list(map(self.known.get, w)) for w in words]
-        fresh = {x for w, f in zip(words, found) if w and None in f for x, y in zip(w, f) if y is None}
-        if len(self.known) + len(fresh) > CACHE:  # words not seen since the last such moment go
+        if len(self.known) > CACHE:  # words not seen since the last such moment go
             self.older, self.known = self.known, {}
-            fresh = set().union(*(w for w in words if w))
-        again = fresh & self.older.keys()
-        self.known.update((w, self.older[w]) for w in again)
-        self._learn(list(fresh - again))
-        known = self.known.__getitem__
+        known = self.known
+        found = [None if w is None else list(map(known.get, w)) for w in words]
+        fresh = {x for w, f in zip(words, found) if w and None in f for x, y in zip(w, f) if y is None}
+        if self.older:
+            again = fresh & self.older.keys()
+            known.update((w, self.older[w]) for w in again)
+            fresh -= again
+        self._learn(list(fresh))
+        get = known.__getitem__
         return [
-            self._whole(t) if w is None else b"".join(known(x) if y is None else y for x, y in zip(w, f)) if None in f else b"".join(f)
+            self._whole(t) if w is None else b"".join(get(x) if y is None else y for x, y in zip(w, f)) if None in f else b"".join(f)
             for t, w, f in zip(texts, words, found)
         ]
 
