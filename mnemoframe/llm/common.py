@@ -32,6 +32,13 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Hand whole texts to Python in batches of at most ``rows`` rows, so that memory does not follow the default of 10,000; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table that :func:`cut` wrote, once nothing reads it any more."""
     spark = df.sparkSession

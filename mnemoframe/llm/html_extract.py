@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemoframe.llm.common import bounded_batches
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAMES = re.compile(r"[a-z]+")
@@ -306,5 +308,6 @@ def _extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the column ``out`` added: the main text of the column ``html``."""
+    bounded_batches(pages.sparkSession)
     run = F.pandas_udf(_extract, "string")
     return pages.withColumn(out, run(F.col(html)))

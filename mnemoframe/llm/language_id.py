@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemoframe.llm.common import cut, small
+from mnemoframe.llm.common import bounded_batches, cut, small
 
 SAMPLE_ROWS = 4_000
 BUCKETS = 1 << 14
@@ -34,7 +34,7 @@ BUCKETS = 1 << 14
 TEMPER = 0.25
 #: Documents that a suffix's (corpus's) prior is worth in a host's (suffix's).
 PRIOR_DOCS = 20.0
-MIN_CONFIDENCE = 0.5
+MIN_CONFIDENCE = 0.3
 
 
 def trigrams(text: bytes) -> np.ndarray:
@@ -78,6 +78,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
 
 def likelihoods(docs: DataFrame, model: np.ndarray, columns: list[str], text: str) -> DataFrame:
     """``columns`` of every row and ll, the text's log likelihood in each language."""
+    bounded_batches(docs.sparkSession)
     schema = docs.select(*columns).schema.add("ll", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

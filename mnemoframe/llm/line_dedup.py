@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.common import cut, small
+from mnemoframe.llm.common import bounded_batches, cut, small
 from mnemoframe.llm.rolling import prefix_sums, window
 
 MIN_WORDS = 50
@@ -206,6 +206,7 @@ def anchors(docs: DataFrame, key: str, text: str, width: int, least: int) -> Dat
             hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(keys)], names=["a", "k"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").cast("binary").alias("t"))
     return rows.mapInArrow(run, "a long, k long")
 
@@ -228,7 +229,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     marked = docs.withColumn("_ld_id", F.col(key).cast("long")).withColumn("_ld_th", F.xxhash64(text))
     rows = cut(marked.join(ids, "_ld_id", "left_semi"), "involved")
     texts = rows.select("_ld_id", "_ld_th", F.col(text).cast("string").cast("binary").alias("t")).distinct()
-    earlier = texts.groupBy("_ld_id").agg(F.min("t").alias("e")).withColumnRenamed("_ld_id", "earlier")
+    earlier = cut(texts.groupBy("_ld_id").agg(F.min("t").alias("e")).withColumnRenamed("_ld_id", "earlier"), "earlier")  # so that a hot one can be split in the join
     both = found.join(earlier, "earlier").join(texts.withColumnRenamed("_ld_id", "later"), "later").select("later", "_ld_th", "t", "e")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

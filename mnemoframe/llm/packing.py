@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.common import cut
+from mnemoframe.llm.common import bounded_batches, cut
 
 CAPACITY = 2048
 GROUPS = 64
 #: Lengths up to this are small: they wait for the slack.
 SMALL = 100
 #: Words of a generation whose ids a worker remembers; it keeps two (about 200 bytes a word).
-CACHE = 1_200_000
+CACHE = 300_000
 #: White space on which tokenizers and str.split() may differ: such texts are encoded whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  　﻿]")
 
@@ -157,6 +157,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                     names=["k", "piece", "start", "length", "ids_crc32"],
                 )
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     return rows.mapInArrow(run, f"k {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("k", key)

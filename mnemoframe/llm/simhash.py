@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.common import cut, small
+from mnemoframe.llm.common import bounded_batches, cut, small
 
 PIVOTS = 16
 #: Mean number of fingerprints that chance alone may put into a bucket.
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             fps = [_signed(fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", width)) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["k", "fp"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").cast("binary").alias("t"))
     return rows.mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", key)
