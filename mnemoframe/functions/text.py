@@ -99,7 +99,7 @@ def half_even(number: Column) -> Column:
     thousand = m * 1000
     q = F.call_function("shiftright", thousand, s)
     rest, half = thousand - F.call_function("shiftleft", q, s), F.call_function("shiftleft", F.lit(1).cast("long"), s - 1)
-    q = F.when(F.lit(1075) - exponent > 62, F.lit(0)).otherwise(q + ((rest > half) | ((rest == half) & (q % 2 == 1))).cast("long"))
+    q = F.when(F.lit(1075) - exponent > 63, F.lit(0)).when(F.lit(1075) - exponent == 63, (thousand > (1 << 62)).cast("long")).otherwise(q + ((rest > half) | ((rest == half) & (q % 2 == 1))).cast("long"))
     text = F.concat(F.when(number < 0, "-").otherwise(""), F.floor(q / 1000).cast("string"), F.lit("."), F.lpad((q % 1000).cast("string"), 3, "0"))
     return F.when(F.abs(number) < 2.0**50, text).otherwise(F.format_string("%.3f", number))
 
