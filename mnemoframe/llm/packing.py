@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +42,11 @@ GROUPS = 64
 #: Lengths up to this are small: they wait for the slack.
 SMALL = 100
 #: Words of a generation whose ids a worker remembers; it keeps two (about 200 bytes a word).
-CACHE = 300_000
-#: White space on which tokenizers and str.split() may differ: such texts are encoded whole.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  　﻿]")
+CACHE = 700_000
+#: Bytes of texts encoded together: the more, the fewer words are looked up twice.
+CHUNK = 12 << 20
+#: White space beyond ASCII, control characters, and what may start a special token: such texts are encoded whole.
+_ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0 ᠎ -‏ -  　﻿]")
 
 #: Words that the tokenizer takes as one, whatever the case.
 _LATIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
@@ -75,6 +78,9 @@ class Encoder:
         known = self.known
         plain, other, marked = [], [], []
         for w in words:
+            if not w:  # before a text's first blank, or after its last
+                known[w] = b""
+                continue
             # case is dropped, and a mark after a letter is a token of its own: such words follow from others
             end = m.end() if (m := _LATIN.match(w)) else 0
             if end == len(w) or end == len(w) - 1 and w[-1] in self.marks:
@@ -103,23 +109,35 @@ class Encoder:
             data, starts = ids.tobytes(), [0, *(e + 1 for e in ends)]
             self.known.update((w, data[4 * x : 4 * y]) for w, x, y in zip(part, starts, ends))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
         if len(self.known) > CACHE:  # words not seen since the last such moment go
             self.older, self.known = self.known, {}
-        known = self.known
-        found = [None if w is None else list(map(known.get, w)) for w in words]
-        fresh = {x for w, f in zip(words, found) if w and None in f for x, y in zip(w, f) if y is None}
-        if self.older:
-            again = fresh & self.older.keys()
-            known.update((w, self.older[w]) for w in again)
-            fresh -= again
-        self._learn(list(fresh))
-        get = known.__getitem__
-        return [
-            self._whole(t) if w is None else b"".join(get(x) if y is None else y for x, y in zip(w, f)) if None in f else b"".join(f)
-            for t, w, f in zip(texts, words, found)
-        ]
+        known, older = self.known, self.older
+        found = list(map(known.get, words))
+        fresh = [w for w, ids in zip(words, found) if ids is None]
+        if older:
+            known.update((w, older[w]) for w in fresh if w in older)
+            fresh = [w for w in fresh if w not in older]
+        self._learn(fresh)
+        return [known[w] if ids is None else ids for w, ids in zip(words, found)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Words are split and numbered by Arrow's kernels; only a batch's distinct ones are looked up, and their ids gathered in arrays."""
+        odd = [bool(_ODD.search(t)) for t in texts]
+        column = pa.array(["" if o else t for t, o in zip(texts, odd)], pa.large_string())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(column))
+        words = lists.values.dictionary_encode()
+        ids = self._known(words.dictionary.to_pylist())
+        blob = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        at = words.indices.to_numpy()
+        each = sizes[at]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        out = blob[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], each)]
+        cuts = ends[lists.offsets.to_numpy()]
+        return [self._whole(t) if o else out[a:b].tobytes() for t, o, a, b in zip(texts, odd, cuts.tolist(), cuts[1:].tolist())]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -139,23 +157,34 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, wide = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+        held, size = [], 0
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                take, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(enc.encode([x or "" for x in part.column(1).to_pylist()])):
-                    ids += end
-                    for n, a in enumerate(range(0, len(ids), wide)):
-                        own = ids[a : a + wide]
-                        take.append(i)
-                        piece.append(n)
-                        start.append(a // 4)
-                        length.append(len(own) // 4)
-                        crc.append(zlib.crc32(own))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(take, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                    names=["k", "piece", "start", "length", "ids_crc32"],
-                )
+            held.append(b)
+            size += b.nbytes
+            if size >= CHUNK:
+                yield cut_up(held, enc, end, wide)
+                held, size = [], 0
+        if held:
+            yield cut_up(held, enc, end, wide)
+
+    def cut_up(held: list[pa.RecordBatch], enc: Encoder, end: bytes, wide: int) -> pa.RecordBatch:
+        part = pa.Table.from_batches(held).combine_chunks()
+        take, piece, start, length, crc = [], [], [], [], []
+        for i, ids in enumerate(enc.encode([x or "" for x in part.column(1).to_pylist()])):
+            ids += end
+            for n, a in enumerate(range(0, len(ids), wide)):
+                own = ids[a : a + wide]
+                take.append(i)
+                piece.append(n)
+                start.append(a // 4)
+                length.append(len(own) // 4)
+                crc.append(zlib.crc32(own))
+        keys = part.column(0).take(pa.array(take, pa.int64())).combine_chunks()
+        keys = keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys
+        return pa.RecordBatch.from_arrays(
+            [keys, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+            names=["k", "piece", "start", "length", "ids_crc32"],
+        )
 
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
