@@ -40,8 +40,10 @@ from pyspark.sql import functions as F
 from mnemoframe.llm.common import bounded_batches, cut, small
 
 PIVOTS = 16
-#: Mean number of fingerprints that chance alone may put into a bucket.
-CHANCE = 8.0
+#: Stands for a null key among nodes.
+_NULL_ID = -(1 << 63)
+#: Mean number of fingerprints that chance alone may put into a bucket: within one, pairs are compared in arrays.
+CHANCE = 64.0
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -131,8 +133,10 @@ def _bucket_edges(ids: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: i
     return out
 
 
+#: Rows of sorted keys searched at once.
+_ROWS = 50_000
 #: Buckets up to this size are compared pair by pair, all buckets of a batch at once.
-_PAIRWISE = 24
+_PAIRWISE = 96
 
 
 def _search(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, refs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,18 +182,18 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     keyed = keyed.repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs, kept = pivots(), None
+        refs, held, n = pivots(), [], 0
         for b in batches:
-            now = [b.column(i).to_numpy() for i in range(3)]
-            if kept is not None:
-                now = [np.concatenate(x) for x in zip(kept, now)]
-            if not len(now[0]):
+            held.append([b.column(i).to_numpy() for i in range(3)])
+            n += b.num_rows
+            if n < _ROWS:
                 continue
+            now = [np.concatenate(x) for x in zip(*held)]
             last = int(np.searchsorted(now[0], now[0][-1]))  # keys are sorted; the last bucket may go on
-            kept = [x[last:] for x in now]
+            held, n = [[x[last:] for x in now]], n - last
             yield _edge_batch([x[:last] for x in now], refs, radius)
-        if kept is not None:
-            yield _edge_batch(kept, refs, radius)
+        if n:
+            yield _edge_batch([np.concatenate(x) for x in zip(*held)], refs, radius)
 
     return keyed.mapInArrow(run, "u long, v long").distinct()
 
@@ -223,21 +227,52 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """``key``, fp (signed long) and component_id (the smallest reachable key) of every row."""
+def similarity(a: bytes, b: bytes, width: int = 5) -> float:
+    """Jaccard similarity of two texts' sets of word shingles."""
+
+    def shingles(text: bytes) -> set[bytes]:
+        w = text.lower().split()
+        return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def verified(edges: DataFrame, docs: DataFrame, least: float, key: str, text: str, width: int) -> DataFrame:
+    """The edges whose texts have a similarity of ``least`` or more; only texts that an edge names are read again."""
+    edges = cut(edges, "candidates")
+    ids = small(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text).cast("string").cast("binary").alias("t")).join(ids, "id", "left_semi")
+    texts = cut(texts.groupBy("id").agg(F.min("t").alias("t")), "candidate-texts")
+    both = edges.join(texts.withColumnsRenamed({"id": "v", "t": "b"}), "v").join(texts.withColumnsRenamed({"id": "u", "t": "a"}), "u")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            ok = [similarity(*(t.as_buffer().to_pybytes() if t.is_valid else b"" for t in pair), width) >= least for pair in zip(x.column(2), x.column(3))]
+            yield pa.RecordBatch.from_arrays(x.columns[:2], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, least: float | None = None) -> DataFrame:
+    """``key``, fp (signed long) and component_id (the smallest reachable key) of every row.
+
+    With ``least``, a link must also have shingle sets of that Jaccard similarity; a wider radius then costs no false links.
+    Rows of one fingerprint are one node, and the text with the smallest key stands for it.
+    """
     fps = cut(fingerprints(docs.withColumn(key, F.col(key).cast("long")), key, text, width), "fps")
-    smallest = -(1 << 63)
-    named = fps.select(F.coalesce(F.col(key), F.lit(smallest)).alias("id"), "fp")
+    named = fps.select(F.coalesce(F.col(key), F.lit(_NULL_ID)).alias("id"), "fp")
     nodes = cut(named.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    groups = components(links(nodes, radius))
+    edges = links(nodes, radius)
+    groups = components(edges if least is None else verified(edges, docs, least, key, text, width))
     of = nodes.join(groups, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     out = fps.join(of, "fp")
-    return out.select(key, "fp", F.when(F.col("component") != smallest, F.col("component")).alias("component_id"))
+    return out.select(key, "fp", F.when(F.col("component") != _NULL_ID, F.col("component")).alias("component_id"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, least: float | None = None) -> DataFrame:
     """One row of each group of near copies, the one with the smallest key; rows that share a key count as one document and leave one row."""
-    groups = cut(near_groups(docs, key, text, width, radius), "groups")
+    groups = cut(near_groups(docs, key, text, width, radius, least), "groups")
     dropped = small(groups.filter(~F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("_gone")).distinct())
     kept = docs.join(dropped, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
     again = groups.groupBy(key).count().filter("count > 1").select(F.col(key).alias("_gone"))

@@ -4,6 +4,7 @@ import public_tokenizers
 
 import corpus_pipeline
 from mnemoframe.llm import line_dedup
+from mnemoframe.llm.simhash import similarity
 from tests.llm.test_packing import check
 from tests.llm.test_quality import plain as measures
 from tests.llm.test_simhash import plain_components, plain_fingerprint
@@ -23,7 +24,7 @@ def plain(texts):
             spans += [(int(where[a, 0]), int(where[b - 1, 1])) for a, b in line_dedup.common_blocks(kept[p].encode().split(), words)]
         out[i] = line_dedup.delete(kept[i].encode(), spans).decode()
     ids = sorted(out)
-    groups = plain_components(ids, [plain_fingerprint(out[i], 5) for i in ids])
+    groups = plain_components(ids, [plain_fingerprint(out[i], 5) for i in ids], 8, lambda i, j: similarity(out[i].encode(), out[j].encode()) >= 0.8)
     return {i: out[i] for i in ids if groups[i] == i}
 
 

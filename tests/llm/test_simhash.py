@@ -16,7 +16,7 @@ def plain_fingerprint(text, width=4):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def plain_components(ids, fps, radius=4):
+def plain_components(ids, fps, radius=4, also=lambda i, j: True):
     root = list(range(len(ids)))
 
     def find(i):
@@ -26,7 +26,7 @@ def plain_components(ids, fps, radius=4):
 
     for i in range(len(ids)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= radius:
+            if bin(fps[i] ^ fps[j]).count("1") <= radius and (fps[i] == fps[j] or also(ids[i], ids[j])):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     best = {}
@@ -101,6 +101,30 @@ def test_groups_on_documents(spark, small):
     assert all(r.fp & (2**64 - 1) == fps[r.doc_id] for r in got)
 
 
+def test_wide_radius_is_verified(spark):
+    """Near copies beyond four bits are found, and fingerprints that are near by chance part again."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+        rows.append((3 * g, " ".join(words)))
+        for k in (1, 2):
+            words[20 * k + rng.randrange(9)] = "changed"
+            rows.append((3 * g + k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    ids = sorted(texts)
+    alike = lambda i, j: simhash.similarity(texts[i].encode(), texts[j].encode()) >= 0.8
+    want = plain_components(ids, [plain_fingerprint(texts[i], 5) for i in ids], 8, alike)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs, width=5, radius=8, least=0.8).collect()}
+    assert got == want and len(set(got.values())) < 80
+    assert all(alike(i, i // 3 * 3) for i in ids if i % 3 == 1)
+    nodes = spark.createDataFrame([(1, 0), (2, 255)], "id long, fp long")
+    edges = simhash.links(nodes, 8)
+    assert edges.count() == 1 and simhash.verified(edges, docs, 0.8, "doc_id", "text", 5).count() == 1
+    assert simhash.verified(spark.createDataFrame([(3, 0)], "u long, v long"), docs, 0.8, "doc_id", "text", 5).count() == 0
+
+
 def test_edges(spark):
     long = "w " * 30000
     rows = [(5, None, "x"), (3, "", "x"), (3, "", "x"), (9, "one", "x"), (None, "other words here now", "x"), (7, long, "x"), (8, long, "x"), (2, "ONE", "x")]
