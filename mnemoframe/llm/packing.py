@@ -42,9 +42,9 @@ GROUPS = 64
 #: Lengths up to this are small: they wait for the slack.
 SMALL = 100
 #: Words of a generation whose ids a worker remembers; it keeps two (about 200 bytes a word).
-CACHE = 700_000
+CACHE = 400_000
 #: Bytes of texts encoded together: the more, the fewer words are looked up twice.
-CHUNK = 12 << 20
+CHUNK = 8 << 20
 #: White space beyond ASCII, control characters, and what may start a special token: such texts are encoded whole.
 _ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0 ᠎ -‏ -  　﻿]")
 
@@ -122,10 +122,14 @@ class Encoder:
         self._learn(fresh)
         return [known[w] if ids is None else ids for w, ids in zip(words, found)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Words are split and numbered by Arrow's kernels; only a batch's distinct ones are looked up, and their ids gathered in arrays."""
+    def encode(self, texts: list[str], column: pa.Array | None = None) -> list[bytes]:
+        """Ids of texts (``column``: the same texts, if they come from Arrow).
+
+        Words are split and numbered by Arrow's kernels; only a batch's distinct ones are looked up, and their ids gathered in arrays.
+        """
         odd = [bool(_ODD.search(t)) for t in texts]
-        column = pa.array(["" if o else t for t, o in zip(texts, odd)], pa.large_string())
+        if column is None or any(odd):
+            column = pa.array(["" if o else t for t, o in zip(texts, odd)], pa.large_string())
         lists = pc.ascii_split_whitespace(pc.ascii_lower(column))
         words = lists.values.dictionary_encode()
         ids = self._known(words.dictionary.to_pylist())
@@ -170,7 +174,9 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     def cut_up(held: list[pa.RecordBatch], enc: Encoder, end: bytes, wide: int) -> pa.RecordBatch:
         part = pa.Table.from_batches(held).combine_chunks()
         take, piece, start, length, crc = [], [], [], [], []
-        for i, ids in enumerate(enc.encode([x or "" for x in part.column(1).to_pylist()])):
+        column = pc.fill_null(part.column(1), "").cast(pa.large_string()).combine_chunks()
+        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+        for i, ids in enumerate(enc.encode(column.to_pylist(), column)):
             ids += end
             for n, a in enumerate(range(0, len(ids), wide)):
                 own = ids[a : a + wide]
