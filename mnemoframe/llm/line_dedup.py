@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.common import bounded_batches, cut, small
+from mnemoframe.llm.common import bounded_batches, cut, drop_cut, small
 from mnemoframe.llm.rolling import prefix_sums, window
 
 MIN_WORDS = 50
@@ -216,7 +216,10 @@ def pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     found = cut(anchors(docs, key, text, width, least), "anchors")
     first = found.groupBy("a").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("last > first").select("a", "first")
     first = cut(first, "shared")
-    return found.join(small(first), "a").filter("k > first").select(F.col("k").alias("later"), F.col("first").alias("earlier")).distinct()
+    out = cut(found.join(small(first), "a").filter("k > first").select(F.col("k").alias("later"), F.col("first").alias("earlier")).distinct(), "pairs")
+    drop_cut(found)
+    drop_cut(first)
+    return out
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = MIN_WORDS, n_chars: str | None = None) -> DataFrame:
@@ -224,7 +227,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     ``n_chars`` names a column that holds the text's length and is kept true.
     """
-    found = cut(pairs(docs, key, text, width, least), "pairs")
+    found = pairs(docs, key, text, width, least)
     ids = small(found.select(F.explode(F.array("later", "earlier")).alias("_ld_id")).distinct())
     marked = docs.withColumn("_ld_id", F.col(key).cast("long")).withColumn("_ld_th", F.xxhash64(text))
     rows = cut(marked.join(ids, "_ld_id", "left_semi"), "involved")
