@@ -232,7 +232,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     marked = docs.withColumn("_ld_id", F.col(key).cast("long")).withColumn("_ld_th", F.xxhash64(text))
     rows = cut(marked.join(ids, "_ld_id", "left_semi"), "involved")
     texts = rows.select("_ld_id", "_ld_th", F.col(text).cast("string").cast("binary").alias("t")).distinct()
-    earlier = cut(texts.groupBy("_ld_id").agg(F.min("t").alias("e")).withColumnRenamed("_ld_id", "earlier"), "earlier")  # so that a hot one can be split in the join
+    first = small(found.select(F.col("earlier").alias("_ld_id")).distinct())
+    earlier = cut(texts.join(first, "_ld_id", "left_semi").groupBy("_ld_id").agg(F.min("t").alias("e")).withColumnRenamed("_ld_id", "earlier"), "earlier")  # so that a hot one can be split in the join
     both = found.join(earlier, "earlier").join(texts.withColumnRenamed("_ld_id", "later"), "later").select("later", "_ld_th", "t", "e")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
