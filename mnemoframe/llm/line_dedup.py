@@ -205,6 +205,7 @@ def anchors(docs: DataFrame, key: str, text: str, width: int, least: int) -> Dat
             keys = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
             hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(keys)], names=["a", "k"])
+        pa.default_memory_pool().release_unused()
 
     bounded_batches(docs.sparkSession)
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").cast("binary").alias("t"))

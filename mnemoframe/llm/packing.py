@@ -42,9 +42,9 @@ GROUPS = 64
 #: Lengths up to this are small: they wait for the slack.
 SMALL = 100
 #: Words of a generation whose ids a worker remembers; it keeps two (about 200 bytes a word).
-CACHE = 400_000
+CACHE = 270_000
 #: Bytes of texts encoded together: the more, the fewer words are looked up twice.
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 #: White space beyond ASCII, control characters, and what may start a special token: such texts are encoded whole.
 _ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0 ᠎ -‏ -  　﻿]")
 
@@ -170,6 +170,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                 held, size = [], 0
         if held:
             yield cut_up(held, enc, end, wide)
+        pa.default_memory_pool().release_unused()
 
     def cut_up(held: list[pa.RecordBatch], enc: Encoder, end: bytes, wide: int) -> pa.RecordBatch:
         part = pa.Table.from_batches(held).combine_chunks()
