@@ -13,7 +13,7 @@ def read_lines(spark: SparkSession, glob: str, max_files: int = 1000) -> DataFra
     """Parsed log lines of every file that appears under ``glob``."""
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(glob)
     rows = lines.filter(F.trim("value") != "").select(F.col("_metadata.file_path").alias("p"), F.from_json("value", LOG_LINE).alias("r"))
-    return rows.select(F.regexp_extract("p", SEED_DIR, 1).alias("exp"), F.regexp_extract("p", SEED_DIR, 2).cast("int").alias("seed"), "r.*")
+    return rows.select(F.regexp_extract("p", SEED_DIR, 1).alias("exp"), F.regexp_extract("p", SEED_DIR, 2).cast("int").alias("seed"), "r.record_type", "r.data")
 
 
 def record_counts(lines: DataFrame) -> DataFrame:
