@@ -39,8 +39,8 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: fingerprints of five-word shingles at 8 bits or fewer, then a similarity of 0.8 or more."""
-    return simhash.dedup(docs, width=5, radius=8, least=0.8).select(docs.columns)
+    """One document of each group of near copies: five-word shingles with a similarity of 0.8 or more, found by fingerprints at 8 bits or fewer and by the rarest shingles."""
+    return simhash.dedup(docs, width=5, radius=8, least=0.8, whole=True).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

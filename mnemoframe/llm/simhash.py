@@ -19,6 +19,12 @@ group of near copies costs one sweep, not all its pairs.  Equal fingerprints are
 one node from the start.  Components of the remaining edges are found by
 alternating large-star and small-star steps on distributed tables.
 
+With a least similarity, ``whole`` finds every pair of
+that similarity, whatever its bit distance, through the shingles themselves: in
+one order of all shingles, two such texts share one of the first
+``n - ceil(least * n) + 1`` of each (prefix filter, exact in any order; shingles
+that are frequent in a sample come last to keep buckets small).
+
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero, which links like any other; fewer words than a shingle form
 one shingle; repeated rows repeat their result; an empty table gives an empty
@@ -27,8 +33,9 @@ result; a null id is an id of its own, the smallest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -48,23 +55,28 @@ CHANCE = 64.0
 
 def fingerprint(text: bytes, width: int = 4) -> int:
     """The SimHash of a text's UTF-8 bytes: a bit is set if it is set in more than half of the shingles' XXH64 (seed 42)."""
+    h = _shingle_hashes(text, width)
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 1 << 16):  # bounded memory for very long texts
+        bits = np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return int(sum(1 << i for i in np.flatnonzero(2 * counts > len(h)).tolist()))
+
+
+def _shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle; none where there is no word."""
     words = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     n = len(words)
     if n <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], dtype="<u8")
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1)
     starts = ends - np.fromiter(map(len, words), dtype=np.int64, count=n) - 1
     digest = xxhash.xxh64_intdigest
     m = n - width + 1
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:m].tolist(), (ends[width - 1 :] - 1).tolist())), dtype="<u8", count=m)
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, m, 1 << 16):  # bounded memory for very long texts
-        bits = np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * counts > m).tolist()))
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:m].tolist(), (ends[width - 1 :] - 1).tolist())), dtype="<u8", count=m)
 
 
 def _signed(x: int) -> int:
@@ -173,37 +185,158 @@ def _search(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, refs: np.ndarray
     return (np.concatenate(u) if u else none), (np.concatenate(v) if v else none)
 
 
-def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges (u, v) over distinct fingerprints (id, fp) that connect exactly what distances up to ``radius`` connect."""
+def _keyed(nodes: DataFrame, radius: int, *columns: str) -> DataFrame:
+    """(key, id, fp, ...) in runs of equal keys: one row for each combination of agreeing blocks."""
     blocks, take = plan_blocks(nodes.count(), radius)
     masks = _masks(blocks, take)
-    keyed = nodes.select("id", "fp", F.posexplode(F.array(*[F.lit(_signed(m)).bitwiseAND(F.col("fp")) for m in masks])).alias("combo", "part"))
-    keyed = keyed.select(F.xxhash64("combo", "part").alias("key"), "id", "fp")
-    keyed = keyed.repartition("key").sortWithinPartitions("key")
+    keyed = nodes.select("id", "fp", *columns, F.posexplode(F.array(*[F.lit(_signed(m)).bitwiseAND(F.col("fp")) for m in masks])).alias("combo", "part"))
+    keyed = keyed.select(F.xxhash64("combo", "part").alias("key"), "id", "fp", *columns)
+    return keyed.repartition("key").sortWithinPartitions("key")
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of the batches, in pieces that end where the first column, the sorted key, changes."""
+    held, n = [], 0
+    for b in batches:
+        held.append([c.to_numpy() for c in b.columns])
+        n += b.num_rows
+        if n < _ROWS:
+            continue
+        now = [np.concatenate(x) for x in zip(*held)]
+        last = int(np.searchsorted(now[0], now[0][-1]))  # keys are sorted; the last bucket may go on
+        held, n = [[x[last:] for x in now]], n - last
+        if last:
+            yield [x[:last] for x in now]
+    if n:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of every row's run of equal keys."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.append(starts, len(keys)))
+    return np.repeat(starts, sizes), np.repeat(sizes, sizes)
+
+
+def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
+    """Edges (u, v) over distinct fingerprints (id, fp) that connect exactly what distances up to ``radius`` connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs, held, n = pivots(), [], 0
-        for b in batches:
-            held.append([b.column(i).to_numpy() for i in range(3)])
-            n += b.num_rows
-            if n < _ROWS:
-                continue
-            now = [np.concatenate(x) for x in zip(*held)]
-            last = int(np.searchsorted(now[0], now[0][-1]))  # keys are sorted; the last bucket may go on
-            held, n = [[x[last:] for x in now]], n - last
-            yield _edge_batch([x[:last] for x in now], refs, radius)
-        if n:
-            yield _edge_batch([np.concatenate(x) for x in zip(*held)], refs, radius)
-
-    return keyed.mapInArrow(run, "u long, v long").distinct()
-
-
-def _edge_batch(cols: list[np.ndarray], refs: np.ndarray, radius: int) -> pa.RecordBatch:
-    keys, ids, fps = cols
-    u, v = _search(keys, ids, fps.astype(np.int64).view(np.uint64), refs, radius) if len(keys) else (keys, keys)
+        refs = pivots()
+        for keys, ids, fps in _whole_runs(batches):
+            yield _edge_batch(*_search(keys, ids, fps.astype(np.int64).view(np.uint64), refs, radius))
+
+    return _keyed(nodes, radius).mapInArrow(run, "u long, v long").distinct()
+
+
+def _edge_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v), pa.int64()), pa.array(np.minimum(u, v), pa.int64())], names=["u", "v"])
 
 
+def _pairs(keys: np.ndarray, ids: np.ndarray, ok: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Edges between all rows of a run of equal keys for which ``ok`` (of row numbers) holds, in bounded batches."""
+    start, size = _runs(keys)
+    end, rows = start + size, np.flatnonzero(size > 1)
+    u, v, n, shift = [], [], 0, 1
+    while len(rows := rows[rows + shift < end[rows]]):
+        good = ok(rows, rows + shift)
+        u.append(ids[rows[good]])
+        v.append(ids[rows[good] + shift])
+        n, shift = n + len(u[-1]), shift + 1
+        if n > most:
+            yield _edge_batch(np.concatenate(u), np.concatenate(v))
+            u, v, n = [], [], 0
+    if n:
+        yield _edge_batch(np.concatenate(u), np.concatenate(v))
+
+
+#: Documents whose shingles tell the frequent ones, in how many of them a frequent one stands, and how many are kept.
+_SAMPLE, _FREQUENT, _HOT = 5_000, 4, 100_000
+#: Buckets of shingles beyond this size are compared with their first member before all their pairs.
+_CROWD = 32
+
+
+def _shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The sorted distinct hashes of :func:`similarity`'s shingles: a text without words has one, the empty one."""
+    h = np.unique(_shingle_hashes(text, width))
+    return h if len(h) else np.array([xxhash.xxh64_intdigest(b"", 42)], dtype="<u8")
+
+
+def frequent(docs: DataFrame, key: str, text: str, width: int) -> np.ndarray:
+    """Shingle hashes that recur in a sample, sorted: a hint for the order of shingles, which stays exact with any list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(_bytes(x), width).view(np.int64))], names=["a"])
+
+    share = max(1, -(-docs.count() // _SAMPLE))
+    rows = docs.filter(F.pmod(F.xxhash64(key), F.lit(share)) == 0).select(F.col(text).cast("string").cast("binary").alias("t"))
+    counted = rows.mapInArrow(run, "a long").groupBy("a").count().filter(F.col("count") >= _FREQUENT)
+    return np.sort(counted.orderBy(F.desc("count")).limit(_HOT).toPandas()["a"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def _bytes(x: pa.Scalar) -> bytes:
+    return x.as_buffer().to_pybytes() if x.is_valid else b""
+
+
+def prefixes(docs: DataFrame, least: float, key: str, text: str, width: int) -> DataFrame:
+    """(a, id, n, at): the first shingles of every text in the common order that another text shares, the size of its set, and their places."""
+    hot = frequent(docs, key, text, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, n = [], np.zeros(b.num_rows, np.int32)
+            for i, x in enumerate(b.column(1)):
+                h = _shingle_set(_bytes(x), width)
+                late = np.isin(h, hot, assume_unique=True)
+                n[i] = len(h)
+                found.append(np.concatenate((h[~late], h[late]))[: len(h) - ceil(least * len(h) - 1e-9) + 1])
+            sizes = [len(x) for x in found]
+            at = np.concatenate([np.arange(x, dtype=np.int32) for x in sizes] or [np.zeros(0, np.int32)])
+            a = np.concatenate(found or [np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
+            ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids), pa.array(np.repeat(n, sizes)), pa.array(at)], names=["a", "id", "n", "at"])
+        pa.default_memory_pool().release_unused()
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _whole_runs(batches):
+            some = _runs(cols[0])[1] > 1
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in cols], names=["a", "id", "n", "at"])
+
+    kind = "a long, id long, n int, at int"
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text).cast("string").cast("binary").alias("t"))
+    return rows.mapInArrow(run, kind).repartition("a").sortWithinPartitions("a").mapInArrow(shared, kind)
+
+
+def alike(shared: DataFrame, labels: DataFrame, least: float, first: bool) -> DataFrame:
+    """Pairs (u, v) that may have a similarity of ``least`` and whose labels (id, component) differ, from shared prefixes.
+
+    ``first``: only of each crowded bucket's members with its first one, which unites most of a large group at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, ids, n, at, label in _whole_runs(batches):
+
+            def ok(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                # at the first shingle that both share, no more than what follows can be common
+                need = least / (1 + least) * (n[x].astype(np.int64) + n[y]) - 1e-9  # noqa: B023
+                return (label[x] != label[y]) & (np.minimum(n[x] - at[x], n[y] - at[y]) >= need)  # noqa: B023
+
+            if first:
+                start, size = _runs(a)
+                rows = np.flatnonzero((size > _CROWD) & (start < np.arange(len(a))))
+                rows = rows[ok(start[rows], rows)]
+                yield _edge_batch(ids[start[rows]], ids[rows])
+            else:
+                yield from _pairs(a, ids, ok)
+
+    rows = shared.join(small(labels.filter("id <> component")), "id", "left")
+    rows = rows.select("a", "id", "n", "at", F.coalesce("component", "id").alias("label"))
+    return rows.repartition("a").sortWithinPartitions("a", "id").mapInArrow(run, "u long, v long").distinct()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of every node of ``edges`` (u, v): the smallest id that is reachable.
 
@@ -248,31 +381,47 @@ def verified(edges: DataFrame, docs: DataFrame, least: float, key: str, text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            ok = [similarity(*(t.as_buffer().to_pybytes() if t.is_valid else b"" for t in pair), width) >= least for pair in zip(x.column(2), x.column(3))]
+            ok = [similarity(*map(_bytes, pair), width) >= least for pair in zip(x.column(2), x.column(3))]
             yield pa.RecordBatch.from_arrays(x.columns[:2], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, least: float | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, least: float | None = None, whole: bool = False) -> DataFrame:
     """``key``, fp (signed long) and component_id (the smallest reachable key) of every row.
 
     With ``least``, a link must also have shingle sets of that Jaccard similarity; a wider radius then costs no false links.
+    With ``whole``, such sets link at any distance.
     Rows of one fingerprint are one node, and the text with the smallest key stands for it.
     """
     fps = cut(fingerprints(docs.withColumn(key, F.col(key).cast("long")), key, text, width), "fps")
     named = fps.select(F.coalesce(F.col(key), F.lit(_NULL_ID)).alias("id"), "fp")
     nodes = cut(named.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    edges = links(nodes, radius)
-    groups = components(edges if least is None else verified(edges, docs, least, key, text, width))
+    if least is None:
+        groups = components(links(nodes, radius))
+    else:
+        good = cut(verified(links(nodes, radius), docs, least, key, text, width), "good")
+        if whole:
+            same = named.join(nodes.withColumnRenamed("id", "v"), "fp").filter("id <> v").select(F.col("id").alias("u"), "v")
+            good = cut(good.unionByName(same).distinct(), "good")
+        groups = cut(components(good), "components")
+        rounds = []
+        if whole:
+            shared = cut(prefixes(docs, least, key, text, width), "shared-shingles")
+            rounds += [lambda g: alike(shared, g, least, True), lambda g: alike(shared, g, least, False)]
+        for pairs in rounds:
+            more = cut(verified(pairs(groups), docs, least, key, text, width), "more")
+            if not more.isEmpty():
+                good = good.unionByName(more)
+                groups = cut(components(good), "components")
     of = nodes.join(groups, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     out = fps.join(of, "fp")
     return out.select(key, "fp", F.when(F.col("component") != _NULL_ID, F.col("component")).alias("component_id"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, least: float | None = None) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, least: float | None = None, whole: bool = False) -> DataFrame:
     """One row of each group of near copies, the one with the smallest key; rows that share a key count as one document and leave one row."""
-    groups = cut(near_groups(docs, key, text, width, radius, least), "groups")
+    groups = cut(near_groups(docs, key, text, width, radius, least, whole), "groups")
     dropped = small(groups.filter(~F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("_gone")).distinct())
     kept = docs.join(dropped, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
     again = groups.groupBy(key).count().filter("count > 1").select(F.col(key).alias("_gone"))

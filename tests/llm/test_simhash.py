@@ -135,3 +135,44 @@ def test_edges(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, 2, None, 7], key=str)
     assert simhash.near_groups(docs.filter("doc_id = -1")).count() == 0
+
+
+def united(ids, edges):
+    """Components of undirected edges, by the smallest id."""
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in edges:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_whole_finds_copies_beyond_the_radius(spark):
+    """Every pair with a similarity of 0.8 links, most of them beyond 8 bits; also the empty and the short, and a crowd with one common shingle."""
+    rng = random.Random(11)
+    rows = [(0, "short one"), (1, "Short  one"), (2, ""), (3, None)]
+    for g in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for k in (0, 3, 3, 3):
+            copy = list(words)
+            for at in rng.sample(range(5, 145), k):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    for _ in range(60):
+        rows.append((len(rows), " ".join(["one", "line", "that", "all", "have", *(f"y{rng.randrange(10**6)}" for _ in range(6))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {i: (t or "").encode() for i, t in rows}
+    near = [(i, j) for i in texts for j in texts if j < i and simhash.similarity(texts[i], texts[j]) >= 0.8]
+    fps = {i: simhash.fingerprint(t, 5) for i, t in texts.items()}
+    far = [(i, j) for i, j in near if bin(fps[i] ^ fps[j]).count("1") > 8]
+    assert len(far) > 30
+    want = united(texts, near)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs, width=5, radius=8, least=0.8, whole=True).collect()}
+    assert got == want
+    cut_short = {r.doc_id: r.component_id for r in simhash.near_groups(docs, width=5, radius=8, least=0.8).collect()}
+    assert len(set(cut_short.values())) > len(set(want.values()))
