@@ -11,17 +11,15 @@ This keeps about one hash in ten words, yet any passage of ``MIN_WORDS`` words
 that two documents share leaves at least one hash in common, wherever it stands.
 Lines so long hardly recur by chance, so the hashes are rare.
 
-A hash that many documents hold pairs each of them with its first holder alone,
-so a group of any size makes as many pairs as it has members, and hot hashes are
-pre-aggregated.  A pair is aligned on the lines that both texts hold (the n-th
+A hash that two documents hold pairs them.  The first of more holders may have a
+shorter piece of a passage only, so there the runs of ``MIN_WORDS`` words that
+the hash stands for are joined, and each pairs its holders with its first one,
+which has it whole: a group of any size makes few pairs for each member, and hot
+hashes are pre-aggregated.  A pair is aligned on the lines that both texts hold (the n-th
 occurrence of a line with the n-th), the longest increasing chain of them first,
 then what is left over in other order, and each match is extended word by word.
 Common blocks of ``MIN_WORDS`` words or more go; shorter ones stay.
 
-Where the first holder of every hash of a passage has a shorter piece of it
-only, a later copy of the rest of the passage is compared with that holder and
-not with the document in between.
-
 Defined results: a null, empty or short text stays as it is; a text that is all
 copied becomes empty, its row stays; a null key is never compared; rows of one
 key are not compared with each other, and equal ones are edited alike; all
@@ -60,6 +58,11 @@ def line_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
 
 def winnow(h: np.ndarray, span: int) -> np.ndarray:
     """The distinct minima of all runs of ``span`` hashes."""
+    return np.unique(minima(h, span))
+
+
+def minima(h: np.ndarray, span: int) -> np.ndarray:
+    """The minimum of every run of ``span`` hashes."""
     if len(h) < span:
         return np.zeros(0, np.uint64)
     m, w = h, 1
@@ -67,7 +70,7 @@ def winnow(h: np.ndarray, span: int) -> np.ndarray:
         m, w = np.minimum(m[:-w], m[w:]), 2 * w
     if w < span:
         m = np.minimum(m[: len(m) - (span - w)], m[span - w :])
-    return np.unique(m)
+    return m
 
 
 def _spans(text: bytes, words: list[bytes]) -> np.ndarray:
@@ -212,14 +215,50 @@ def anchors(docs: DataFrame, key: str, text: str, width: int, least: int) -> Dat
     return rows.mapInArrow(run, "a long, k long")
 
 
+def whole_runs(docs: DataFrame, marked: DataFrame, key: str, text: str, width: int, least: int) -> DataFrame:
+    """(a, k): the hashes of all runs of ``least`` words whose rare line hash is one of ``marked`` (k, marks)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for x, marks in zip(b.column(1), b.column(2)):
+                words = _bytes(x).split()
+                low = minima(line_hashes(words, width), least - width + 1)
+                some = np.isin(low, marks.values.to_numpy().view(np.uint64))
+                found.append(np.unique(line_hashes(words, least)[some]))
+            keys = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in found])
+            hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(keys)], names=["a", "k"])
+        pa.default_memory_pool().release_unused()
+
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").cast("binary").alias("t"))
+    rows = rows.join(small(marked.select("k")), "k", "left_semi")
+    return rows.join(marked, "k").select("k", "t", "marks").mapInArrow(run, "a long, k long")
+
+
+def _first(found: DataFrame) -> DataFrame:
+    """(a, first, n): the first holder of every hash that several keys hold, and the number of rows that hold it."""
+    return found.groupBy("a").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count(F.lit(1)).alias("n")).filter("last > first").select("a", "first", "n")
+
+
+def _with_first(found: DataFrame, first: DataFrame) -> DataFrame:
+    return found.join(small(first.select("a", "first")), "a").filter("k > first").select(F.col("k").alias("later"), F.col("first").alias("earlier")).distinct()
+
+
 def pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = MIN_WORDS) -> DataFrame:
-    """(later, earlier): documents to align."""
+    """(later, earlier): documents to align; every run of ``least`` words of a later one is paired with a document that holds it whole, if an earlier one does."""
     found = cut(anchors(docs, key, text, width, least), "anchors")
-    first = found.groupBy("a").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("last > first").select("a", "first")
-    first = cut(first, "shared")
-    out = cut(found.join(small(first), "a").filter("k > first").select(F.col("k").alias("later"), F.col("first").alias("earlier")).distinct(), "pairs")
+    first = cut(_first(found), "shared")
+    marked = cut(found.join(small(first.filter("n > 2").select("a")), "a").groupBy("k").agg(F.collect_set("a").alias("marks")), "marked")
+    two = cut(_with_first(found, first.filter("n = 2")), "pairs-of-two")
     drop_cut(found)
     drop_cut(first)
+    runs = cut(whole_runs(docs, marked, key, text, width, least), "runs")
+    drop_cut(marked)
+    first = cut(_first(runs), "shared-runs")
+    out = cut(two.unionByName(_with_first(runs, first)).distinct(), "pairs")
+    for x in (two, runs, first):
+        drop_cut(x)
     return out
 
 

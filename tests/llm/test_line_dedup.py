@@ -72,3 +72,18 @@ def test_winnowing_guarantee():
         p = words(rng, 50)
         h = [set(L.winnow(L.line_hashes([w.encode() for w in words(rng, rng.randrange(90)) + p + words(rng, rng.randrange(90))]), L.MIN_WORDS - L.WIDTH + 1).tolist()) for _ in range(2)]
         assert h[0] & h[1]
+
+
+def test_every_copy_meets_a_whole_holder(spark):
+    """A first holder of 49 words of each passage hides it from no later copy."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    for g in range(12):
+        p = words(rng, 51)
+        for part in (p[:49], p, p, p):
+            i = len(rows)
+            head, tail = words(rng, 20), words(rng, 20)
+            rows.append((i, " ".join(head + part + tail)))
+            want[i] = " ".join(head + tail) if i % 4 > 1 else rows[-1][1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in L.dedup_lines(docs).collect()} == want
