@@ -18,7 +18,9 @@ which has it whole: a group of any size makes few pairs for each member, and hot
 hashes are pre-aggregated.  A pair is aligned on the lines that both texts hold (the n-th
 occurrence of a line with the n-th), the longest increasing chain of them first,
 then what is left over in other order, and each match is extended word by word.
-Common blocks of ``MIN_WORDS`` words or more go; shorter ones stay.
+Common blocks of ``MIN_WORDS`` words or more go; then what stays between them is
+searched for any run of ``MIN_WORDS`` words that the earlier text holds anywhere,
+so further copies of a passage go as well.  Shorter ones stay.
 
 Defined results: a null, empty or short text stays as it is; a text that is all
 copied becomes empty, its row stays; a null key is never compared; rows of one
@@ -117,6 +119,35 @@ def common_blocks(earlier: list[bytes], later: list[bytes], width: int = WIDTH,
     """Word ranges of ``later`` that ``earlier`` holds too, of ``least`` words or more, in order."""
     if earlier == later:
         return [(0, len(later))] if len(later) >= least else []
+    found = _aligned(earlier, later, width, least)
+    return sorted(found + _left_over(earlier, later, found, least))
+
+
+def _left_over(earlier: list[bytes], later: list[bytes], found: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Word ranges between the blocks ``found`` that consist of runs of ``least`` words which ``earlier`` holds anywhere."""
+    edges = [0, *(x for block in sorted(found) for x in block), len(later)]
+    gaps = [(s, e) for s, e in zip(edges[::2], edges[1::2]) if e - s >= least]
+    if not gaps or len(earlier) < least:
+        return []
+    a, b = line_hashes(earlier, least), line_hashes(later, least)
+    order = np.argsort(a, kind="stable")
+    sorted_a = a[order]
+    out: list[tuple[int, int]] = []
+    for s, e in gaps:
+        h = b[s : e - least + 1]
+        hit = np.minimum(np.searchsorted(sorted_a, h), len(a) - 1)
+        for j in np.flatnonzero(sorted_a[hit] == h).tolist():
+            i, j = int(order[hit[j]]), s + j
+            if later[j : j + least] == earlier[i : i + least]:
+                if out and j <= out[-1][1] and out[-1][0] >= s:
+                    out[-1] = (out[-1][0], j + least)
+                else:
+                    out.append((j, j + least))
+    return out
+
+
+def _aligned(earlier: list[bytes], later: list[bytes], width: int, least: int) -> list[tuple[int, int]]:
+    """Common blocks by one patience alignment."""
     a, b = line_hashes(earlier, width), line_hashes(later, width)
     if not len(a) or not len(b):
         return []

@@ -87,3 +87,12 @@ def test_every_copy_meets_a_whole_holder(spark):
             want[i] = " ".join(head + tail) if i % 4 > 1 else rows[-1][1]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.text for r in L.dedup_lines(docs).collect()} == want
+
+
+def test_further_copies_of_a_passage_go():
+    rng = random.Random(10)
+    enc = lambda ws: [w.encode() for w in ws]
+    p, q, x, y = words(rng, 55), words(rng, 50), words(rng, 20), words(rng, 9)
+    assert L.common_blocks(enc(p + y), enc(p + x + p + y[::-1] + p)) == [(0, 55), (75, 130), (139, 194)]
+    assert L.common_blocks(enc(q[:40] + x + q[10:] + y + q), enc(y[::-1] + q)) == [(9, 59)]  # pieces of the passage come first
+    assert L.common_blocks(enc(["is", "so"] * 150), enc(["is", "so"] * 350 + x)) == [(0, 300), (300, 700)]
