@@ -19,7 +19,9 @@ group of near copies costs one sweep, not all its pairs.  Equal fingerprints are
 one node from the start.  Components of the remaining edges are found by
 alternating large-star and small-star steps on distributed tables.
 
-With a least similarity, ``whole`` finds every pair of
+With a least similarity the sweep's edges alone do not suffice: one that fails
+may have stood for a link that holds.  Members of swept buckets are compared
+again, all pairs whose components still differ.  ``whole`` finds every pair of
 that similarity, whatever its bit distance, through the shingles themselves: in
 one order of all shingles, two such texts share one of the first
 ``n - ceil(least * n) + 1`` of each (prefix filter, exact in any order; shingles
@@ -151,8 +153,8 @@ _ROWS = 50_000
 _PAIRWISE = 96
 
 
-def _search(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, refs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (id, id) within runs of equal keys."""
+def _search(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, refs: np.ndarray, radius: int, mark: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, id) within runs of equal keys; with ``mark`` also (id, id) of each member of a run that was swept."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(starts, len(keys)))
     size_of = np.repeat(sizes, sizes)
@@ -181,6 +183,9 @@ def _search(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, refs: np.ndarray
             e = np.array(edges, dtype=np.int64)
             u.append(e[:, 0])
             v.append(e[:, 1])
+            if mark:
+                u.append(ids[at])
+                v.append(ids[at])
     none = np.zeros(0, dtype=np.int64)
     return (np.concatenate(u) if u else none), (np.concatenate(v) if v else none)
 
@@ -218,13 +223,16 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(starts, sizes), np.repeat(sizes, sizes)
 
 
-def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges (u, v) over distinct fingerprints (id, fp) that connect exactly what distances up to ``radius`` connect."""
+def links(nodes: DataFrame, radius: int = 4, mark: bool = False) -> DataFrame:
+    """Edges (u, v) over distinct fingerprints (id, fp) that connect exactly what distances up to ``radius`` connect.
+
+    With ``mark``, members of buckets that were swept, not compared pair by pair, come as edges to themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = pivots()
         for keys, ids, fps in _whole_runs(batches):
-            yield _edge_batch(*_search(keys, ids, fps.astype(np.int64).view(np.uint64), refs, radius))
+            yield _edge_batch(*_search(keys, ids, fps.astype(np.int64).view(np.uint64), refs, radius, mark))
 
     return _keyed(nodes, radius).mapInArrow(run, "u long, v long").distinct()
 
@@ -250,6 +258,17 @@ def _pairs(keys: np.ndarray, ids: np.ndarray, ok: Callable[[np.ndarray, np.ndarr
         yield _edge_batch(np.concatenate(u), np.concatenate(v))
 
 
+def apart(nodes: DataFrame, radius: int) -> DataFrame:
+    """All pairs (u, v) of fingerprints (id, fp, label) within ``radius`` whose labels differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ids, fps, label in _whole_runs(batches):
+            bits = fps.astype(np.int64).view(np.uint64)
+            yield from _pairs(keys, ids, lambda a, b: (label[a] != label[b]) & (np.bitwise_count(bits[a] ^ bits[b]) <= radius))  # noqa: B023
+
+    return _keyed(nodes, radius, "label").mapInArrow(run, "u long, v long").distinct()
+
+
 #: Documents whose shingles tell the frequent ones, in how many of them a frequent one stands, and how many are kept.
 _SAMPLE, _FREQUENT, _HOT = 5_000, 4, 100_000
 #: Buckets of shingles beyond this size are compared with their first member before all their pairs.
@@ -400,15 +419,18 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     if least is None:
         groups = components(links(nodes, radius))
     else:
-        good = cut(verified(links(nodes, radius), docs, least, key, text, width), "good")
+        found = cut(links(nodes, radius, mark=not whole), "links")
+        good = cut(verified(found.filter("u <> v"), docs, least, key, text, width), "good")
         if whole:
             same = named.join(nodes.withColumnRenamed("id", "v"), "fp").filter("id <> v").select(F.col("id").alias("u"), "v")
             good = cut(good.unionByName(same).distinct(), "good")
         groups = cut(components(good), "components")
-        rounds = []
         if whole:
             shared = cut(prefixes(docs, least, key, text, width), "shared-shingles")
-            rounds += [lambda g: alike(shared, g, least, True), lambda g: alike(shared, g, least, False)]
+            rounds = [lambda g: alike(shared, g, least, True), lambda g: alike(shared, g, least, False)]
+        else:
+            swept = nodes.join(found.filter("u = v").select(F.col("u").alias("id")), "id", "left_semi")
+            rounds = [lambda g: apart(swept.join(g, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("label")), radius)]
         for pairs in rounds:
             more = cut(verified(pairs(groups), docs, least, key, text, width), "more")
             if not more.isEmpty():

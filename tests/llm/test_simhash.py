@@ -176,3 +176,23 @@ def test_whole_finds_copies_beyond_the_radius(spark):
     assert got == want
     cut_short = {r.doc_id: r.component_id for r in simhash.near_groups(docs, width=5, radius=8, least=0.8).collect()}
     assert len(set(cut_short.values())) > len(set(want.values()))
+
+
+def test_swept_buckets_keep_every_link(spark):
+    """Several hundred varied copies share swept buckets: a fingerprint whose sweep edge fails still gets its other links."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.randrange(0, 8)):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    rng.shuffle(rows)
+    texts = {n: t for n, (_, t) in enumerate(rows)}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    ids = sorted(texts)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts.items() if (w := t.split())}
+    want = plain_components(ids, [simhash.fingerprint(texts[i].encode(), 5) for i in ids], 8, lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs, width=5, radius=8, least=0.8).collect()}
+    assert got == want
