@@ -376,6 +376,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         now = cut(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
 
 
