@@ -36,20 +36,98 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.llm.common import bounded_batches, cut
+from mnemoframe.llm.rolling import prefix_sums, window
 
 CAPACITY = 2048
 GROUPS = 64
 #: Lengths up to this are small: they wait for the slack.
 SMALL = 100
-#: Words of a generation whose ids a worker remembers; it keeps two (about 200 bytes a word).
-CACHE = 270_000
+#: Words of a generation whose ids a worker remembers; it keeps two (about 40 bytes a word).
+CACHE = 800_000
+#: Words of more bytes are not remembered.
+LONG = 48
 #: Bytes of texts encoded together: the more, the fewer words are looked up twice.
 CHUNK = 6 << 20
 #: White space beyond ASCII, control characters, and what may start a special token: such texts are encoded whole.
 _ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0 ᠎ -‏ -  　﻿]")
 
-#: Words that the tokenizer takes as one, whatever the case.
-_LATIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
+#: Words that the tokenizer takes as one, whatever the case, and marks that are tokens of their own behind them.
+_LATIN, _MARKS = "^[a-zA-ZÀ-ÖØ-öø-ÿ]+$", ",.;:!?"
+
+
+class Words:
+    """Ids of words by the words' hashes: arrays only, an open table of 64-bit hashes and one run of ids."""
+
+    def __init__(self, kind: type, room: int = 1 << 14):
+        self.n = 0
+        self.table = np.zeros(room, np.uint64)  # hash by slot, 0 where free
+        self.which = np.zeros(room, np.int32)
+        self.starts = np.zeros(room // 2 + 1, np.int64)
+        self.ids = np.zeros(4 * room, kind)
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(65 - len(self.table).bit_length())).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash's word, or -1."""
+        out = np.full(len(h), -1, np.int32)
+        rows, slot, last = np.arange(len(h)), self._slots(h), len(self.table) - 1
+        while len(rows):
+            there = self.table[slot]
+            hit = there == h[rows]
+            out[rows[hit]] = self.which[slot[hit]]
+            on = ~hit & (there != 0)
+            rows, slot = rows[on], (slot[on] + 1) & last
+        return out
+
+    def add(self, h: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct new hashes with so many ids each."""
+        first, n = self.n, self.n + len(h)
+        while len(self.starts) <= n:
+            self.starts = np.concatenate((self.starts, np.zeros(len(self.starts), np.int64)))
+        end = int(self.starts[first]) + len(ids)
+        while len(self.ids) < end:
+            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), self.ids.dtype)))
+        self.ids[end - len(ids) : end] = ids
+        self.starts[first + 1 : n + 1] = self.starts[first] + np.cumsum(sizes)
+        self.n = n
+        if 2 * n > len(self.table):
+            used = np.flatnonzero(self.table)
+            old, which = self.table[used], self.which[used]
+            room = 1 << (4 * n).bit_length()
+            self.table, self.which = np.zeros(room, np.uint64), np.zeros(room, np.int32)
+            self._put(old, which)
+        self._put(h, np.arange(first, n, dtype=np.int32))
+
+    def _put(self, h: np.ndarray, which: np.ndarray) -> None:
+        slot, last = self._slots(h), len(self.table) - 1
+        while len(h):
+            free = self.table[slot] == 0
+            self.table[slot[free]] = h[free]  # of several that want one slot, the last gets it
+            got = free & (self.table[slot] == h)
+            self.which[slot[got]] = which[got]
+            h, which, slot = h[~got], which[~got], (slot[~got] + 1) & last
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of words by number."""
+        sizes = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(sizes)
+        return sizes, self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
+
+
+def word_hashes(words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, size in bytes) of each word; two rolling hashes in one number, never 0."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    a, b = int(offsets[0]), int(offsets[-1])
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[a:b] if b > a else np.zeros(0, np.uint8)
+    starts, ends = offsets[:-1] - a, offsets[1:] - a
+    h = np.zeros(len(words), np.uint64)
+    for at in range(0, len(words), 50_000):  # short runs keep the powers few
+        lo, hi = int(starts[at]), int(ends[min(at + 50_000, len(words)) - 1])
+        part = slice(at, at + 50_000)
+        h[part] = window(prefix_sums(data[lo:hi].astype(np.uint64) + np.uint64(1)), starts[part] - lo, ends[part] - lo)
+    sizes = ends - starts
+    return np.maximum(h ^ (sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.uint64(1)), sizes
 
 
 class Encoder:
@@ -67,81 +145,124 @@ class Encoder:
         self.latin = Tokenizer.from_file(path)
         self.latin.normalizer = None
         self.latin.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.marks = {x: self._whole(x) for x in ",.;:!?"} | {"": b""}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        known = self.known
-        plain, other, marked = [], [], []
-        for w in words:
-            if not w:  # before a text's first blank, or after its last
-                known[w] = b""
-                continue
-            # case is dropped, and a mark after a letter is a token of its own: such words follow from others
-            end = m.end() if (m := _LATIN.match(w)) else 0
-            if end == len(w) or end == len(w) - 1 and w[-1] in self.marks:
-                base = w[:end].lower()
-                marked.append((w, base, self.marks[w[end:]]))
-                if base not in known:
-                    plain.append(base)
-            elif "\0" in w:
-                known[w] = self._whole(w)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes that a token stands for, one a character
+        for token, i in self.tokenizer.get_vocab().items():
+            self.sizes[i] = len(token.removesuffix("</w>"))
+        self.marks = {ord(x): int(ids[0]) for x in _MARKS if len(ids := self._whole(x)) == 1}
+        self.known, self.older = Words(self.kind), Words(self.kind)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._whole(w).astype(self.kind) for w in words]
+        return np.array([len(x) for x in found], np.int64), np.concatenate([np.zeros(0, self.kind), *found])
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of words of lower-case Latin letters, many in one call: where a word ends follows from the bytes that its tokens stand for."""
+        sizes, out = [], []
+        for at in range(0, len(words), 2_000):
+            part = words[at : at + 2_000]
+            ids = np.array(self.latin.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ends, want = np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) for w in part])
+            cuts = np.searchsorted(ends, want)
+            if len(ends) and ends[-1] == want[-1] and np.array_equal(ends[cuts], want):
+                n, found = np.diff(np.concatenate(([0], cuts + 1))), ids
             else:
-                other.append(w)
-        self._encode(self.latin, list(set(plain)))
-        self._encode(self.tokenizer, other)
-        known.update((w, known[base] + mark) for w, base, mark in marked)
-
-    def _encode(self, tokenizer, words: list[str]) -> None:
-        """Encode many words in one call: a NUL between them is a word of its own, whose id marks the ends."""
-        mark = tokenizer.encode("\0", add_special_tokens=False).ids
+                n, found = self._one_by_one(part)
+            sizes.append(n)
+            out.append(found)
+        return np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, self.kind), *out])
+
+    def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of any words: a NUL between them is a word of its own, whose id marks the ends."""
+        mark = self.tokenizer.encode("\0", add_special_tokens=False).ids
+        sizes, out = [], []
         for at in range(0, len(words), 5_000):
             part = words[at : at + 5_000]
-            ids = np.array(tokenizer.encode_batch_fast([" \0 ".join(part) + " \0"], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(ids == mark[0]).tolist()
-            if len(mark) != 1 or len(ends) != len(part):
-                self.known.update((w, self._whole(w)) for w in part)
-                continue
-            data, starts = ids.tobytes(), [0, *(e + 1 for e in ends)]
-            self.known.update((w, data[4 * x : 4 * y]) for w, x, y in zip(part, starts, ends))
-
-    def _known(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words."""
-        if len(self.known) > CACHE:  # words not seen since the last such moment go
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        found = list(map(known.get, words))
-        fresh = [w for w, ids in zip(words, found) if ids is None]
-        if older:
-            known.update((w, older[w]) for w in fresh if w in older)
-            fresh = [w for w in fresh if w not in older]
-        self._learn(fresh)
-        return [known[w] if ids is None else ids for w, ids in zip(words, found)]
+            ids = np.array(self.tokenizer.encode_batch_fast([" \0 ".join(part) + " \0"], add_special_tokens=False)[0].ids, dtype=self.kind)
+            is_end = ids == mark[0]
+            ends = np.flatnonzero(is_end)
+            if len(mark) != 1 or len(ends) != len(part) or any("\0" in w for w in part):
+                n, found = self._one_by_one(part)
+            else:
+                n, found = np.diff(np.concatenate(([-1], ends))) - 1, ids[~is_end]
+            sizes.append(n)
+            out.append(found)
+        return np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, self.kind), *out])
+
+    def _learn(self, words: pa.LargeStringArray, h: np.ndarray) -> None:
+        """Remember words that are not known.  Case is dropped, and a mark after a letter is a token of its own: most words follow from others."""
+        base = pc.utf8_rtrim(words, characters=_MARKS)
+        marked = pc.binary_length(words).to_numpy() - pc.binary_length(base).to_numpy()
+        plain = (marked <= 1) & pc.match_substring_regex(base, _LATIN).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(plain)
+        names = pc.utf8_lower(base.take(pa.array(rows))).dictionary_encode()
+        own, _ = word_hashes(names.dictionary)
+        new = np.flatnonzero(self.known.find(own) < 0)
+        self.known.add(own[new], *self._letters(names.dictionary.take(pa.array(new)).to_pylist()))
+        rows_of = names.indices.to_numpy()
+        left = self.known.find(h[rows]) < 0  # others than the bases themselves
+        rows, at, mark = rows[left], self.known.find(own)[rows_of[left]], marked[rows[left]]
+        sizes, ids = self.known.gather(at)
+        out = np.zeros(len(ids) + int(mark.sum()), self.kind)
+        out[np.arange(len(ids)) + np.repeat(np.cumsum(mark) - mark, sizes)] = ids
+        texts = words.take(pa.array(rows[mark == 1])).to_pylist()
+        out[np.cumsum(sizes + mark)[mark == 1] - 1] = [self.marks[ord(w[-1])] for w in texts]
+        self.known.add(h[rows], sizes + mark, out)
+        rows = np.flatnonzero(~plain)
+        self.known.add(h[rows], *self._others(words.take(pa.array(rows)).to_pylist()))
+
+    def _known(self, words: pa.LargeStringArray) -> np.ndarray:
+        """Numbers of distinct words among the known ones; unknown ones are learned."""
+        if self.known.n > CACHE:  # words not seen since the last such moment go
+            self.older, self.known = self.known, Words(self.kind)
+        h, sizes = word_hashes(words)
+        new = np.flatnonzero(self.known.find(h) < 0)
+        if len(new) and self.older.n:
+            old = self.older.find(h[new])
+            have = old >= 0
+            self.known.add(h[new[have]], *self.older.gather(old[have]))
+            new = new[~have]
+        if len(new):
+            self._learn(words.take(pa.array(new)), h[new])
+        return self.known.find(h)
 
     def encode(self, texts: list[str], column: pa.Array | None = None) -> list[bytes]:
         """Ids of texts (``column``: the same texts, if they come from Arrow).
 
         Words are split and numbered by Arrow's kernels; only a batch's distinct ones are looked up, and their ids gathered in arrays.
+        Texts with what those kernels would split otherwise, or with a word of over ``LONG`` bytes, are encoded whole.
         """
         odd = [bool(_ODD.search(t)) for t in texts]
         if column is None or any(odd):
             column = pa.array(["" if o else t for t, o in zip(texts, odd)], pa.large_string())
         lists = pc.ascii_split_whitespace(pc.ascii_lower(column))
         words = lists.values.dictionary_encode()
-        ids = self._known(words.dictionary.to_pylist())
-        blob = np.frombuffer(b"".join(ids), "<u4")
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(sizes) - sizes
-        at = words.indices.to_numpy()
-        each = sizes[at]
-        ends = np.concatenate(([0], np.cumsum(each)))
-        out = blob[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], each)]
-        cuts = ends[lists.offsets.to_numpy()]
-        return [self._whole(t) if o else out[a:b].tobytes() for t, o, a, b in zip(texts, odd, cuts.tolist(), cuts[1:].tolist())]
+        names, at, ends = words.dictionary, words.indices.to_numpy(), lists.offsets.to_numpy()
+        large = np.flatnonzero(pc.binary_length(names).to_numpy() > LONG)
+        if len(large):
+            where = np.searchsorted(ends, np.flatnonzero(np.isin(at, large)), side="right") - 1
+            for i in set(where.tolist()):
+                odd[i] = True
+            return self.encode_some(texts, odd)
+        sizes, out = self.known_ids(names, at)
+        cuts = np.concatenate(([0], np.cumsum(sizes)))[ends]
+        return [self._whole(t).tobytes() if o else out[a:b].tobytes() for t, o, a, b in zip(texts, odd, cuts.tolist(), cuts[1:].tolist())]
+
+    def encode_some(self, texts: list[str], odd: list[bool]) -> list[bytes]:
+        """Texts with the marked ones encoded whole."""
+        rest = iter(self.encode([t for t, o in zip(texts, odd) if not o]) if not all(odd) else [])
+        return [self._whole(t).tobytes() if o else next(rest) for t, o in zip(texts, odd)]
+
+    def known_ids(self, names: pa.LargeStringArray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, 32-bit ids) of words given by their numbers among ``names``."""
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, "<u4")
+        which = self._known(names)  # may turn the memory over
+        sizes, ids = self.known.gather(which[at])
+        return sizes, ids.astype("<u4")
 
 
 _encoders: dict[str, Encoder] = {}

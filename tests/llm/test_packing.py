@@ -18,6 +18,19 @@ def test_encoder_equals_whole_texts(spark, small):
             assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_words_are_forgotten_and_learned_again(monkeypatch):
+    """Random words of many scripts, long ones, and a memory of a few words: always the ids of the whole text."""
+    monkeypatch.setattr(packing, "CACHE", 50)
+    tok, enc, rng = Tokenizer.from_file(PATH), packing.Encoder(PATH), np.random.default_rng(3)
+    letters = "aAbßéÉÑçñz.,;:!?'-0٣अ日𝒳\u0301\u0130"
+    words = ["".join(rng.choice(list(letters), rng.integers(1, 9))) for _ in range(400)] + ["x" * 49, "é" * 24, "é" * 25 + ",", "y" * 5000]
+    for _ in range(40):
+        texts = [" ".join(rng.choice(words, 12)) for _ in range(5)] + [""]
+        for t, ids in zip(texts, enc.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert enc.encode([]) == [] and enc.encode(["", " "]) == [b"", b""]
+
+
 def test_plan_holds_all_and_wastes_little():
     rng = np.random.default_rng(1)
     for counts in (rng.poisson(40, 2049), rng.integers(0, 2, 2049), np.eye(2049, dtype=int)[700] * 1000, np.bincount(rng.integers(500, 1400, 3000), minlength=2049)):
