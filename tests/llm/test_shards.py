@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from mnemoframe.llm import shards
 
 
@@ -41,3 +43,14 @@ def test_hot_key_and_edges(spark, tmp_path):
     assert shards.assign(docs.limit(0)).count() == 0
     shards.write(docs.filter("doc_id > 1 AND doc_id < 40"), str(tmp_path / "out"), 4000)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 38
+
+
+def test_write_keeps_repeated_rows(spark, tmp_path):
+    """A key whose rows are over the limit goes to several parts: each row to one of them."""
+    rows = [(1, "x" * 100, i) for i in range(61)] + [(None, "y" * 90, 0)] * 3 + [(i, "z" * 50, 0) for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bytes int")
+    shards.write(docs, str(tmp_path / "out"), 1000)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, out.select("doc_id", "text", "bytes").collect())) == sorted(map(str, docs.collect()))
+    assert max(r.b for r in out.groupBy("_shard").agg(F.sum(F.length("text")).alias("b")).collect()) <= 1000
+    assert out.filter("doc_id = 1").select("_shard").distinct().count() > 6
