@@ -3,17 +3,27 @@
 Every text is measured and held against per-document rules.  Rule failures are
 then summed by host; each host's failure rate is shrunk towards the rate of all
 hosts with an empirical beta prior (fitted by moments), so that a host with few
-documents is not judged by chance; a host whose shrunk rate of failed documents
-is over ``host_limit`` is rejected, and its verdict joined back to its documents.
+documents is not judged by chance, and the verdict is joined back:
+
+* ``rejected``, if the shrunk rate is nearer to certain failure than to the mean
+  of the prior: all documents go;
+* ``watched``, if it is above that mean: documents go that fail any rule;
+* ``trusted`` otherwise: documents go that fail the base rules.
+
+So a weak sign (odd words, symbols, repeated lines) counts where the host makes
+it likely to mean something.
 
 Defined results: a null text counts as empty (no words, so it fails); a null
-host is a host of its own; repeated rows each count and are each returned; an
-empty table gives an empty result; columns of the input other than key, text and
-host are not read, so clashing names do no harm.
+host is a host of its own; repeated rows each count and are each returned; a
+host whose rate equals the mean is trusted; an empty table gives an empty
+result; columns of the input other than key, text and host are not read, so
+clashing names do no harm.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +35,10 @@ SYMBOLS = r"[#*$%&|<>]"
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host goes if over this share of its documents fail, after shrinking.
-HOST_LIMIT = 0.8
+#: How far from the prior's mean towards certain failure a host's shrunk rate may lie.
+HOST_LIMIT = 0.5
+#: Rates nearer to the mean than this equal it.
+EQUAL = 1e-9
 
 
 def repeat_words(docs: DataFrame, words: str, out: str) -> DataFrame:
@@ -81,16 +93,17 @@ def rules() -> dict[str, Column]:
     }
 
 
+def any_failed() -> Column:
+    return reduce(Column.__or__, rules().values())
+
+
 def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
-    """Per host: n, failed documents and the shrunk rate.
+    """Per host: n, failed documents, the shrunk rate and the prior's mean.
 
     The beta prior has the mean of all documents; its weight (in documents) follows from the spread of
     the hosts' rates beyond what counting alone gives, from 1 (hosts differ at will) to 10,000 (they are alike).
     """
-    failed = F.lit(False)
-    for rule in rules().values():
-        failed = failed | rule
-    by = measured.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(failed.cast("long")).alias("failed"))
+    by = measured.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(any_failed().cast("long")).alias("failed"))
     by = cut(by, "hosts")
     n, f = F.col("n"), F.col("failed")
     mean = by.agg(F.sum("n").alias("docs"), F.sum("failed").alias("fails"), F.count(F.lit(1)).alias("hosts"))
@@ -101,12 +114,15 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
     between = F.try_divide(F.col("ss") - (F.col("hosts") - 1) * within, F.col("docs") - F.try_divide("nn", "docs"))
     weight = F.greatest(F.lit(1.0), F.least(F.lit(10_000.0), F.coalesce(F.when(between > 0, within / between - 1), F.lit(10_000.0))))
     prior = prior.select("mu", weight.alias("nu"))
-    return by.join(F.broadcast(prior)).select("host", "n", "failed", ((f + F.col("mu") * F.col("nu")) / (n + F.col("nu"))).alias("host_rate"))
+    return by.join(F.broadcast(prior)).select("host", "n", "failed", ((f + F.col("mu") * F.col("nu")) / (n + F.col("nu"))).alias("host_rate"), "mu")
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
-    """Per row: key, host, the measures, base_failed, host_rate and kept."""
+    """Per row: key, host, the measures, base_failed, host_rate, host_verdict and kept."""
     measured = cut(measure(docs, key, text, host), "measured")
-    verdicts = small(host_rates(measured, host).select(F.col("host").alias("_host"), "host_rate"))
+    over = F.col("host_rate") - F.col("mu")
+    verdict = F.when(over > host_limit * (1 - F.col("mu")), "rejected").when(over > EQUAL, "watched").otherwise("trusted")
+    verdicts = small(cut(host_rates(measured, host).select(F.col("host").alias("_host"), "host_rate", verdict.alias("host_verdict")), "verdicts"))
     out = measured.join(verdicts, F.col(host).eqNullSafe(F.col("_host"))).drop("_host").withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_limit))
+    fails = F.when(F.col("host_verdict") == "watched", any_failed()).otherwise(F.col("base_failed"))
+    return out.withColumn("kept", ~fails & (F.col("host_verdict") != "rejected"))

@@ -42,15 +42,12 @@ def op4_url_digest_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_verdict")
 
 
 def op5_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = cut(digest.fingerprints(docs), "digests")
-    groups = digest.groups(docs, found).select(F.col("doc_id").alias("_k"), "group_id")
-    out = found.join(groups, F.col("doc_id") == F.col("_k"), "left").drop("_k")
-    return out.withColumn("group_id", F.coalesce("group_id", "doc_id"))
+    return digest.with_groups(cut(digest.fingerprints(docs), "digests"), docs)
 
 
 def op6_gumbel_topk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +56,19 @@ def op6_gumbel_topk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bayesian_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    """Documents, and pages by their main text, the language that their markup declares and the host of their address.
+
+    A page's doc_id is -1 - page_id, so that every row has an id of its own.  The text model is fitted on documents.
+    """
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), "lang")
+    pages = html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    pages = pages.select(
+        (-1 - F.col("page_id")).alias("doc_id"), "page_id", "text", language_id.declared_language(F.col("html")).alias("declared"),
+        language_id.host_of(F.col("url")).alias("host"), F.lit(None).cast("string").alias("lang"),
+    )
+    model = language_id.fit(docs)
+    found = language_id.identify(docs.unionByName(pages), declared="declared", host="host", model=model, carry=["page_id"])
+    return found.select("doc_id", "carried.page_id", "language", "confidence", "text_language", "kept")
 
 
 def op9_pairwise_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +76,12 @@ def op9_pairwise_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", F.col("_ld_blocks").alias("n_blocks"), F.col("_ld_words").alias("n_words_deleted"))
 
 
+#: Bytes of a shard, small enough for an executor to shuffle many at once; every given table splits at it.
+SHARD_BYTES = 1 << 20
+
+
 def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.assign(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return shards.assign(_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)
 
 
 def op10_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,27 +151,30 @@ WITH d AS (
 ), p AS (
   SELECT mu, greatest(1.0, least(10000.0, CASE WHEN between_hosts > 0 THEN mu * (1 - mu) / between_hosts - 1 ELSE 10000.0 END)) AS nu FROM b
 ), r AS (
-  SELECT source, (bad + mu * nu) / (n + nu) AS rate FROM h, p
+  SELECT source, mu, (bad + mu * nu) / (n + nu) AS rate FROM h, p
+), v AS (
+  SELECT source, CASE WHEN rate - mu > 0.5 * (1 - mu) THEN 'rejected' WHEN rate - mu > 1e-9 THEN 'watched' ELSE 'trusted' END AS host_verdict FROM r
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.8 AS kept
-FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_verdict,
+       CASE host_verdict WHEN 'rejected' THEN FALSE WHEN 'watched' THEN NOT failed ELSE NOT base_failed END AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
-_OP8_SQL = r"""
+_OP8_SQL = rf"""
 WITH d AS (
   SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents
-), small AS (SELECT * FROM d WHERE bytes <= 67108864), u AS (
+), small AS (SELECT * FROM d WHERE bytes <= {SHARD_BYTES}), u AS (
   SELECT *, h >> (60 - CAST(depth AS INT)) AS prefix FROM small, range(61) r(depth)
 ), fits AS (
-  SELECT depth, prefix FROM u GROUP BY ALL HAVING sum(bytes) <= 67108864
+  SELECT depth, prefix FROM u GROUP BY ALL HAVING sum(bytes) <= {SHARD_BYTES}
 ), leaf AS (
   SELECT doc_id, bytes, h, min(depth) AS depth FROM u JOIN fits USING (depth, prefix) GROUP BY ALL
 ), s AS (
   SELECT doc_id, bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - CAST(depth AS INT))), CAST(depth AS INT), '0') END AS shard, CAST(depth AS INT) AS depth FROM leaf
-  UNION ALL SELECT doc_id, bytes, '*' || upper(to_hex(h)), 60 FROM d WHERE bytes > 67108864
+  UNION ALL SELECT doc_id, bytes, '*' || upper(to_hex(h)), 60 FROM d WHERE bytes > {SHARD_BYTES}
 )
 SELECT doc_id, bytes, shard, depth, CAST(sum(bytes) OVER (PARTITION BY shard) AS BIGINT) AS shard_bytes,
-       count(*) OVER (PARTITION BY shard) AS shard_rows, bytes > 67108864 AS oversized FROM s
+       count(*) OVER (PARTITION BY shard) AS shard_rows, bytes > {SHARD_BYTES} AS oversized FROM s
 """
 
 ORACLES = {"op3_host_quality_rules": _OP3_SQL, "op4_url_digest_array": _OP4_SQL, "op8_extendible_shards": _OP8_SQL}
