@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -19,7 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not _OWN_DIR:
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _OWN_DIR or not os.path.isdir(_OWN_DIR[0].removeprefix("file://")):
+        _OWN_DIR.clear()
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="mnemoframe-"))
     return _OWN_DIR[0]
 
@@ -55,14 +59,9 @@ def small(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if n <= limit else ids
 
 
-def checked_text(text: str = "text"):
-    """A null text as an empty one."""
-    return F.coalesce(F.col(text), F.lit(""))
-
-
-def row_key(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "_row") -> DataFrame:
-    """``docs`` with a struct that tells rows apart by key and text; equal rows share it."""
-    return docs.withColumn(out, F.struct(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t")))
+def row_key(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "_row", more: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with a struct that tells rows apart by key, text and the columns ``more``; rows equal in these share it."""
+    return docs.withColumn(out, F.struct(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), *[F.col(c) for c in more]))
 
 
 def without(docs: DataFrame, rejected: DataFrame, key: str = "_row") -> DataFrame:

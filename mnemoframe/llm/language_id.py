@@ -5,14 +5,17 @@ naive Bayes), the language that markup declares, through a confusion table
 estimated on all documents, and the prior of the host, smoothed towards its
 address suffix, which is smoothed towards the whole corpus.  All counts behind
 the confusion table and the priors are grouped sums of the text posteriors over
-all documents; only the trigram model is fitted on a sample, whose bound is the
-parameter ``sample_rows`` (the rows with the smallest hashes of their keys).
+all documents; only the trigram model is fitted on a sample: at most
+``sample_rows`` rows (those with the smallest hashes of their keys) out of one
+labelled row in ``SAMPLE_SHARE``, so that at any size nearly all rows are judged
+by a model that has not seen them.
 
 Defined results: a null text, or one under three bytes, has no likelihood, and
 declared language and host decide; a null declaration is a value of its own; a
 null host shares the empty host; without labelled rows every language is
 ``und`` and nothing is kept; repeated rows each count and get equal results;
-ties go to the first language by name; other columns pass unread.
+ties go to the first language by name; other columns pass unread, those named in
+``carry`` as the struct ``carried``.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ from pyspark.sql import types as T
 from mnemoframe.llm.common import bounded_batches, cut, small
 
 SAMPLE_ROWS = 4_000
+SAMPLE_SHARE = 5
 BUCKETS = 1 << 14
 #: Trigrams overlap and repeat: their log likelihood counts for this share.
 TEMPER = 0.25
 #: Documents that a suffix's (corpus's) prior is worth in a host's (suffix's).
 PRIOR_DOCS = 20.0
-MIN_CONFIDENCE = 0.3
+#: A language is sure enough if it is more probable than all others together, whatever their number.
+MIN_CONFIDENCE = 0.5
 
 
 def trigrams(text: bytes) -> np.ndarray:
@@ -50,9 +55,20 @@ def _bytes(x: pa.Scalar) -> bytes:
     return x.as_buffer().to_pybytes() if x.is_valid else b""
 
 
+def declared_language(html: Column) -> Column:
+    """The primary language that a page's root element declares (``lang`` of ``html``), in lower case; null if there is none."""
+    found = F.regexp_extract(html, r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([a-z]+)""", 1)
+    return F.lower(F.nullif(found, F.lit("")))
+
+
+def host_of(url: Column) -> Column:
+    """The host of an address, in lower case; empty if there is none."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1))
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities of the buckets in each (buckets x languages), from at most about ``sample_rows`` labelled rows."""
-    labelled = docs.filter(F.col(label).isNotNull()).withColumn("_h", F.xxhash64(key))
+    labelled = docs.filter(F.col(label).isNotNull()).withColumn("_h", F.xxhash64(key)).filter(F.pmod(F.xxhash64("_h"), F.lit(SAMPLE_SHARE)) == 0)
     edge = labelled.select("_h").orderBy("_h").limit(sample_rows).agg(F.max("_h")).first()[0]
     if edge is None:
         return [], np.zeros((BUCKETS, 0))
@@ -104,16 +120,18 @@ def _softmax(scores: list[Column]) -> list[Column]:
 
 def identify(
     docs: DataFrame, key: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source", label: str = "lang",
-    model: tuple[list[str], np.ndarray] | None = None, min_confidence: float = MIN_CONFIDENCE,
+    model: tuple[list[str], np.ndarray] | None = None, min_confidence: float = MIN_CONFIDENCE, carry: list[str] | None = None,
 ) -> DataFrame:
-    """Per row: key, language, confidence (its posterior), text_language (by the text alone) and kept (confidence of ``min_confidence`` or more)."""
+    """Per row: key, language, confidence (its posterior), text_language (by the text alone), kept (confidence of ``min_confidence`` or more) and, if asked for, carried."""
+    carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    extra = ["carried"] if carry else []
     langs, table = model or fit(docs, key, text, label)
     if not langs:
-        return docs.select(F.col(key), F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_language"), F.lit(False).alias("kept"))
+        return docs.select(F.col(key), F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_language"), F.lit(False).alias("kept"), *carried)
     h = F.coalesce(F.col(host).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("k"), F.col(text), F.coalesce(F.col(declared).cast("string"), F.lit("\0")).alias("d"), h.alias("h"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.col(declared).cast("string"), F.lit("\0")).alias("d"), h.alias("h"), *carried)
     rows = rows.withColumn("s", F.when(F.col("h").contains("."), F.substring_index("h", ".", -1)).otherwise(""))
-    seen = cut(likelihoods(rows, table, ["k", "d", "h", "s"], text), "likelihoods")
+    seen = cut(likelihoods(rows, table, ["k", "d", "h", "s", *extra], "t"), "likelihoods")
     ids = range(len(langs))
     ll = [F.col("ll")[i] * TEMPER for i in ids]
     soft = seen.select("*", *[p.alias(f"p{i}") for i, p in enumerate(_softmax(ll))])
@@ -133,8 +151,8 @@ def identify(
     posterior = _softmax([ll[i] + F.col(f"d{i}") + F.col(f"h{i}") for i in ids])
     best = lambda cols: F.array_max(F.array(*[F.struct(c.alias("p"), F.lit(-i).alias("i")) for i, c in enumerate(cols)]))
     names = F.array(*[F.lit(x) for x in langs])
-    full = full.select("k", best(posterior).alias("b"), best([F.col(f"p{i}") for i in ids]).alias("t"))
+    full = full.select("k", *extra, best(posterior).alias("b"), best([F.col(f"p{i}") for i in ids]).alias("t"))
     return full.select(
         F.col("k").alias(key), names[-F.col("b.i")].alias("language"), F.col("b.p").alias("confidence"),
-        names[-F.col("t.i")].alias("text_language"), (F.col("b.p") >= min_confidence).alias("kept"),
+        names[-F.col("t.i")].alias("text_language"), (F.col("b.p") >= min_confidence).alias("kept"), *extra,
     )

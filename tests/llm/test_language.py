@@ -33,3 +33,44 @@ def test_evidence_is_fused(spark):
     total = language_id.identify(docs.limit(0))
     assert total.count() == 0
     assert language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).filter("language <> 'und' OR kept").count() == 0
+
+
+def test_posterior_equals_a_plain_one(spark):
+    """The same model, summed up document by document."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300)
+    rows = docs.select("doc_id", F.substring("text", 1, 12).alias("text"), "lang", F.concat("source", F.when(F.col("doc_id") % 3 == 0, ".one").otherwise(".two")).alias("source"))
+    rows = rows.withColumn("declared", F.when(F.col("doc_id") % 4 == 0, None).when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang")))
+    langs, table = model = language_id.fit(docs)
+    data, n = rows.collect(), len(langs)
+    ll = np.array([[language_id.TEMPER * table[language_id.trigrams(r.text.encode()), j].sum() for j in range(n)] for r in data])
+    soft = np.exp(ll - ll.max(axis=1, keepdims=True))
+    soft /= soft.sum(axis=1, keepdims=True)
+    total = soft.sum(axis=0)
+    world = (total + 1) / (total.sum() + n)
+
+    def sums(key):
+        out = {}
+        for r, p in zip(data, soft):
+            out[key(r)] = out.get(key(r), 0) + p
+        return out
+
+    declared, hosts, suffixes = sums(lambda r: r.declared), sums(lambda r: r.source), sums(lambda r: r.source.rpartition(".")[2])
+    smooth = lambda own, prior: (own + language_id.PRIOR_DOCS * prior) / (own.sum() + language_id.PRIOR_DOCS)
+    want = {}
+    for r, x in zip(data, ll):
+        prior = smooth(hosts[r.source], smooth(suffixes[r.source.rpartition(".")[2]], world))
+        s = x + np.log((declared[r.declared] + 0.5) / (total + 0.5 * (len(declared) + 1))) + np.log(prior)
+        e = np.exp(s - s.max())
+        want[r.doc_id] = (langs[int(s.argmax())], float((e / e.sum()).max()))
+    got = language_id.identify(rows, declared="declared", model=model, carry=["source"]).collect()
+    for r in got:
+        assert r.language == want[r.doc_id][0] and abs(r.confidence - want[r.doc_id][1]) < 1e-9
+        assert r.kept == (r.confidence >= language_id.MIN_CONFIDENCE)
+    assert len(got) == len(data) and any(r.language != r.text_language for r in got)
+
+
+def test_declarations_and_hosts(spark):
+    rows = [("<!DOCTYPE html><HTML class=a LANG='De-AT'>", "HTTPS://A.b.Com:80/x"), ('<html data-lang="en">', "no address"), (None, None), ('<html lang=fr><p lang="es">', "http://h.org?q#f")]
+    df = spark.createDataFrame(rows, "h string, u string")
+    got = [tuple(r) for r in df.select(language_id.declared_language(F.col("h")), language_id.host_of(F.col("u"))).collect()]
+    assert got == [("de", "a.b.com:80"), (None, ""), (None, ""), ("fr", "h.org")]

@@ -49,3 +49,12 @@ def test_bad_host_takes_its_documents_along(spark):
     assert got[400].host_rate > 0.9 and not got[400].kept and not got[400].base_failed
     assert got[402].kept  # two documents say little about a host: its rate stays near the prior
     assert got[500].kept
+
+
+def test_a_weak_sign_counts_on_a_watched_host(spark):
+    """Odd texts that pass the base rules stay on hosts at the mean or below, and go on hosts above it."""
+    good, odd = " ".join(f"word{i}" for i in range(80)), " ".join(f"w{i} # $" for i in range(60))
+    rows = [(i, odd if i % 3 == 0 else good, "worse") for i in range(300)] + [(1000 + i, odd if i == 0 else good, "better") for i in range(300)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0].host_verdict == "watched" and not got[0].kept and not got[0].base_failed and got[1].kept
+    assert got[1000].host_verdict == "trusted" and got[1000].kept
