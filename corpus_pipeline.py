@@ -24,13 +24,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain enough; the column lang becomes the language found."""
-    rows = row_key(docs)
+    rows = row_key(docs, more=("lang", "source"))
     found = cut(language_id.identify(rows, key="_row"), "languages")
-    other = found.join(rows.select(F.col("_row").alias("_r"), "lang"), F.col("_row").eqNullSafe(F.col("_r"))).filter(~F.col("lang").eqNullSafe(F.col("language")))
     kept = without(rows, found.filter(~F.col("kept")))
-    changed = small(other.filter("kept").select(F.col("_row").alias("_c"), F.col("language").alias("_l")).distinct())
-    kept = kept.join(changed, F.col("_row").eqNullSafe(F.col("_c")), "left")
-    return kept.withColumn("lang", F.coalesce("_l", "lang")).select(docs.columns)
+    changed = found.filter(F.col("kept") & ~F.col("_row.lang").eqNullSafe(F.col("language")))
+    changed = small(changed.select(F.col("_row").alias("_changed"), F.col("language").alias("_language")).distinct())
+    kept = kept.join(changed, F.col("_row").eqNullSafe(F.col("_changed")), "left")
+    return kept.withColumn("lang", F.coalesce("_language", "lang")).select(docs.columns)
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

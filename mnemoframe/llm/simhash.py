@@ -15,8 +15,8 @@ than ``radius`` is discarded, and only survivors are verified on all 64 bits.
 
 A bucket is searched breadth first and leaves one edge for each fingerprint it
 reaches, so output is linear in a bucket's size, whatever its density: a large
-group of near copies costs one sweep, not all its pairs.  Equal fingerprints are
-one node from the start.  Components of the remaining edges are found by
+group of near copies costs one sweep, not all its pairs.  Equal fingerprints (with
+a least similarity: equal sets of shingles) are one node from the start.  Components of the remaining edges are found by
 alternating large-star and small-star steps on distributed tables.
 
 With a least similarity the sweep's edges alone do not suffice: one that fails
@@ -25,7 +25,9 @@ again, all pairs whose components still differ.  ``whole`` finds every pair of
 that similarity, whatever its bit distance, through the shingles themselves: in
 one order of all shingles, two such texts share one of the first
 ``n - ceil(least * n) + 1`` of each (prefix filter, exact in any order; shingles
-that are frequent in a sample come last to keep buckets small).
+that are frequent in a sample come last to keep buckets small).  Candidates are
+held against parity sketches of the sets first, two bits a shingle, which never
+rule out a similar pair, so that few pairs need their texts side by side.
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero, which links like any other; fewer words than a shingle form
@@ -46,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.common import bounded_batches, cut, small
+from mnemoframe.llm.common import bounded_batches, cut, drop_cut, small
 
 PIVOTS = 16
 #: Stands for a null key among nodes.
@@ -55,9 +57,17 @@ _NULL_ID = -(1 << 63)
 CHANCE = 64.0
 
 
+def _bytes(x: pa.Scalar) -> bytes:
+    return x.as_buffer().to_pybytes() if x.is_valid else b""
+
+
 def fingerprint(text: bytes, width: int = 4) -> int:
     """The SimHash of a text's UTF-8 bytes: a bit is set if it is set in more than half of the shingles' XXH64 (seed 42)."""
-    h = _shingle_hashes(text, width)
+    return _majority(_shingle_hashes(text, width))
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):  # bounded memory for very long texts
         bits = np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -85,18 +95,50 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
-    """``key`` and ``fp`` (the fingerprint as a signed long) of every row."""
+def sketch(h: np.ndarray) -> bytes:
+    """The parity of a set's members in each of 2**i cells, at least twice as many as members.
+
+    Where two sets differ in d cells they differ in d members or more, which bounds their overlap from above without
+    the sets: nothing similar is ever ruled out.  A larger sketch folds onto a smaller one.
+    """
+    cells = 1 << max(6, int(2 * len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def may_be_alike(a: bytes, b: bytes, na: int, nb: int, least: float) -> bool:
+    """Whether sets of ``na`` and ``nb`` members with these sketches can have a Jaccard similarity of ``least``."""
+    need = least / (1 + least) * (na + nb) - 1e-9
+    if min(na, nb) < need:
+        return False
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return (na + nb - int(np.bitwise_count(x ^ y).sum())) / 2 >= need
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, sets: bool = False) -> DataFrame:
+    """``key`` and ``fp`` (the fingerprint as a signed long) of every row; with ``sets`` also n, sketch and a 128-bit digest of its set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [_signed(fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", width)) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["k", "fp"])
+            fps, n, sketches, digests = [], [], [], []
+            for x in b.column(1):
+                h = _shingle_hashes(_bytes(x), width)
+                fps.append(_signed(_majority(h)))
+                if sets:
+                    h = _as_set(h)
+                    n.append(len(h))
+                    sketches.append(sketch(h))
+                    digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+            more = [pa.array(n, pa.int64()), pa.array(sketches, pa.binary()), pa.array(digests, pa.binary())] if sets else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *more], names=["k", "fp", "n", "sketch", "digest"][: 2 + len(more)])
 
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").cast("binary").alias("t"))
-    return rows.mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", key)
+    return rows.mapInArrow(run, f"k {kind}, fp long" + ", n long, sketch binary, digest binary" * sets).withColumnRenamed("k", key)
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -277,7 +319,11 @@ _CROWD = 32
 
 def _shingle_set(text: bytes, width: int) -> np.ndarray:
     """The sorted distinct hashes of :func:`similarity`'s shingles: a text without words has one, the empty one."""
-    h = np.unique(_shingle_hashes(text, width))
+    return _as_set(_shingle_hashes(text, width))
+
+
+def _as_set(h: np.ndarray) -> np.ndarray:
+    h = np.unique(h)
     return h if len(h) else np.array([xxhash.xxh64_intdigest(b"", 42)], dtype="<u8")
 
 
@@ -295,10 +341,6 @@ def frequent(docs: DataFrame, key: str, text: str, width: int) -> np.ndarray:
     return np.sort(counted.orderBy(F.desc("count")).limit(_HOT).toPandas()["a"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def _bytes(x: pa.Scalar) -> bytes:
-    return x.as_buffer().to_pybytes() if x.is_valid else b""
-
-
 def prefixes(docs: DataFrame, least: float, key: str, text: str, width: int) -> DataFrame:
     """(a, id, n, at): the first shingles of every text in the common order that another text shares, the size of its set, and their places."""
     hot = frequent(docs, key, text, width)
@@ -375,7 +417,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = cut(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
+        before, now = now, cut(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
+        drop_cut(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
@@ -392,9 +435,22 @@ def similarity(a: bytes, b: bytes, width: int = 5) -> float:
     return len(x & y) / len(x | y)
 
 
-def verified(edges: DataFrame, docs: DataFrame, least: float, key: str, text: str, width: int) -> DataFrame:
-    """The edges whose texts have a similarity of ``least`` or more; only texts that an edge names are read again."""
-    edges = cut(edges, "candidates")
+def plausible(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The edges (u, v) that the sketches of ``sets`` (id, n, sketch) cannot rule out; a sketch has two bits for each shingle, so no text travels here."""
+    of = lambda side: sets.select(F.col("id").alias(side), F.struct("n", "sketch").alias(f"s{side}"))
+    both = edges.join(of("v"), "v").join(of("u"), "u")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            ok = [may_be_alike(a, b, na, nb, least) for a, b, na, nb in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), x.column(4).to_pylist(), x.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays(x.columns[:2], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.select("u", "v", "su.sketch", "sv.sketch", F.col("su.n").alias("nu"), F.col("sv.n").alias("nv")).toDF("u", "v", "a", "b", "nu", "nv").mapInArrow(run, "u long, v long")
+
+
+def verified(edges: DataFrame, docs: DataFrame, least: float, key: str, text: str, width: int, sets: DataFrame | None = None) -> DataFrame:
+    """The edges whose texts have a similarity of ``least`` or more, as a written table; only texts that an edge names are read again."""
+    edges = cut(plausible(edges, sets, least) if sets is not None else edges, "candidates")
     ids = small(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct())
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text).cast("string").cast("binary").alias("t")).join(ids, "id", "left_semi")
     texts = cut(texts.groupBy("id").agg(F.min("t").alias("t")), "candidate-texts")
@@ -405,7 +461,10 @@ def verified(edges: DataFrame, docs: DataFrame, least: float, key: str, text: st
             ok = [similarity(*map(_bytes, pair), width) >= least for pair in zip(x.column(2), x.column(3))]
             yield pa.RecordBatch.from_arrays(x.columns[:2], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    out = cut(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "verified")
+    drop_cut(edges)
+    drop_cut(texts)
+    return out
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, least: float | None = None, whole: bool = False) -> DataFrame:
@@ -413,39 +472,66 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     With ``least``, a link must also have shingle sets of that Jaccard similarity; a wider radius then costs no false links.
     With ``whole``, such sets link at any distance.
-    Rows of one fingerprint are one node, and the text with the smallest key stands for it.
+    Rows of one fingerprint (with ``least``: of one set of shingles) are one node, named by the smallest key.  With ``least``, rows
+    that share a key are one document, and the smallest of their texts stands for it.
     """
-    fps = cut(fingerprints(docs.withColumn(key, F.col(key).cast("long")), key, text, width), "fps")
-    named = fps.select(F.coalesce(F.col(key), F.lit(_NULL_ID)).alias("id"), "fp")
-    nodes = cut(named.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
+    docs = docs.withColumn(key, F.col(key).cast("long"))
+    fps = cut(fingerprints(docs, key, text, width, least is not None), "fps")
+    if least is not None and not fps.groupBy(key).agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").isEmpty():
+        docs = cut(docs.groupBy(key).agg(F.min(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias(text)), "one-text-a-key")
+        fps = cut(fingerprints(docs, key, text, width, True), "fps")
+    named = fps.withColumn("id", F.coalesce(F.col(key), F.lit(_NULL_ID)))
     if least is None:
-        groups = components(links(nodes, radius))
+        nodes = cut(named.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
+        groups = cut(components(links(nodes, radius)), "components")
+        of = nodes.join(groups, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
+        out = fps.join(of, "fp")
+    else:
+        nodes = cut(named.groupBy("digest").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
+        groups = similar_groups(nodes, docs, key, text, width, radius, least, whole)
+        of = nodes.join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+        out = fps.join(of, "digest")
+    out = cut(out.select(key, "fp", F.when(F.col("component") != _NULL_ID, F.col("component")).alias("component_id")), "groups")
+    for x in (fps, nodes, groups):
+        drop_cut(x)
+    return out
+
+
+def similar_groups(nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, radius: int, least: float, whole: bool) -> DataFrame:
+    """(id, component) over the distinct sets ``nodes`` (id, fp, n, sketch), linked where their similarity is ``least`` or more."""
+    check = lambda edges: verified(edges, docs, least, key, text, width, nodes)
+    found = cut(links(nodes, radius, mark=not whole), "links")
+    good = check(found.filter("u <> v"))
+    groups = cut(components(good), "components")
+    if whole:
+        id_ = F.coalesce(F.col(key), F.lit(_NULL_ID))
+        distinct = docs.join(small(nodes.select(F.col("id").alias("_id"))), id_ == F.col("_id"), "left_semi")
+        shared = cut(prefixes(distinct, least, key, text, width), "shared-shingles")
+        rounds = [lambda g: alike(shared, g, least, True), lambda g: alike(shared, g, least, False)]
     else:
-        found = cut(links(nodes, radius, mark=not whole), "links")
-        good = cut(verified(found.filter("u <> v"), docs, least, key, text, width), "good")
-        if whole:
-            same = named.join(nodes.withColumnRenamed("id", "v"), "fp").filter("id <> v").select(F.col("id").alias("u"), "v")
-            good = cut(good.unionByName(same).distinct(), "good")
-        groups = cut(components(good), "components")
-        if whole:
-            shared = cut(prefixes(docs, least, key, text, width), "shared-shingles")
-            rounds = [lambda g: alike(shared, g, least, True), lambda g: alike(shared, g, least, False)]
-        else:
-            swept = nodes.join(found.filter("u = v").select(F.col("u").alias("id")), "id", "left_semi")
-            rounds = [lambda g: apart(swept.join(g, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("label")), radius)]
-        for pairs in rounds:
-            more = cut(verified(pairs(groups), docs, least, key, text, width), "more")
-            if not more.isEmpty():
-                good = good.unionByName(more)
-                groups = cut(components(good), "components")
-    of = nodes.join(groups, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
-    out = fps.join(of, "fp")
-    return out.select(key, "fp", F.when(F.col("component") != _NULL_ID, F.col("component")).alias("component_id"))
+        swept = nodes.join(found.filter("u = v").select(F.col("u").alias("id")), "id", "left_semi")
+        rounds = [lambda g: apart(swept.join(g, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("label")), radius)]
+    for pairs in rounds:
+        more = check(pairs(groups))
+        if not more.isEmpty():
+            # links between groups that stand already: a few edges instead of all
+            label = lambda side: groups.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))  # noqa: B023, E731
+            joined = more.join(label("u"), "u", "left").join(label("v"), "v", "left")
+            joined = joined.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+            known = groups.filter("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
+            before, groups = groups, cut(components(joined.unionByName(known)), "components")
+            drop_cut(before)
+        drop_cut(more)
+    for x in (found, good):
+        drop_cut(x)
+    if whole:
+        drop_cut(shared)
+    return groups
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, least: float | None = None, whole: bool = False) -> DataFrame:
     """One row of each group of near copies, the one with the smallest key; rows that share a key count as one document and leave one row."""
-    groups = cut(near_groups(docs, key, text, width, radius, least, whole), "groups")
+    groups = near_groups(docs, key, text, width, radius, least, whole)
     dropped = small(groups.filter(~F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("_gone")).distinct())
     kept = docs.join(dropped, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
     again = groups.groupBy(key).count().filter("count > 1").select(F.col(key).alias("_gone"))
