@@ -1,16 +1,26 @@
 """Main text of HTML pages by composite text density.
 
-The page is parsed into a DOM (tag soup allowed), furniture that names itself
-(by tag, role, class or id) is taken out, and every remaining node gets the
-composite density of Sun, Song and Liao (SIGIR 2011): characters per tag,
-adjusted by the share of characters and tags inside links.  The node with the
-largest sum of child densities is the centre of the page; the smallest density
-on its path to the body is the threshold above which further subtrees count.
+The page is parsed into a DOM (tag soup allowed), elements that are never part of
+an article by their tag or state (scripts, menus, footers, asides, hidden ones)
+are taken out, and every other node gets the composite density of Sun, Song and
+Liao (SIGIR 2011): characters per tag, adjusted by the share of characters and
+tags inside links.  The node with the largest sum of child densities is the
+centre of the page; the smallest density on its path to the body is the
+threshold above which further subtrees count.
+
+Classes and ids are weighed, not obeyed.  A box that is named like furniture
+competes for the centre with ``NAMED`` of its sum, and joins no other centre.
+Inside the centre a box goes only if one of its classes or its id is itself such
+a name and its density is under the threshold, or if it holds reader comments.
+The centre is widened to the ``article`` element around it, so that the heading
+comes along; which article that is, density decides.  The body competes with its
+own paragraphs only, as its other children compete themselves.
 
 Defined results: a null, empty or tagless-and-blank page gives an empty text; a
-page whose furniture removal leaves nothing gives an empty text; repeated rows
-give repeated results; only the html column is read, so clashing columns of the
-input are ignored.  Parsing is iterative, so depth and length are not limited.
+page whose furniture removal leaves nothing gives an empty text; of equal sums
+the first node in page order wins; repeated rows give repeated results; of the
+input only the html column is read, and a column that is named as the output is
+replaced.  Parsing is iterative, so depth and length are not limited.
 """
 
 from __future__ import annotations
@@ -26,8 +36,13 @@ from pyspark.sql import functions as F
 
 from mnemoframe.llm.common import bounded_batches
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: A tag: name, attributes (quoted values end at their quote, others at a blank or the end), and whether it is closed.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
+    r"((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s\"'>][^\s>]*+)?+)?+|=)*+)(>|\Z)",
+    re.S,
+)
+_ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAMES = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -53,53 +68,61 @@ _ENDS = {
     "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
+#: Never part of an article.
 _FURNITURE = frozenset(
-    "head title script style noscript template nav footer aside form button select textarea option label input iframe object embed "
+    "head title script style noscript template nav footer aside button select textarea option label input legend iframe object embed "
     "svg canvas audio video map menu dialog applet frame frameset noframes noembed".split()
 )
-_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
-#: Words in a class or id that name furniture.
+_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alert alertdialog".split())
+#: Parts of a class or id that hint at furniture.
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted cookie cookies consent gdpr "
-    "notice notices notification alert popup modal overlay newsletter subscribe subscription sidebar sidebars rail menu menus nav navbar "
-    "navigation navi topnav breadcrumb breadcrumbs masthead topbar footer foot comment comments disqus respond reply replies discussion "
-    "social share sharing sharebar related recommended recommendations widget widgets login signin signup search toolbar pagination pager "
-    "skip skiplink paywall disclaimer header".split()
+    "notice notices notification alert popup modal overlay newsletter subscribe subscription sidebar sidebars menu menus nav navbar "
+    "navigation topnav breadcrumb breadcrumbs masthead topbar footer comment comments disqus respond replies discussion "
+    "social share sharing sharebar related recommended recommendations widget widgets login signin signup toolbar pagination pager "
+    "skiplink paywall disclaimer".split()
+)
+#: Whole classes and ids that name furniture inside an article.
+_TOKENS = frozenset(
+    "ad ads advert advertisement adsbygoogle ad-banner ad-container ad-slot banner sponsored promo cookie-notice cookie-banner notice notification popup newsletter "
+    "newsletter-signup sidebar menu navbar breadcrumb breadcrumbs share-buttons social-share related-posts pagination widget".split()
 )
-_KEPT = frozenset("html body main article".split())
+#: Whole classes and ids of reader comments.
+_COMMENTS = frozenset("comment comments comment-list commentlist comments-area comments-section comment-section comments-list comment-thread disqus_thread user-comments reader-comments".split())
+#: What the sum of a box that is named like furniture counts for.
+NAMED = 0.25
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "items", "gone", "chars", "tags", "lchars", "ltags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "gone", "hint", "named", "chars", "tags", "lchars", "ltags", "density", "total")
 
-    def __init__(self, tag: str, parent: _Node | None, gone: bool = False):
-        self.tag, self.parent, self.items, self.gone = tag, parent, [], gone
+    def __init__(self, tag: str, parent: _Node | None, gone: bool = False, hint: bool = False, named: str = ""):
+        self.tag, self.parent, self.items, self.gone, self.hint, self.named = tag, parent, [], gone, hint, named
         self.chars = self.tags = self.lchars = self.ltags = 0
         self.density = self.total = 0.0
 
 
-def _named_furniture(tag: str, attrs: str) -> bool:
+def _read_attributes(tag: str, attrs: str) -> tuple[bool, bool, str]:
+    """(gone, hint, named) of an element: whether it is no part of any article, has a part of furniture's names, and which kind it is named as a whole."""
     if tag in _FURNITURE:
-        return True
-    if not attrs or tag in _KEPT:
-        return tag == "header"
-    for name, a, b, c in _ATTR.findall(attrs):
+        return True, False, ""
+    hint, named = False, ""
+    for name, a, b, c in _ATTR.findall(attrs) if attrs.strip() else ():
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, False, ""
         if name == "role" and value.lower() in _ROLES:
-            return True
+            return True, False, ""
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id"):
+            return True, False, ""
+        if name in ("class", "id") and tag not in ("html", "body", "main"):
             for token in value.split():
-                words = _NAMES.findall(_CAMEL.sub("-", token).lower())
-                # the last word says what a box is: "site-footer", "comment-list"; "has-sidebar" and "no-ads" say what it is not
-                if words and words[0] not in ("has", "with", "no", "without") and not _WORDS.isdisjoint(words):
-                    if tag in ("h1", "h2", "p") and "header" in words:
-                        continue
-                    return True
-    return tag == "header"
+                plain = _CAMEL.sub("-", token).lower()
+                named = "comments" if plain in _COMMENTS else named or ("other" if plain in _TOKENS else "")
+                words = _NAMES.findall(plain)
+                # "has-sidebar" and "no-ads" say what a box is not
+                hint = hint or (bool(words) and words[0] not in ("has", "with", "no", "without") and not _WORDS.isdisjoint(words))
+    return False, hint, named
 
 
 def parse(page: str) -> _Node:
@@ -153,8 +176,8 @@ def parse(page: str) -> _Node:
                 up = up.parent
             if up.tag in names:
                 now = up.parent
-        in_article = tag == "header" and _inside(now)
-        node = _Node(tag, now, now.gone or (_named_furniture(tag, m[3]) and not in_article))
+        gone, hint, named = _read_attributes(tag, m[3])
+        node = _Node(tag, now, now.gone or gone or (tag == "header" and not _inside(now)), hint, named)
         now.items.append(node)
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
             continue
@@ -206,7 +229,8 @@ def _measure(body: _Node) -> list[_Node]:
             n.density = c / t * math.log(max(c / lc * t / lt, 1.0) + 1e-9) / math.log(max(base, 1.0001))
             n.density = max(n.density, 0.0)
     for n in nodes:
-        n.total = sum(x.density for x in n.items if not isinstance(x, str) and not x.gone)
+        n.total = sum(x.density for x in n.items if not isinstance(x, str) and not x.gone and (n.tag != "body" or x.tag not in _BLOCK or x.tag in _RUN))
+        n.hint = n.hint or (n.parent is not None and n.parent.hint)  # parents come first
     return nodes
 
 
@@ -216,49 +240,63 @@ def _raised(n: _Node) -> _Node:
     return n
 
 
-def _chosen(body: _Node) -> list[_Node]:
+def _around(n: _Node, tags: tuple[str, ...]) -> _Node | None:
+    """The nearest of these elements at or around ``n``."""
+    while n is not None and n.tag not in tags:
+        n = n.parent
+    return n
+
+
+def _chosen(body: _Node) -> tuple[list[_Node], float]:
+    """The subtrees that hold the article, in page order, and the threshold."""
     nodes = _measure(body)
-    best = max(nodes, key=lambda n: n.total, default=body)
-    if best.total <= 0:
-        return [body]
+    best = max(nodes, key=lambda n: n.total * (NAMED if n.hint else 1.0), default=body)
+    if best.total <= 0:  # no element has text in elements: what there is stands in the body or in single boxes
+        best = max(nodes, key=lambda n: n.density * (NAMED if n.hint else 1.0))
+        if any(isinstance(x, str) and x.strip() for x in body.items):
+            best = body
     best = _raised(best)
-    up = best
-    while up is not None:
-        if up.tag == "article" or up.tag == "main":
-            best = up
-        up = up.parent
-    if best.tag == "body":
-        return [body]
     threshold, up = best.density, best.parent
     while up is not None and up.tag != "html":
         threshold = min(threshold, up.density)
         up = up.parent
-    if best.tag in ("article", "main"):
-        return [best]
+    if (article := _around(best, ("article",))) is not None:
+        return [article], threshold
+    if best.tag == "body":
+        return [body], threshold
     # other subtrees that are at least as dense as the thinnest node on the path hold content too
-    out, todo = [], [body]
+    out, todo = [], [_around(best, ("main",)) or body]
+    path = set()
+    up = best
+    while up is not None:
+        path.add(id(up))
+        up = up.parent
     while todo:
         n = todo.pop()
         if n is best:
             out.append(n)
-            continue
-        path = best
-        while path is not None and path is not n:
-            path = path.parent
-        if path is n:
+        elif id(n) in path:
             todo.extend(x for x in reversed(n.items) if not isinstance(x, str) and not x.gone)
-        elif n.density >= threshold and n.chars and n.lchars * 2 <= n.chars:
+        elif n.density >= threshold and n.chars and n.lchars * 2 <= n.chars and (best.hint or not n.hint) and n.tag != "form":
             out.append(n)
-    return out
+    return out, threshold
 
 
-def _link_list(n: _Node) -> bool:
-    return n.tag in ("ul", "ol", "div", "table", "section", "dl") and n.ltags >= 3 and n.lchars * 10 > n.chars * 8
+def _dropped(n: _Node, threshold: float, whole: int, in_article: bool) -> bool:
+    """Whether a box inside a chosen subtree is furniture: named so and thin, reader comments, a form of its own, or (outside articles) a menu of short links."""
+    if n.named == "comments":
+        return n.chars * 2 < whole
+    if n.named:
+        return n.density < threshold
+    if n.tag == "form":
+        return n.chars * 2 < whole
+    return not in_article and n.tag in ("ul", "ol", "div", "dl") and n.lchars >= n.chars and n.ltags >= 4 and n.chars <= 24 * n.ltags
 
 
-def _blocks(top: _Node) -> list[str]:
+def _blocks(top: _Node, threshold: float) -> list[str]:
     out: list[str] = []
     run: list[str] = []
+    in_article = _around(top, ("article",)) is not None
 
     def flush() -> None:
         if run:
@@ -279,9 +317,11 @@ def _blocks(top: _Node) -> list[str]:
                 run.append(" " if x.tag == "br" else "")
             elif x.tag in _BLOCK:
                 flush()
-                if not _link_list(x):
+                if not _dropped(x, threshold, top.chars, in_article):
                     todo.append((x, iter(x.items)))
                     break
+            elif x.named and _dropped(x, threshold, top.chars, in_article):
+                continue
             else:
                 todo.append((x, iter(x.items)))
                 break
@@ -297,8 +337,8 @@ def main_text(page: str | None) -> str:
     """The page's main text: blocks joined by one newline; empty if there is none."""
     if not page:
         return ""
-    body = parse(page)
-    return "\n".join(b for top in _chosen(body) for b in _blocks(top))
+    tops, threshold = _chosen(parse(page))
+    return "\n".join(b for top in tops for b in _blocks(top, threshold))
 
 
 def _extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
