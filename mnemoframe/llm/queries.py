@@ -52,7 +52,7 @@ def op5_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_gumbel_topk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sampled_pieces.sampled(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+    return sampled_pieces.sampled(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
 def op7_bayesian_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
