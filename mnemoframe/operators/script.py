@@ -36,6 +36,11 @@ FILLERS = [
 ]
 
 
+def _draw(*parts: Column) -> Column:
+    """A repeatable number below 2**32 from the MD5 of the parts' text."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[x.cast("string") for x in parts])), 1, 8), 16, 10).cast("long")
+
+
 def _in(texts: Column, lang: str) -> Column:
     return F.try_element_at(texts, F.lit(lang))
 
@@ -69,9 +74,9 @@ def build_script(facts: DataFrame, store_lang: str, probe_lang: str, filler_sess
     if filler_sessions > 0:
         steps = spark.range(filler_sessions).withColumnRenamed("id", "step")
         texts = F.array(*[F.lit(x.get(store_lang) or x["en"]) for x in FILLERS])
-        choice = F.element_at(texts, (F.pmod(F.xxhash64(F.lit(seed), F.lit("filler"), "step"), F.lit(len(FILLERS))) + 1).cast("int"))
+        choice = F.element_at(texts, (F.pmod(_draw(F.lit(seed), F.lit("filler"), F.col("step")), F.lit(len(FILLERS))) + 1).cast("int"))
         parts.append(_turns(steps, 2, F.col("step") + 2, store_lang, choice, "filler", F.lit(None).cast("string"), F.col("step") * 2))
-        rank = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "id"), "seq")) - 1
+        rank = F.row_number().over(Window.orderBy(_draw(F.lit(seed), F.col("id")), "seq")) - 1
         other = facts.filter("distractor_of IS NOT NULL").withColumn("step", rank).filter(F.col("step") < filler_sessions)
         parts.append(_turns(other, 2, F.col("step") + 2, store_lang, spoken(F.col("surface"), store_lang), "filler", None, F.col("step") * 2 + 1))
     asked = F.col("probe_questions")

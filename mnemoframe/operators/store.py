@@ -45,6 +45,11 @@ def latest(store: DataFrame, by: tuple[str, ...] = ("user_id", "text"), order: s
     return store.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def dump(store: DataFrame, user_id: str) -> DataFrame:
+    """A user's records as a snapshot has them, (seq, raw_id, text, lang_detected, metadata), in write order by ``seq``."""
+    return store.filter(F.col("user_id") == user_id).drop("user_id")
+
+
 def retrieve(store: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, score, and the record): the k records of the query's user with most tokens in common, ties in write order.
 

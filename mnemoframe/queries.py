@@ -7,6 +7,8 @@ sessions, ``part`` and ``customer`` for fact-bank rows.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.functions import text as X
 from mnemoframe.operators import aggregate, match, mitigation, quality, render, runner, score, script, store, vectors
+from mnemoframe.plans import lineage
 from mnemoframe.sources import files
 from mnemoframe.streaming import run_log
 
@@ -218,6 +221,22 @@ def false_merge_entity(spark: SparkSession, d: str) -> DataFrame:
     return _false_merges(spark, d, False)
 
 
+@_query(
+    _PAIRS
+    + """, s AS (SELECT lang, doc_id, lang IN ('en', 'de') AND doc_id % 2 = 0 AS final, lang NOT IN ('en', 'de') AS planted FROM documents),
+    c AS (SELECT m.lang, item_id, count(*) AS n FROM m JOIN s USING (doc_id) WHERE final OR planted GROUP BY 1, 2), l AS (SELECT DISTINCT lang FROM documents)
+    SELECT l.lang, round(coalesce(sum(n - 1), 0) / (SELECT count(*) FROM benchmark), 6) AS duplication_rate FROM l LEFT JOIN c USING (lang) GROUP BY 1"""
+)
+def snapshot_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Runs by language, of which two have a final snapshot: theirs is scored, elsewhere the one after planting."""
+    facts, plant = _facts(spark, d), _dump(spark, d, F.col("lang"))
+    final = plant.filter(F.col("exp").isin("en", "de") & (F.col("seq") % 2 == 0)).withColumn("snapshot", F.lit("final"))
+    both = plant.unionByName(final)
+    m = score.matches(facts, both)
+    out = score.duplication_rate(facts, m, score.scored_store(m, both), _runs(both))
+    return out.select(F.col("exp").alias("lang"), F.round("duplication_rate", 6).alias("duplication_rate"))
+
+
 # -- retrieve ------------------------------------------------------------------------------------------------------
 
 
@@ -274,6 +293,30 @@ def eligible_recall(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+_HITS = """WITH p AS (SELECT item_id AS i, CASE WHEN item_id % 5 = 0 THEN item_id % 4 + 1 END AS rank, item_id % 5 <> 0 AND item_id % 4 = 0 AS s, item_id % 5 <> 0 AND item_id % 3 = 0 AS l FROM benchmark)"""
+
+
+@_query(
+    _HITS
+    + " SELECT "
+    + ", ".join(f"round(count(*) FILTER (coalesce(rank <= {k}, FALSE) OR {m[0]}) / count(*), 6) AS recall_at_{k}_{m}" for m in ("strict", "lenient") for k in (1, 3, 5))
+    + " FROM p"
+)
+def judged_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth passage is retrieved at some place; the others were asked twice, and the last record counts, with a hit judged strictly or leniently."""
+    facts = _facts(spark, d)
+    i = F.col("seq")
+    place = (i % 4).cast("int")
+    other = F.struct(F.lit("nothing of the kind").alias("text"))
+    seen = F.concat(F.array_repeat(other, place), F.array(F.struct(F.col("value").alias("text"))))
+    head = [F.lit("all").alias("exp"), F.lit(0).alias("seed"), F.lit("probe").alias("phase")]
+    first = facts.select(*head, F.lit(0).cast("long").alias("line"), F.col("id").alias("fact_id"), seen.alias("retrieved"), F.lit(False).alias("hit_strict"), F.lit(False).alias("hit_lenient"))
+    last = facts.filter(i % 5 != 0).select(*head, F.lit(1).cast("long").alias("line"), F.col("id").alias("fact_id"), F.array(other).alias("retrieved"), (i % 4 == 0).alias("hit_strict"), (i % 3 == 0).alias("hit_lenient"))
+    runs = spark.range(1).select(F.lit("all").alias("exp"), F.lit(0).alias("seed"))
+    out = score.recall(facts, first.unionByName(last), facts.select(F.lit("all").alias("exp"), F.lit(0).alias("seed"), "id", "seq"), runs)
+    return out.select(*[F.round(f"recall_at_{k}_{m}", 6).alias(f"recall_at_{k}_{m}") for m in ("strict", "lenient") for k in (1, 3, 5)])
+
+
 @_query(
     f"""WITH q AS (SELECT conv_id, {_WORDS.format("text")} AS w FROM conversations WHERE turn = 0), c AS (SELECT conv_id, turn, {_WORDS.format("text")} AS w FROM conversations WHERE turn > 0),
     s AS (SELECT q.conv_id, c.turn, CAST(len(list_intersect(q.w, c.w)) AS BIGINT) AS score FROM q JOIN c USING (conv_id)),
@@ -375,9 +418,10 @@ def metric_comparison(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.metric_comparison(table, "Metric").select("Metric", F.round("Mean", 6).alias("Mean"), F.round("Std", 6).alias("Std"))
 
 
-@_query("SELECT doc_id, metric, value FROM (UNPIVOT (SELECT doc_id, quality, toxic FROM labels) ON quality, toxic INTO NAME metric VALUE value)")
+@_query("SELECT doc_id, metric, CAST(value AS DOUBLE) AS value FROM (UNPIVOT (SELECT doc_id, quality, toxic FROM labels) ON quality, toxic INTO NAME metric VALUE value)")
 def metrics_unpivot(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "labels").unpivot("doc_id", ["quality", "toxic"], "metric", "value")
+    scores = _t(spark, d, "labels").select(F.col("doc_id").alias("exp"), F.lit(0).alias("seed"), "quality", "toxic")
+    return aggregate.metrics_long(scores, ("quality", "toxic")).select(F.col("exp").alias("doc_id"), "metric", "value")
 
 
 @_query("SELECT role AS exp, CAST(0 AS INT) AS seed, CAST(sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS BIGINT) AS tokens FROM conversations GROUP BY 1".replace("\\\\", "\\"))
@@ -400,6 +444,35 @@ def latest_wins(spark: SparkSession, d: str) -> DataFrame:
     return store.latest(e, ("user_id", "event_type"), "at").drop("at")
 
 
+_WRITTEN = "WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS n FROM conversations WHERE conv_id % 10 < 3)"
+
+
+def _written(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of some conversations, written for two users."""
+    c = _t(spark, d, "conversations").filter("conv_id % 10 < 3")
+    turns = c.select(F.struct("conv_id", "turn").alias("seq"), F.col("conv_id").cast("int").alias("session_id"), F.lit("plant").alias("kind"), F.col("turn").cast("string").alias("fact_id"), "text", F.lit("en").alias("lang"), "role")
+    out = store.empty(spark)
+    for role in ("user", "assistant"):
+        out = store.write(out, turns.filter(F.col("role") == role).drop("role"), role)
+    return out
+
+
+@_query(_WRITTEN + " SELECT 'mem_' || n AS raw_id, n AS seq, text, CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS VARCHAR) AS fact_id FROM t WHERE role = 'assistant'")
+def store_write(spark: SparkSession, d: str) -> DataFrame:
+    """Two users' records written, one user's reset, the other's dumped."""
+    kept = store.dump(store.reset(_written(spark, d), "user"), "assistant")
+    return kept.select("raw_id", "seq", "text", F.col("metadata")["session_id"].alias("session_id"), F.col("metadata")["fact_id"].alias("fact_id"))
+
+
+@_query("SELECT conv_id, CAST(count(*) AS BIGINT) AS n, string_agg(text, '|' ORDER BY turn // 2, turn) AS texts FROM conversations GROUP BY 1")
+def flatten_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Turns in lists of two, as a model returns them nested, and flat again."""
+    c = _t(spark, d, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 2).alias("p")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("ts"))
+    nested = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "ts"))), lambda x: F.transform(x["ts"], lambda y: y["text"])).alias("facts"))
+    flat = nested.select("conv_id", store.flatten_facts("facts").alias("f"))
+    return flat.select("conv_id", F.size("f").cast("long").alias("n"), F.array_join("f", "|").alias("texts"))
+
+
 # -- fact-bank rules -----------------------------------------------------------------------------------------------
 
 
@@ -461,10 +534,53 @@ def value_overlap(spark: SparkSession, d: str) -> DataFrame:
     return quality.overlaps(targets, sentences).select(F.col("fact_id").cast("long").alias("item_id"), F.col("b_id").cast("long").alias("doc_id"))
 
 
-@_query("SELECT 'label' AS side, doc_id FROM labels ANTI JOIN documents USING (doc_id) UNION ALL SELECT 'document', doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+@_query("SELECT o_orderkey AS seq, 'f_' || o_custkey AS base FROM orders WHERE o_custkey % 3 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer)")
 def dangling_refs(spark: SparkSession, d: str) -> DataFrame:
-    labels, docs = _t(spark, d, "labels").select("doc_id"), _t(spark, d, "documents").select("doc_id")
-    return labels.join(docs, "doc_id", "left_anti").select(F.lit("label").alias("side"), "doc_id").unionByName(docs.join(labels, "doc_id", "left_anti").select(F.lit("document").alias("side"), "doc_id"))
+    """Orders as distractors of customers, a third of whom are missing from the bank."""
+    fid = lambda c: F.concat(F.lit("f_"), F.col(c).cast("string"))
+    bases = _t(spark, d, "customer").filter("c_custkey % 3 <> 0").select((-F.col("c_custkey")).alias("seq"), F.to_json(F.struct(fid("c_custkey").alias("id"))).alias("raw"))
+    others = _t(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.to_json(F.struct(F.concat(F.lit("o_"), F.col("o_orderkey").cast("string")).alias("id"), fid("o_custkey").alias("distractor_of"))).alias("raw"))
+    rows = quality.items(bases.unionByName(others).withColumn("file", F.lit("bank")))
+    found = quality.dangling_distractors(rows)
+    return found.select("seq", F.regexp_extract("message", "'(.*)'", 1).alias("base"))
+
+
+def _faulty_items(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as bank items with repeated ids, texts that are no mapping, languages missing, and updates with faults."""
+    k, text = F.col("p_partkey"), F.lit
+    when = lambda c, x, y="": F.when(c, text(x)).otherwise(text(y))
+    update = F.concat(
+        text(',"update":{'), when(k % 9 == 0, "", '"updated_value":"w",'), text('"surface":{"en":"a","hi":"b"'), when(k % 2 == 0, ',"hi-en":"c"'),
+        text('},"probe_questions":{"en":"'), when(k % 6 == 0, " ", "q"), text('","hi":"q"}}'),
+    )
+    raw = F.concat(
+        text('{"id":"f_'), F.lpad((k % 150).cast("string"), 3, "0"), text('","domain":"tech","entity":"e'), k.cast("string"), text('","relation":"r","value":"v","surface":'),
+        when(k % 4 == 0, '"none"', '{"en":"a","hi":"b","hi-en":"c"}'), text(',"probe_questions":'), when(k % 5 == 0, '{"en":"q"}', '{"en":"q","hi":"q","hi-en":"q"}'), F.when(k % 3 == 0, update).otherwise(""), text("}"),
+    )
+    bank = F.floor(k / 150) % 2
+    return _t(spark, d, "part").select(F.concat(F.lit("bank_"), bank.cast("string")).alias("file"), bank.cast("int").alias("file_no"), k.alias("seq"), raw.alias("raw"))
+
+
+_FAULTY = "WITH f AS (SELECT p_partkey AS k, 'bank_' || (p_partkey // 150 % 2) AS file, p_partkey // 150 % 2 AS file_no, 'f_' || lpad(CAST(p_partkey % 150 AS VARCHAR), 3, '0') AS id FROM part)"
+
+
+@_query(
+    _FAULTY
+    + """ SELECT k AS seq, CAST(1 AS INT) AS rule, id AS fact_id, 'duplicate id' AS message FROM (SELECT *, row_number() OVER (PARTITION BY file, id ORDER BY k) AS n FROM f) WHERE n > 1
+    UNION ALL SELECT k, 5, id, 'surface is not a mapping' FROM f WHERE k % 4 = 0
+    UNION ALL SELECT k, 6, id, 'probe_questions missing language(s): [''hi'', ''hi-en'']' FROM f WHERE k % 5 = 0
+    UNION ALL SELECT k, 9, id, 'update.updated_value is missing/empty' FROM f WHERE k % 9 = 0
+    UNION ALL SELECT k, 10, id, 'update.surface missing language(s): [''hi-en'']' FROM f WHERE k % 3 = 0 AND k % 2 = 1
+    UNION ALL SELECT k, 11, id, 'update.probe_questions[en] is empty' FROM f WHERE k % 6 = 0"""
+)
+def bank_faults(spark: SparkSession, d: str) -> DataFrame:
+    """The validator's rules on ids, mappings and updates, with their messages."""
+    return quality.validate(_faulty_items(spark, d).drop("file_no")).filter("severity = 'error'").select("seq", "rule", "fact_id", "message")
+
+
+@_query(_FAULTY + ", p AS (SELECT k, file, first_value(file) OVER (PARTITION BY id ORDER BY file_no, k) AS other FROM f) SELECT k AS seq, 'id also used in ' || other AS message FROM p WHERE other <> file")
+def cross_bank_ids(spark: SparkSession, d: str) -> DataFrame:
+    return quality.collisions(_faulty_items(spark, d)).filter("rule = 1").select("seq", "message")
 
 
 def _customer_items(spark: SparkSession, d: str) -> DataFrame:
@@ -582,10 +698,46 @@ def plan_violations(spark: SparkSession, d: str) -> DataFrame:
     return render.violations(plan, t["relations"], t["lexicon"], t["entities"]).select("id", "rule")
 
 
-@_query("SELECT p_brand, p_type FROM part WHERE p_size <= 25 INTERSECT SELECT p_brand, p_type FROM part WHERE p_size > 25")
-def corrected_vs_planted(spark: SparkSession, d: str) -> DataFrame:
-    p = _t(spark, d, "part")
-    return p.filter("p_size <= 25").select("p_brand", "p_type").intersect(p.filter("p_size > 25").select("p_brand", "p_type"))
+_FAULTY_PLAN = """WITH n AS (SELECT n_nationkey AS k, lower(n_name) AS v, lower(r_name) AS rel, 'f_' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS id FROM nation JOIN region ON n_regionkey = r_regionkey),
+    b AS (SELECT k AS seq, id, CASE WHEN k % 7 = 0 THEN 'nowhere' ELSE rel END AS rel, CASE WHEN k % 6 = 5 THEN 'nobody' ELSE 'user_' || k END AS e,
+      CASE k % 8 WHEN 3 THEN 'zzz' WHEN 4 THEN 'mmm' ELSE v END AS v, CASE WHEN k % 5 = 2 THEN 'mmm' END AS up FROM n),
+    o AS (SELECT k + 1000 AS seq, id || '_dist' AS id, b.rel, 'user_' || k || '_sister' AS e, b.v, k % 4 = 1 AS own FROM n JOIN b USING (id) WHERE k % 5 <> 0),
+    r AS (SELECT seq, id, rel, e, v, up FROM b UNION ALL SELECT seq, id, rel, e, v, NULL FROM o),
+    w AS (SELECT id, rel, v FROM r UNION ALL SELECT id, rel, up FROM r WHERE up IS NOT NULL)"""
+
+
+@_query(
+    _FAULTY_PLAN
+    + """ SELECT id || '_dist' AS id, 'dangling_distractor' AS rule, 'f_999' AS detail FROM n WHERE k % 5 = 0
+    UNION ALL SELECT id, 'unknown_relation', rel FROM r WHERE rel = 'nowhere'
+    UNION ALL SELECT id, 'unknown_entity', e FROM r WHERE e = 'nobody'
+    UNION ALL SELECT id, 'duplicate_slot', e || ',' || rel FROM (SELECT *, row_number() OVER (PARTITION BY e, rel ORDER BY seq) AS i FROM r) WHERE i > 1
+    UNION ALL SELECT id, 'distractor_value', id FROM o WHERE own
+    UNION ALL SELECT id, 'value_planted_twice', rel || ',' || v FROM (SELECT *, row_number() OVER (PARTITION BY rel, v ORDER BY seq) AS i FROM b) WHERE i > 1
+    UNION ALL SELECT id, 'corrected_is_planted', rel || ',' || up FROM b WHERE EXISTS (SELECT 1 FROM b c WHERE c.rel = b.rel AND c.v = b.up)
+    UNION ALL SELECT id, 'not_in_lexicon', w.rel || ',' || w.v FROM w WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.rel = w.rel AND n.v = w.v)"""
+)
+def template_violations(spark: SparkSession, d: str) -> DataFrame:
+    """The nations' plan with faults of every kind: relations, persons, values, corrections and base facts that are not there or there twice."""
+    t = _templates(spark, d)
+    k, base = F.col("seq") % 1000, F.col("distractor_of").isNull()
+    plan = t["plan"].withColumns(
+        {
+            "relation": F.when(base & (k % 7 == 0), "nowhere").otherwise(F.col("relation")), "entity": F.when(base & (k % 6 == 5), "nobody").otherwise(F.col("entity")),
+            "update": F.when(base & (k % 5 == 2), "mmm"), "distractor_of": F.when(~base & (k % 5 == 0), "f_999").otherwise(F.col("distractor_of")),
+        }
+    )
+    odd = F.when(k % 8 == 3, "zzz").when(k % 8 == 4, "mmm").otherwise(F.col("value"))
+    plan = plan.withColumn("value", F.when(F.col("seq") < 1000, odd).otherwise(F.when(k % 4 == 1, "own")))
+    return render.violations(plan, t["relations"], t["lexicon"], t["entities"]).select("id", "rule", "detail")
+
+
+@_query("SELECT lower(n_name) AS value, 'ह' || n_name AS hi, CASE WHEN n_nationkey % 2 = 1 THEN lower(n_name) || 'a' END AS translit FROM nation")
+def value_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Every other nation has a transliterated form that differs from the English one in more than case."""
+    forms = F.map_concat(F.map_filter("forms", lambda k, v: k != "hi-en"), F.create_map(F.lit("hi-en"), F.concat(F.col("forms")["hi-en"], F.when(F.col("ord") % 2 == 1, "a").otherwise(""))))
+    aliases = _templates(spark, d)["lexicon"].withColumn("forms", forms).select("value", render.value_aliases(F.col("forms")).alias("a"))
+    return aliases.select("value", F.col("a")["hi"][0].alias("hi"), F.try_element_at("a", F.lit("translit"))[0].alias("translit"))
 
 
 # -- scripts -------------------------------------------------------------------------------------------------------
@@ -627,10 +779,30 @@ def update_prefix(spark: SparkSession, d: str) -> DataFrame:
     return script.correction_subset(_script_facts(spark, d)).select("id")
 
 
-@_query()
+def _md5_number(x: str) -> str:
+    return f"CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT)"
+
+
+_FILLER = ", ".join("'" + x["en"].replace("'", "''") + "'" for x in script.FILLERS)
+
+
+@_query(
+    f"""SELECT CAST(step + 2 AS INT) AS session_id, 0 AS place, [{_FILLER}][{_md5_number("'7:filler:' || step")} % {len(script.FILLERS)} + 1] AS text, NULL AS fact_id FROM range(4) r(step)
+    UNION ALL SELECT CAST(n + 1 AS INT), 1, 'fact ' || id, id FROM (SELECT CAST(item_id AS VARCHAR) AS id, row_number() OVER (ORDER BY {_md5_number("'7:' || item_id")}, item_id) AS n FROM benchmark WHERE item_id % 3 = 2) WHERE n <= 4"""
+)
 def script_filler(spark: SparkSession, d: str) -> DataFrame:
-    """A whole script with filler sessions: the same seed gives the same turns."""
-    return script.build_script(_script_facts(spark, d), "en", "en", filler_sessions=4, seed=7)
+    """The filler sessions of a script: a neutral turn and a distractor each, drawn by the seed."""
+    turns = script.build_script(_script_facts(spark, d), "en", "en", filler_sessions=4, seed=7).filter("kind = 'filler'")
+    return turns.select("session_id", F.col("fact_id").isNotNull().cast("int").alias("place"), "text", "fact_id")
+
+
+@_query("SELECT CAST(a.item_id AS VARCHAR) AS base_text, CAST(b.item_id AS VARCHAR) AS distractor FROM benchmark b JOIN benchmark a ON a.item_id = b.item_id // 10 * 10 + 7 WHERE b.item_id % 10 = 8")
+def pairs_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    """Ten passages to an id, of which the eighth is the last base fact and the ninth its distractor."""
+    f = _facts(spark, d).filter("seq % 10 < 9")
+    f = f.withColumns({"id": F.when(F.col("seq") % 10 == 8, F.concat(F.lit("d"), "id")).otherwise(F.floor(F.col("seq") / 10).cast("string")), "distractor_of": F.when(F.col("seq") % 10 == 8, F.floor(F.col("seq") / 10).cast("string"))})
+    p = score.distractor_pairs(f, last_wins=True)
+    return p.select(F.col("base.seq").cast("string").alias("base_text"), F.col("distractor.seq").cast("string").alias("distractor"))
 
 
 @_query("SELECT CAST(item_id - 1 AS VARCHAR) AS base, CAST(item_id AS VARCHAR) AS distractor FROM benchmark WHERE item_id % 3 = 2")
@@ -641,14 +813,64 @@ def distractor_pairs(spark: SparkSession, d: str) -> DataFrame:
 # -- runs, codecs, mitigations -------------------------------------------------------------------------------------
 
 
-@_query()
+def _run_sql() -> str:
+    words = lambda x: _WORDS.format(x)
+    recalls = ", ".join(f"(SELECT round(count(*) FILTER (r <= {k}) / count(*), 6) FROM w LEFT JOIN hit USING (k)) AS recall_at_{k}_{mode}" for mode in ("strict", "lenient") for k in (1, 3, 5))
+    return f"""WITH f AS (SELECT item_id AS k, CAST(item_id AS VARCHAR) AS id, {_norm("text")} AS n FROM benchmark),
+    b AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS seq FROM f WHERE k % 3 <> 2), nb AS (SELECT count(*) AS c FROM b),
+    dz AS (SELECT id, row_number() OVER (ORDER BY {_md5_number("'1:' || id")}, k) - 1 AS step FROM f WHERE k % 3 = 2),
+    fill AS (SELECT 2 * step AS pos, [{_FILLER}][{_md5_number("'1:filler:' || step")} % {len(script.FILLERS)} + 1] AS text FROM range(2) r(step) UNION ALL SELECT 2 * step + 1, 'fact ' || id FROM dz WHERE step < 2),
+    m0 AS (SELECT seq, 'fact ' || id AS text FROM b UNION ALL SELECT c + row_number() OVER (ORDER BY pos) - 1, text FROM fill, nb),
+    m1 AS (SELECT min(seq) AS seq, text FROM m0 GROUP BY text), m2 AS (SELECT text, {_norm("text")} AS n FROM (SELECT text FROM m1 UNION ALL SELECT 'Correction: the text is actually new.')),
+    key AS (SELECT k, 'fact ' || id AS key FROM f UNION ALL SELECT k, {_key("n")} FROM f WHERE n <> ''),
+    w AS (SELECT DISTINCT key.k FROM key JOIN b ON contains('fact ' || b.id, key)),
+    q AS (SELECT k, CASE WHEN k % 5 = 0 THEN 'ask ' || id ELSE 'What is the user''s text?' END AS q FROM b),
+    sc AS (SELECT k, m1.text, row_number() OVER (PARTITION BY k ORDER BY len(list_intersect({words("q")}, {words("m1.text")})) DESC, seq) AS r FROM q, m1),
+    hit AS (SELECT sc.k, min(r) AS r FROM sc JOIN key ON key.k = sc.k WHERE r <= 5 AND contains({_norm("sc.text")}, key) GROUP BY 1),
+    own AS (SELECT DISTINCT k, text FROM key JOIN m2 ON contains(m2.n, key)), dup AS (SELECT k, count(*) AS n FROM own GROUP BY 1),
+    pair AS (SELECT k - 1 AS a, k AS b FROM f WHERE k % 3 = 2), u AS (SELECT count(*) AS n FROM b WHERE k % 2 = 0)
+    SELECT 'bench' AS exp, CAST(1 AS INT) AS seed, (SELECT round(count(*) / (SELECT count(*) FROM f), 6) FROM w) AS write_fidelity, {recalls},
+    (SELECT round(coalesce(sum(n - 1), 0) / (SELECT count(*) FROM f), 6) FROM dup) AS duplication_rate,
+    (SELECT round(count(DISTINCT pair.a) / (SELECT count(*) FROM pair), 6) FROM pair JOIN own x ON x.k = pair.a JOIN own y ON y.k = pair.b AND y.text = x.text) AS false_merge_rate,
+    (SELECT round(greatest(1, floor(n * 0.2)) / n, 6) FROM u) AS staleness_rate"""
+
+
+@_query(_run_sql())
 def run_experiment(spark: SparkSession, d: str) -> DataFrame:
     """A whole run on the native store, scored: passages planted, probed, corrected and asked again."""
     run = runner.run_seed(_script_facts(spark, d), "bench", 1, "en", "en", filler_sessions=2, now=0.0)
     log = files.parse_log(run.log.select(F.lit("bench").alias("exp"), F.lit(1).alias("seed"), "line", "value"))
     tag = lambda df, name: df.select(F.lit("bench").alias("exp"), F.lit(1).alias("seed"), F.lit(name).alias("snapshot"), "seq", "raw_id", "text", "lang_detected", "metadata")
     memories = tag(run.plant, "plant").unionByName(tag(run.final, "final"))
-    return score.score_runs(_script_facts(spark, d), memories, files.probes(log), files.runs(log)).drop("invalid_metrics")
+    scores = score.score_runs(_script_facts(spark, d), memories, files.probes(log), files.runs(log)).drop("invalid_metrics")
+    return scores.select("exp", "seed", *[F.round(c, 6).alias(c) for c in scores.columns[2:]])
+
+
+@_query(
+    _WRITTEN
+    + """ SELECT 'plant' AS part, n AS pos, 'mem_' || n AS name, text FROM t WHERE role = 'user' UNION ALL SELECT 'final', n, 'mem_' || n, text FROM t WHERE role = 'assistant'
+    UNION ALL SELECT 'probe', n + 1, CAST(turn AS VARCHAR), text FROM t WHERE role = 'user'"""
+)
+def run_files(spark: SparkSession, d: str) -> DataFrame:
+    """A run written as files, found by its folder and read again: both snapshots and the log's probes."""
+    root = f"{lineage.shared_dir(spark)}/mnemoframe/run-{uuid.uuid4().hex}"
+    kept = lineage.cut(_written(spark, d))
+    plant, final = store.dump(kept, "user"), store.dump(kept, "assistant")
+    head = spark.createDataFrame([(0, '{"record_type": "metadata", "experiment": "x"}')], "line long, value string")
+    record = F.to_json(F.struct(F.lit("probe_result").alias("record_type"), F.struct(F.col("metadata")["fact_id"].alias("fact_id"), F.col("text").alias("response")).alias("data")))
+    files.write_run(spark, root, "x", 3, plant, final, head.unionByName(plant.select((F.col("seq") + 1).alias("line"), record.alias("value"))))
+    stores = files.read_snapshots(spark, root).filter("exp = 'x' AND seed = 3").select(F.col("snapshot").alias("part"), F.col("seq").alias("pos"), F.col("raw_id").alias("name"), "text")
+    asked = files.probes(files.read_log(spark, root)).select(F.col("phase").alias("part"), F.col("line").alias("pos"), F.col("fact_id").alias("name"), F.col("response").alias("text"))
+    return stores.unionByName(asked)
+
+
+@_query("SELECT lower(n_name) AS value, 'f_' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS id, lower(r_name) AS relation, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS seq FROM nation JOIN region ON n_regionkey = r_regionkey QUALIFY seq < 10")
+def bank_file(spark: SparkSession, d: str) -> DataFrame:
+    """A rendered bank written as YAML and its first ten facts read again."""
+    t = _templates(spark, d)
+    with tempfile.TemporaryDirectory() as folder:  # of the driver, which writes and reads it alone
+        files.write_bank(render.render(t["plan"], t["relations"], t["lexicon"], t["entities"]), f"{folder}/bank.yaml")
+        return files.read_facts(spark, f"{folder}/bank.yaml", 10).select("value", "id", "relation", "seq")
 
 
 @_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

@@ -10,10 +10,8 @@ def test_oracle(name, spark, small):
     same(queries.QUERIES[name], queries.ORACLES[name], spark, small)
 
 
-def test_without_oracle(spark, small):
-    a, b = (queries.script_filler(spark, small).orderBy("seq").collect() for _ in range(2))
-    assert a == b and a
-    assert queries.run_experiment(spark, small).first().write_fidelity >= 0.5  # base passages are planted, of the distractors two
+def test_every_query_has_an_oracle():
+    assert set(queries.QUERIES) == set(queries.ORACLES)
 
 
 def test_entry(spark):
