@@ -69,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{path}: {message}")
         good = [p for p in args.banks if p not in {x for x, _ in bad}]
         if good:
-            raw = files.read_raw_banks(spark, good).persist()
+            raw = files.read_raw_banks(spark, good)
             print(quality.report_text(raw.drop("file_no")))
             across = quality.collisions(raw).orderBy("file", "seq").collect()
             for x in across + quality.bank_overlaps(raw).orderBy("seq").collect():
@@ -83,7 +83,7 @@ def main(argv: list[str] | None = None) -> int:
         print(files.write_bank(facts, args.out), "facts")
     elif args.command == "review":
         t = files.read_templates(spark, args.templates, args.entities)
-        facts = render.render(t["plan"], t["relations"], t["lexicon"], t["entities"]).persist()
+        facts = render.render(t["plan"], t["relations"], t["lexicon"], t["entities"])
         sheets = {"Patterns": render.review_patterns(facts, t["relations"]), "Values": render.review_values(facts, t["lexicon"]), "People": render.review_people(t["entities"])}
         files.write_xlsx(args.out, {k: v.orderBy("row") for k, v in sheets.items()}, "Verdict (OK / Fix)")
     return 0

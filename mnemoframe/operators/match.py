@@ -5,7 +5,7 @@ exact plans are offered instead of one:
 
 * ``nested``: the loop, keys broadcast.  Best for a few pairs.
 * ``automaton``: all keys in one Aho-Corasick automaton, built once per task
-  from a broadcast whose size is checked; one pass over each text, whatever the
+  from a broadcast whose rows and bytes are checked; one pass over each text, whatever the
   number of keys.  The plan for large stores: no shuffle at all.
 * ``tokens``: for key sets too large to broadcast.  A key of three words or more
   holds its inner words whole, so its rarest inner word is joined with the
@@ -21,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemoframe.plans.lineage import cut, small
+
 #: Pairs up to which the nested loop is the fastest plan.
 NESTED_PAIRS = 200_000
-#: Keys that may be broadcast.
+#: Keys that may be broadcast, and their bytes: an automaton takes some thirty times as much in a task.
 MAX_KEYS = 2_000_000
+MAX_KEY_BYTES = 16 << 20
 
 
 def contains_join(keys: DataFrame, texts: DataFrame, plan: str = "auto") -> DataFrame:
@@ -34,23 +37,25 @@ def contains_join(keys: DataFrame, texts: DataFrame, plan: str = "auto") -> Data
     """
     keys = keys.filter("key <> ''").select("key_id", "key").distinct()
     if plan == "auto":
-        n = keys.limit(MAX_KEYS + 1).count()
+        n, size = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
         if n * texts.limit(NESTED_PAIRS // max(n, 1) + 1).count() <= NESTED_PAIRS:
             plan = "nested"
         else:
-            plan = "automaton" if n <= MAX_KEYS else "tokens"
+            plan = "automaton" if n <= MAX_KEYS and size <= MAX_KEY_BYTES else "tokens"
     return {"nested": _nested, "automaton": _automaton, "tokens": _tokens}[plan](keys, texts)
 
 
 def _nested(keys: DataFrame, texts: DataFrame) -> DataFrame:
     sets = keys.groupBy("key_id").agg(F.collect_list("key").alias("keys"))
-    pairs = texts.join(F.broadcast(sets), F.exists("keys", lambda k: F.contains(F.col("normal"), k)))
+    # a file of one row group is one task: rows are spread before the texts are normalised and compared
+    pairs = texts.repartition(texts.sparkSession.sparkContext.defaultParallelism).join(small(sets), F.exists("keys", lambda k: F.contains(F.col("normal"), k)))
     return pairs.select("key_id", "text_id")
 
 
 def _automaton(keys: DataFrame, texts: DataFrame) -> DataFrame:
     """One pass of an automaton over every text; the numbers it finds are turned back into ids by a broadcast join."""
-    distinct = [x.key for x in keys.select("key").distinct().toLocalIterator()]  # MAX_KEYS at most
+    counted = [(x.key, x.n) for x in keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()]  # MAX_KEYS at most
+    distinct = [k for k, _ in counted]
     shared = keys.sparkSession.sparkContext.broadcast(distinct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,10 +78,11 @@ def _automaton(keys: DataFrame, texts: DataFrame) -> DataFrame:
 
     kind = texts.schema["text_id"].dataType.simpleString()
     hits = texts.select("text_id", "normal").mapInArrow(run, f"text_id {kind}, key string")
-    return hits.join(F.broadcast(keys), "key").select("key_id", "text_id").distinct()
+    return hits.join(F.broadcast(keys) if sum(n for _, n in counted) <= MAX_KEYS else keys, "key").select("key_id", "text_id").distinct()
 
 
 def _tokens(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    texts = cut(texts)  # normalised once
     parts = keys.withColumn("words", F.split("key", " ")).withColumn("row", F.xxhash64("key"))
     long, short = parts.filter(F.size("words") >= 3), parts.filter(F.size("words") < 3)
     words = texts.select("text_id", F.explode(F.array_distinct(F.split("normal", " "))).alias("word"))
@@ -86,7 +92,8 @@ def _tokens(keys: DataFrame, texts: DataFrame) -> DataFrame:
     rarest = inner.join(often, "word", "left").groupBy("key_id", "key").agg(F.min_by("word", F.struct(F.coalesce("count", F.lit(0)), "word")).alias("word"))
     candidates = words.join(rarest, "word").select("key_id", "key", "text_id")
     out = candidates.join(texts, "text_id").filter(F.contains("normal", F.col("key"))).select("key_id", "text_id")
-    for i in range(max(1, -(-short.select("key").distinct().count() // MAX_KEYS))):
-        n = max(1, -(-short.select("key").distinct().count() // MAX_KEYS))
+    count, size = short.agg(F.count_distinct("key"), F.sum(F.octet_length("key"))).first()
+    n = max(1, -(-count // MAX_KEYS), -(-(size or 0) // MAX_KEY_BYTES))
+    for i in range(n):
         out = out.unionByName(_automaton(short.filter(F.pmod("row", F.lit(n)) == i).select("key_id", "key"), texts))
     return out.distinct()

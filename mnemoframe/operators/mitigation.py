@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import text as X
+from mnemoframe.plans.lineage import cut
 
 
 def normalize_turns(turns: DataFrame, translations: DataFrame, pivot: str = "en") -> DataFrame:
@@ -23,11 +24,22 @@ def resolve_by_answer(turns: DataFrame, memories: DataFrame, answers: DataFrame)
 
 
 def resolve_by_overlap(turns: DataFrame, memories: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The same without a model: the best memory by Jaccard similarity of normalised tokens, if that reaches the threshold."""
+    """The same without a model: the best memory by Jaccard similarity of normalised tokens, if that reaches the threshold.
+
+    Prefix filter: in the order of rarity, two sets that reach the threshold share one of the first n - ceil(threshold * n) + 1
+    tokens of each, so frequent words hardly ever make a pair.
+    """
     words = lambda c: F.array_distinct(F.array_remove(F.split(X.normalize(c), " "), ""))
-    t = turns.select("seq", F.explode(words(F.col("text"))).alias("w"), F.size(words(F.col("text"))).alias("nt"))
-    m = memories.select("raw_id", F.col("seq").alias("mseq"), F.explode(words(F.col("text"))).alias("w"), F.size(words(F.col("text"))).alias("nm"))
-    both = t.join(m, "w").groupBy("seq", "raw_id", "mseq", "nt", "nm").agg(F.count(F.lit(1)).alias("c"))
-    both = both.withColumn("s", F.col("c") / (F.col("nt") + F.col("nm") - F.col("c"))).filter(F.col("s") >= threshold)
-    best = both.withColumn("_n", F.row_number().over(Window.partitionBy("seq").orderBy(F.col("s").desc(), "mseq"))).filter("_n = 1")
-    return turns.select("seq").join(best.select("seq", "raw_id"), "seq", "left").select("seq", F.col("raw_id").isNotNull().alias("is_duplicate"), F.col("raw_id").alias("matched_id"))
+    t, m = cut(turns.select("seq", words(F.col("text")).alias("ws"))), cut(memories.select("raw_id", F.col("seq").alias("mseq"), words(F.col("text")).alias("ms")))
+    often = cut(t.select(F.explode("ws").alias("w")).unionByName(m.select(F.explode("ms").alias("w"))).groupBy("w").count())
+
+    def prefix(rows: DataFrame, key: list[str], ws: str) -> DataFrame:
+        each = rows.select(*key, F.explode(ws).alias("w"), F.size(ws).alias("n")).join(often, "w")
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy("count", "w"))
+        return each.withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select(*key, "w")
+
+    pairs = prefix(t, ["seq"], "ws").join(prefix(m, ["raw_id", "mseq"], "ms"), "w").select("seq", "raw_id", "mseq").distinct()
+    both = pairs.join(t, "seq").join(m, ["raw_id", "mseq"]).withColumn("c", F.size(F.array_intersect("ws", "ms")))
+    both = both.withColumn("s", F.col("c") / (F.size("ws") + F.size("ms") - F.col("c"))).filter(F.col("s") >= threshold)
+    best = both.groupBy("seq").agg(F.max_by("raw_id", F.struct("s", -F.col("mseq"))).alias("raw_id"))
+    return turns.select("seq").join(best, "seq", "left").select("seq", F.col("raw_id").isNotNull().alias("is_duplicate"), F.col("raw_id").alias("matched_id"))

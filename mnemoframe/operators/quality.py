@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import text as X
+from mnemoframe.plans.lineage import cut
 
 # Fixed values.
 DOMAINS = ["dining", "family", "finance", "health", "hobbies", "tech", "travel", "work"]
@@ -145,7 +146,7 @@ def low_ratio(rows: DataFrame) -> DataFrame:
 
 def validate(raw: DataFrame) -> DataFrame:
     """All issues of every bank in ``raw``."""
-    rows = items(raw).persist()
+    rows = cut(items(raw))
     parts = [
         duplicate_ids(rows), id_patterns(rows), required_fields(rows), unapproved_domains(rows),
         language_maps(rows, "surface", "surface", LANGS, 5), language_maps(rows, "probe_questions", "probe_questions", LANGS, 6),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.functions import text as X
 from mnemoframe.operators.match import contains_join
+from mnemoframe.plans.lineage import cut, small
 
 RUN = ["exp", "seed"]
 
@@ -78,7 +79,7 @@ def recall(facts: DataFrame, probes: DataFrame, eligible: DataFrame, runs: DataF
     """
     keyed = with_keys(facts).select("seq", "keys")
     first = F.array_position(F.transform("retrieved", lambda m: X.contains_any(X.normalize(F.coalesce(m["text"], F.lit(""))), F.col("keys"))), True)
-    asked = eligible.join(F.broadcast(keyed), "seq").join(last_probes(probes, "probe"), [eligible["exp"].eqNullSafe(probes["exp"]), eligible["seed"].eqNullSafe(probes["seed"]), eligible["id"] == probes["fact_id"]], "left")
+    asked = eligible.join(small(keyed), "seq").join(last_probes(probes, "probe"), [eligible["exp"].eqNullSafe(probes["exp"]), eligible["seed"].eqNullSafe(probes["seed"]), eligible["id"] == probes["fact_id"]], "left")
     asked = asked.select(eligible["exp"], eligible["seed"], first.alias("rank"), "hit_strict", "hit_lenient")
     out = []
     for mode in ("strict", "lenient"):
@@ -121,7 +122,7 @@ def false_merge_rate(facts: DataFrame, matched: DataFrame, memories: DataFrame,
     )
     n = pairs.agg(F.count(F.lit(1)).alias("n"))
     own = matched.join(store, [*RUN, "snapshot"], "left_semi")
-    at = own.join(F.broadcast(pairs), "fact_seq")
+    at = own.join(small(pairs), "fact_seq")
     record = [*RUN, "snapshot", "mem_seq"]
     value = at.filter("by_value").join(own.select(*record, F.col("fact_seq").alias("other_seq")), [*record, "other_seq"], "left_semi")
     texts = normalized(memories).select(*RUN, "snapshot", F.col("seq").alias("mem_seq"), "normal")
@@ -144,7 +145,7 @@ def staleness_rate(facts: DataFrame, probes: DataFrame, runs: DataFrame) -> Data
     updates = facts.filter("update IS NOT NULL").select("id", "value", F.col("update.updated_value").alias("updated"))
     n = updates.agg(F.count(F.lit(1)).alias("n"))
     again = last_probes(probes, "reprobe")
-    asked = again.join(F.broadcast(updates), again["fact_id"] == updates["id"])
+    asked = again.join(small(updates), again["fact_id"] == updates["id"])
     asked = asked.withColumn("is_stale", is_stale(F.col("value"), F.col("updated"), F.coalesce("response", F.lit("")), F.col("hit_strict")).cast("int"))
     stale = asked.groupBy(*RUN).agg(F.sum("is_stale").alias("stale"))
     rows = probes.filter("phase = 'reprobe'").groupBy(*RUN).agg(F.count(F.lit(1)).alias("asked"))
@@ -157,8 +158,8 @@ def staleness_rate(facts: DataFrame, probes: DataFrame, runs: DataFrame) -> Data
 
 def score_runs(facts: DataFrame, memories: DataFrame, probes: DataFrame, runs: DataFrame, plan: str = "auto") -> DataFrame:
     """All ten metrics of every run in ``runs`` (exp, seed)."""
-    facts, runs = facts.persist(), runs.select(*RUN).distinct().persist()
-    matched = matches(facts, memories, plan).persist()
+    facts, runs = cut(facts), cut(runs.select(*RUN).distinct())
+    matched = cut(matches(facts, memories, plan))
     store = scored_store(matched, memories)
     out = write_fidelity(facts, matched, runs)
     for part in (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mnemoframe.config import RunConfig
 from mnemoframe.operators import aggregate, runner, score
+from mnemoframe.plans.lineage import cut
 from mnemoframe.sources import files
 
 #: Fixed facts, scored where no bank is given.
@@ -41,13 +42,12 @@ def run_experiment(spark: SparkSession, config: RunConfig, root: str, facts: Dat
         kwargs = {"respond": respond} if respond else {}
         run = runner.run_seed(facts, config.experiment, seed, config.languages.store, config.languages.probe, config.benchmark.filler_sessions, config.framework, **kwargs)
         out.append(files.write_run(spark, root, config.experiment, seed, run.plant, run.final, run.log))
-        spark.catalog.clearCache()
     return out
 
 
 def score_logs(spark: SparkSession, root: str, facts: DataFrame, write: bool = True) -> DataFrame:
     """Scores of all runs under ``root``, in one job rather than a loop over folders."""
-    log = files.read_log(spark, root).persist()
+    log = cut(files.read_log(spark, root))
     scores = score.score_runs(facts, files.read_snapshots(spark, root), files.probes(log), files.runs(log))
     if write:
         files.write_scores(scores, root)

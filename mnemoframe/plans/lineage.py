@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
@@ -22,6 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+#: Rows that may be broadcast, where a row is as short as a fact.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows; else the join is left to a shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written and read back: later plans start from its files, and survive lost executors."""
     path = f"{shared_dir(df.sparkSession)}/mnemoframe/stage-{uuid.uuid4().hex}"

@@ -157,10 +157,11 @@ def read_log(spark: SparkSession, root: str) -> DataFrame:
     paths = _existing(spark, root, "run_log.jsonl")
     if not paths:
         raise FileNotFoundError(f"no run log under {root}")
-    # a log is one file and its line order counts, so a file is one row here and its lines are exploded with their positions
-    texts = spark.read.text(paths, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
-    lines = _place(texts, "path").select("exp", "seed", F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return parse_log(lines.withColumn("line", F.col("line").cast("long")))
+    # a long log is read in several pieces: a line's place is that of its piece in the file, then its own in the piece
+    texts = spark.read.option("lineSep", "\n").text(paths)
+    texts = texts.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("at"))
+    line = F.row_number().over(Window.partitionBy("path").orderBy("piece", "at")) - 1
+    return parse_log(_place(texts.withColumn("line", line.cast("long")), "path").select("exp", "seed", "line", "value"))
 
 
 def probes(log: DataFrame) -> DataFrame:
