@@ -3,35 +3,31 @@
 import public_tokenizers
 
 import corpus_pipeline
-from mnemoframe.llm import line_dedup
+from mnemoframe.llm import line_dedup, quality
 from mnemoframe.llm.simhash import similarity
 from tests.llm.test_packing import check
-from tests.llm.test_quality import plain as measures
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import united
 
 
 def plain(texts):
-    """Quality rules (no host is bad here, all languages are sure), passages, near copies."""
-    kept = {i: t for i, t in texts.items() if (n := measures(t))[0] >= 50 and 100 * n[4] <= 50 * n[0]}
-    first, out = {}, {}
-    for i in sorted(kept):
-        words = kept[i].encode().split()
-        partners = sorted({first[h] for h in line_dedup.winnow(line_dedup.line_hashes(words), 21).tolist() if h in first})
-        for h in line_dedup.winnow(line_dedup.line_hashes(words), 21).tolist():
-            first.setdefault(h, i)
-        where, spans = line_dedup._spans(kept[i].encode(), words), []
-        for p in partners:
-            spans += [(int(where[a, 0]), int(where[b - 1, 1])) for a, b in line_dedup.common_blocks(kept[p].encode().split(), words)]
-        out[i] = line_dedup.delete(kept[i].encode(), spans).decode()
+    """Of documents that pass the quality rules (all languages are sure): runs of 50 words that an earlier document holds, pairs of 0.8 or more."""
+    seen, out = set(), {}
+    for i in sorted(texts):
+        words = texts[i].encode().split()
+        runs = [tuple(words[k : k + 50]) for k in range(len(words) - 49)]
+        where = line_dedup._spans(texts[i].encode(), words)
+        out[i] = line_dedup.delete(texts[i].encode(), [(int(where[k, 0]), int(where[k + 49, 1])) for k, r in enumerate(runs) if r in seen]).decode()
+        seen.update(runs)
     ids = sorted(out)
-    groups = plain_components(ids, [plain_fingerprint(out[i], 5) for i in ids], 8, lambda i, j: similarity(out[i].encode(), out[j].encode()) >= 0.8)
+    near = [(i, j) for i in ids for j in ids if j < i and similarity(out[i].encode(), out[j].encode()) >= 0.8]
+    groups = united(ids, near)
     return {i: out[i] for i in ids if groups[i] == i}
 
 
 def test_run(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    check(corpus_pipeline.run(spark, small).collect(), plain(texts))
+    good = {r.doc_id for r in quality.judge(docs).filter("kept").collect()}  # tests/llm/test_quality.py holds these
+    check(corpus_pipeline.run(spark, small).collect(), plain({r.doc_id: r.text for r in docs.collect() if r.doc_id in good}))
 
 
 def test_stages_keep_columns_and_take_any_rows(spark, small):
