@@ -23,6 +23,7 @@ def _parser() -> argparse.ArgumentParser:
     c = sub.add_parser("run")
     c.add_argument("--config", required=True)
     c.add_argument("--out")
+    c.add_argument("--offline", action="store_true", help="let the native store stand in for an external one")
     c = sub.add_parser("score")
     c.add_argument("--runs", required=True)
     c.add_argument("--facts")
@@ -51,7 +52,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = session()
     if args.command == "run":
         config = RunConfig.from_yaml(args.config)
-        print("\n".join(experiments.run_experiment(spark, config, args.out or config.output_dir)))
+        print("\n".join(experiments.run_experiment(spark, config, args.out or config.output_dir, offline=args.offline)))
     elif args.command == "score":
         experiments.score_logs(spark, args.runs, experiments.facts_or_smoke(spark, args.facts)).show(truncate=False)
     elif args.command == "aggregate":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,8 +60,18 @@ def token_overlap(query: Column, text: Column) -> Column:
     return F.size(F.array_intersect(words(F.lower(query)), words(F.lower(text))))
 
 
-def entails(premise: Column, hypothesis: Column, threshold: float = 0.5) -> Column:
-    """Share of the hypothesis' distinct normalised tokens that the premise has, against a threshold; blank texts entail nothing."""
+def entails(premise: Column, hypothesis: Column, threshold: float | None = None, scorer: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Whether a score of the pair reaches a threshold; blank texts entail nothing.
+
+    ``scorer`` makes the score from the two columns: a model goes in as a pandas UDF, its threshold is 0.7.
+    Without one the score is the share of the hypothesis' distinct normalised tokens that the premise has, against 0.5.
+    A pair without a score is not entailed.
+    """
+    if scorer is not None:
+        p, h = F.coalesce(premise, F.lit("")), F.coalesce(hypothesis, F.lit(""))
+        filled = (F.size(words(p)) > 0) & (F.size(words(h)) > 0)
+        return F.coalesce(filled & (scorer(p, h) >= (0.7 if threshold is None else threshold)), F.lit(False))
+    threshold = 0.5 if threshold is None else threshold
     split = lambda t: F.array_distinct(F.array_remove(F.split(normalize(t), " "), ""))
     p, h = split(premise), split(hypothesis)
     return (F.size(h) > 0) & (F.size(p) > 0) & (F.coalesce(F.try_divide(F.size(F.array_intersect(p, h)), F.size(h)), F.lit(0.0)) >= threshold)

@@ -27,13 +27,14 @@ def facts_or_smoke(spark: SparkSession, path: str | None, n_facts: int | None =
         return files.facts_frame(spark, SMOKE_FACTS)
 
 
-def run_experiment(spark: SparkSession, config: RunConfig, root: str, facts: DataFrame | None = None, respond: runner.Respond | None = None) -> list[str]:
+def run_experiment(spark: SparkSession, config: RunConfig, root: str, facts: DataFrame | None = None, respond: runner.Respond | None = None, offline: bool = False) -> list[str]:
     """Run every seed on the native store and write its snapshots and log; returns the folders.
 
-    All seeds are looked for first: nothing runs if one of them is there already.
+    All seeds are looked for first: nothing runs if one of them is there already.  ``offline`` lets the native
+    store stand in for an external one, whose name the log keeps; without it such a configuration is an error.
     """
-    if config.framework != "mock":
-        raise ValueError(f"{config.framework} is an external store; only the native one (mock) runs here")
+    if config.framework != "mock" and not offline:
+        raise ValueError(f"{config.framework} is an external store; only the native one (mock) runs here, or stands in for it offline")
     files.ensure_absent(spark, root, config.experiment, config.seeds)
     if facts is None:
         facts = files.read_facts(spark, config.benchmark.fact_bank, config.benchmark.n_facts)

@@ -50,6 +50,18 @@ def test_vectors(spark):
     assert e[0].embedding == e[1].embedding != e[2].embedding and abs(sum(x * x for x in e[0].embedding) - 1) < 1e-4
 
 
+def test_native_store_stands_in_offline(spark, tmp_path):
+    facts = files.facts_frame(spark, experiments.SMOKE_FACTS[:2])
+    config = RunConfig("away", framework="letta", languages={"store": "en", "probe": "en"}, benchmark={"filler_sessions": 0}, seeds=[1])
+    with pytest.raises(ValueError, match="external store"):
+        experiments.run_experiment(spark, config, f"file://{tmp_path}/runs", facts)
+    assert not (tmp_path / "runs").exists()
+    experiments.run_experiment(spark, config, f"file://{tmp_path}/runs", facts, offline=True)
+    lines = [json.loads(x) for x in (tmp_path / "runs/exp=away/seed=1/run_log.jsonl").read_text().splitlines()]
+    assert lines[0]["framework"] == "letta"
+    assert [x["record_type"] for x in lines].count("probe_result") == 2
+
+
 def test_run_score_aggregate(spark, tmp_path):
     root = f"file://{tmp_path}/runs"
     facts = files.facts_frame(spark, experiments.SMOKE_FACTS)

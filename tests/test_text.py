@@ -48,6 +48,20 @@ def test_half_even(spark):
     assert ask(spark, X.half_even(F.col("t")), numbers, "t double") == [f"{abs(x) if x == 0 else x:.3f}" for x in numbers]
 
 
+def test_entailment_by_a_scorer(spark):
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def model(premise: pd.Series, hypothesis: pd.Series) -> pd.Series:
+        return pd.Series([None if p == "none" else len(h) / 10 for p, h in zip(premise, hypothesis)], dtype="float64")
+
+    pairs = [("a", "1234567"), ("a", "123456"), (" \n\xa0", "1234567"), ("a", " \t       "), ("none", "1234567"), (None, "1234567"), ("a", None)]
+    assert ask(spark, X.entails(F.col("p"), F.col("h"), scorer=model), pairs, "p string, h string") == [True] + [False] * 6
+    assert ask(spark, X.entails(F.col("p"), F.col("h"), 0.6, model), pairs, "p string, h string") == [True, True] + [False] * 5
+    native = lambda p, h: F.length(h) / 10
+    assert ask(spark, X.entails(F.col("p"), F.col("h"), scorer=native), pairs[:4], "p string, h string") == [True, False, False, False]
+
+
 def test_small_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(X.capitalize(F.lit("my mother's"))) == "My mother's"
