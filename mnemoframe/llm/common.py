@@ -64,7 +64,16 @@ def row_key(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str =
     return docs.withColumn(out, F.struct(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), *[F.col(c) for c in more]))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as keep it from the columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def without(docs: DataFrame, rejected: DataFrame, key: str = "_row") -> DataFrame:
     """``docs`` without the rows whose key is in ``rejected``, null-safely."""
-    gone = small(rejected.select(F.col(key).alias("_gone")).distinct())
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    out = unused(docs, "_gone")
+    gone = small(rejected.select(F.col(key).alias(out)).distinct())
+    return docs.join(gone, F.col(key).eqNullSafe(F.col(out)), "left_anti")

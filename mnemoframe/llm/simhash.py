@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.common import bounded_batches, cut, drop_cut, small
+from mnemoframe.llm.common import bounded_batches, cut, drop_cut, small, unused, without
 
 PIVOTS = 16
 #: Stands for a null key among nodes.
@@ -475,7 +475,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     Rows of one fingerprint (with ``least``: of one set of shingles) are one node, named by the smallest key.  With ``least``, rows
     that share a key are one document, and the smallest of their texts stands for it.
     """
-    docs = docs.withColumn(key, F.col(key).cast("long"))
+    docs = docs.select(F.col(key).cast("long").alias(key), text)
     fps = cut(fingerprints(docs, key, text, width, least is not None), "fps")
     if least is not None and not fps.groupBy(key).agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").isEmpty():
         docs = cut(docs.groupBy(key).agg(F.min(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias(text)), "one-text-a-key")
@@ -532,11 +532,11 @@ def similar_groups(nodes: DataFrame, docs: DataFrame, key: str, text: str, width
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, least: float | None = None, whole: bool = False) -> DataFrame:
     """One row of each group of near copies, the one with the smallest key; rows that share a key count as one document and leave one row."""
     groups = near_groups(docs, key, text, width, radius, least, whole)
-    dropped = small(groups.filter(~F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("_gone")).distinct())
-    kept = docs.join(dropped, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
-    again = groups.groupBy(key).count().filter("count > 1").select(F.col(key).alias("_gone"))
+    kept = without(docs, groups.filter(~F.col("component_id").eqNullSafe(F.col(key))), key)
+    again = groups.groupBy(key).count().filter("count > 1")
     if again.isEmpty():
         return kept
-    again = small(again)
-    same = F.col(key).eqNullSafe(F.col("_gone"))
+    out = unused(docs, "_again")
+    again = small(again.select(F.col(key).alias(out)))
+    same = F.col(key).eqNullSafe(F.col(out))
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([key]))
