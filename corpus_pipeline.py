@@ -11,26 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoframe.llm import language_id, line_dedup, packing, quality, simhash
-from mnemoframe.llm.common import cut, row_key, small, without
+from mnemoframe.llm.common import cut, row_key, small, unused, without
 from mnemoframe.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their own rules and whose host is not rejected."""
-    rows = row_key(docs)
-    rejected = quality.judge(rows, key="_row").filter(~F.col("kept"))
-    return without(rows, rejected).select(docs.columns)
+    row = unused(docs, "_row")
+    rows = row_key(docs, out=row)
+    rejected = quality.judge(rows, key=row).filter(~F.col("kept"))
+    return without(rows, rejected, row).select(docs.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain enough; the column lang becomes the language found."""
-    rows = row_key(docs, more=("lang", "source"))
-    found = cut(language_id.identify(rows, key="_row"), "languages")
-    kept = without(rows, found.filter(~F.col("kept")))
-    changed = found.filter(F.col("kept") & ~F.col("_row.lang").eqNullSafe(F.col("language")))
-    changed = small(changed.select(F.col("_row").alias("_changed"), F.col("language").alias("_language")).distinct())
-    kept = kept.join(changed, F.col("_row").eqNullSafe(F.col("_changed")), "left")
-    return kept.withColumn("lang", F.coalesce("_language", "lang")).select(docs.columns)
+    row, changed, language = (unused(docs, c) for c in ("_row", "_changed", "_language"))
+    rows = row_key(docs, out=row, more=("lang", "source"))
+    found = cut(language_id.identify(rows, key=row), "languages")
+    kept = without(rows, found.filter(~F.col("kept")), row)
+    other = found.filter(F.col("kept") & ~F.col(f"{row}.lang").eqNullSafe(F.col("language")))
+    other = small(other.select(F.col(row).alias(changed), F.col("language").alias(language)).distinct())
+    kept = kept.join(other, F.col(row).eqNullSafe(F.col(changed)), "left")
+    return kept.withColumn("lang", F.coalesce(language, "lang")).select(docs.columns)
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
