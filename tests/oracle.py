@@ -15,9 +15,19 @@ def connect(folder):
     return con
 
 
+def plain(v):
+    import pandas as pd
+
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v:
+        return None
+    if isinstance(v, float) and abs(v) < 2**63:
+        v = round(v, 6)
+        return str(int(v)) if v.is_integer() else v
+    return str(v)
+
+
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else str(v)
     return sorted((tuple(plain(v) for v in r) for r in frame.astype(object).itertuples(index=False)), key=str)
 
 
