@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import digest, html_extract, language_id, line_dedup, packing, quality, sampled_pieces, shards, simhash, url_filter
+from mnemoframe.llm import digest, fill_middle, harmonic, html_extract, language_id, line_dedup, packing, quality, sampled_pieces, shards, simhash, url_filter, whitening
 from mnemoframe.llm.common import cut
 
 
@@ -58,17 +58,19 @@ def op6_gumbel_topk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bayesian_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, and pages by their main text, the language that their markup declares and the host of their address.
 
-    A page's doc_id is -1 - page_id, so that every row has an id of its own.  The text model is fitted on documents.
+    A document has a doc_id, a page a page_id and no doc_id (is_page tells them apart).  The text model is fitted on documents.
     """
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), "lang")
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", F.lit(None).cast("long").alias("page_id"), F.lit(False).alias("is_page"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), "lang",
+    )
     pages = html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     pages = pages.select(
-        (-1 - F.col("page_id")).alias("doc_id"), "page_id", "text", language_id.declared_language(F.col("html")).alias("declared"),
+        F.lit(None).cast("long").alias("doc_id"), "page_id", F.lit(True).alias("is_page"), "text", language_id.declared_language(F.col("html")).alias("declared"),
         language_id.host_of(F.col("url")).alias("host"), F.lit(None).cast("string").alias("lang"),
     )
     model = language_id.fit(docs)
-    found = language_id.identify(docs.unionByName(pages), declared="declared", host="host", model=model, carry=["page_id"])
-    return found.select("doc_id", "carried.page_id", "language", "confidence", "text_language", "kept")
+    found = language_id.identify(docs.unionByName(pages), declared="declared", host="host", model=model, carry=["page_id", "is_page"])
+    return found.select("doc_id", "carried.page_id", "carried.is_page", "language", "confidence", "text_language", "kept")
 
 
 def op9_pairwise_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +91,24 @@ def op10_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_overlapping_chunks_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    return rows.select(
+        "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
+        sha(F.col("output")).alias("output_sha256"), sha(fill_middle.restore(F.col("form"), F.col("output"))).alias("restored_sha256"),
+    )
+
+
+def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return harmonic.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_html_text_density": op1_html_text_density,
     "op2_simhash_pivot": op2_simhash_pivot,
@@ -100,6 +120,9 @@ QUERIES = {
     "op8_extendible_shards": op8_extendible_shards,
     "op9_pairwise_line_dedup": op9_pairwise_line_dedup,
     "op10_linear_grouping_packing": op10_linear_grouping_packing,
+    "op11_overlapping_chunks_fim": op11_overlapping_chunks_fim,
+    "op12_jacobi_whitening": op12_jacobi_whitening,
+    "op13_harmonic_packing": op13_harmonic_packing,
 }
 
 _OP4_SQL = r"""
@@ -177,4 +200,22 @@ SELECT doc_id, bytes, shard, depth, CAST(sum(bytes) OVER (PARTITION BY shard) AS
        count(*) OVER (PARTITION BY shard) AS shard_rows, bytes > {SHARD_BYTES} AS oversized FROM s
 """
 
-ORACLES = {"op3_host_quality_rules": _OP3_SQL, "op4_url_digest_array": _OP4_SQL, "op8_extendible_shards": _OP8_SQL}
+_OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || CAST(doc_id AS VARCHAR)) AS s FROM documents
+), h AS (
+  SELECT doc_id, t, w, CAST(len(w) AS BIGINT) AS n, CAST('0x' || substr(s, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(s, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(s, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(s, 25, 8) AS BIGINT) AS h4 FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM h
+), p AS (
+  SELECT doc_id, t, n, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:], '') AS suf,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+ORACLES = {"op11_overlapping_chunks_fim": _OP11_SQL, "op3_host_quality_rules": _OP3_SQL, "op4_url_digest_array": _OP4_SQL, "op8_extendible_shards": _OP8_SQL}

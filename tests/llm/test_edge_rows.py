@@ -30,12 +30,20 @@ def _pages():
     return [*[(1, "http://a.example.com/x", body)] * 2, (2, None, body), (3, "no scheme", None), (4, "", ""), (None, "http://b.example.net/en/", "<p>" * 5_000 + "deep"), (5, "http://c.org", "x" * 200_000)]
 
 
+def _vectors():
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)], i) for i in range(10, 40)]
+    nan, inf = float("nan"), float("inf")
+    return rows + [rows[0]] * 2 + [(None, [0.5, 0.5, 0.5], None), (1, None, 1), (2, [], 1), (3, [1.0, None, 2.0], 1), (4, [nan, 0.0, 0.0], 1), (5, [0.0, -inf, 0.0], 1), (6, [1.0, 2.0], 1), (7, [3e38, 0.0, 0.0], 1)]
+
+
 @pytest.fixture(scope="module", params=["edge", "empty"])
 def folder(request, spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp(request.param))
     docs, pages = (_documents(), _pages()) if request.param == "edge" else ([], [])
     spark.createDataFrame(docs, DOCS).coalesce(2).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(pages, PAGES).coalesce(2).write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame(_vectors() if docs else [], "vec_id long, embedding array<float>, label int").coalesce(2).write.parquet(f"{path}/embeddings.parquet")
     return path, docs, pages
 
 
@@ -48,17 +56,21 @@ def test_query(name, spark, folder):
     path, docs, pages = folder
     rows = queries.QUERIES[name](spark, path).collect()
     op = int(name[2:].split("_")[0])
+    if op == 12:
+        assert Counter((r.vec_id, r.component) for r in rows) == Counter({(i, c): 3 if i == 10 else 1 for i in [None, *range(10, 40)] for c in (1, 2, 3)} if docs else {})
+        return
     wanted = Counter(p[0] for p in pages) if op in (1, 4) else Counter(d[0] for d in docs)
     if op == 7:
-        wanted += Counter(None if p[0] is None else -1 - p[0] for p in pages)
+        assert _ids([r for r in rows if r.is_page], "page_id") == Counter(p[0] for p in pages)
+        rows = [r for r in rows if not r.is_page]
     key = "page_id" if op in (1, 4) else "doc_id"
-    found = _ids([r for r in rows if op != 10 or r.piece == 0] if op != 6 else rows, key)
+    found = _ids([r for r in rows if op not in (10, 13) or r.start == 0] if op != 6 else rows, key)
     if op == 6:  # one or two segmentations of each row
         assert set(found) == set(wanted) and all(n <= found[i] <= 2 * n for i, n in wanted.items())
     else:
         assert found == wanted
     # rows alike in the columns read come out alike, but for their places in sequences
-    if op not in (6, 10):
+    if op not in (6, 10, 13):
         names = [c for c in rows[0].asDict()] if rows else []
         ones = [tuple(r[c] for c in names) for r in rows if r[key] == 1]
         assert len(set(ones)) <= 1
