@@ -1,8 +1,21 @@
-"""Vector retrieval and the mock embedder."""
+"""Vector retrieval through an inverted file with exact pruning, and the mock embedder.
+
+The base is cut into cells around centres; a cell knows the smallest and the largest
+angle of its members to its centre.  On the unit sphere angles obey the triangle
+inequality: no member of a cell is nearer to a query than the query's own angle
+to the centre allows.  A query is first compared with some members of its nearest cells; the k-th best of
+these is a bound, and only cells that can still beat it are visited.  The result is exact, whatever
+the centres, which are fitted on a bounded sample and only decide how much is pruned.
+
+Queries and base meet by cell.  Large cells are dealt to lots, and so are the queries that visit
+a cell, so that no task holds more than one lot of each; what meets is multiplied as matrices, and
+the best k of each query leave.  The driver sees one row a cell.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,58 +23,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors compared in one pass over the base; more go in further passes.
-BLOCK = 20_000
+from mnemoframe.plans.lineage import cut
 
+#: Most cells, and base rows that a cell has on average if there are fewer; rows on which the centres are fitted.
+CELLS, CELL_ROWS, SAMPLE_ROWS = 4096, 256, 50_000
+#: Base rows, and queries, of one lot.
+LOT, QUERY_LOT = 4096, 8192
+#: Digits of a cosine that count: what differs behind them is a tie.
+DIGITS = 12
+#: Angles and cosines within this of a bound are not pruned.
+_SLACK = 1e-9
+#: The cell of vectors without direction, whose cosine with any is 0.
+_NOWHERE = -1
 
-def top_k(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, base_id, score, rank): the k base vectors of highest cosine for each query, ties by base id, a vector never its own hit.
 
-    ``queries`` is (query_id, vector), ``base`` (base_id, vector).  Queries go out in blocks of ``BLOCK``; each
-    batch of the base keeps its own k best per query, and the last choice is made among those.
-    """
-    spark = base.sparkSession
-    kind = queries.schema["query_id"].dataType.simpleString()
-    ids, vectors, parts = [], [], []
-
-    def flush() -> None:
-        shared = spark.sparkContext.broadcast((list(ids), _unit(np.array(vectors, dtype=np.float64))))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            own = np.array(names)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                m = _unit(np.array(b.column(1).to_pylist(), dtype=np.float64))
-                bid = b.column(0).to_numpy(zero_copy_only=False)
-                s = q @ m.T
-                s[own[:, None] == bid[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(bid, s.shape), -s), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(own)), order.shape[1])
-                at = order.ravel()
-                score = s[rows, at]
-                ok = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(own[rows[ok]]), pa.array(bid[at[ok]]), pa.array(score[ok])], names=["query_id", "base_id", "score"])
-
-        parts.append(base.select("base_id", "vector").mapInArrow(run, f"query_id {kind}, base_id {kind}, score double"))
-        ids.clear()
-        vectors.clear()
-
-    for row in queries.select("query_id", "vector").toLocalIterator():
-        ids.append(row.query_id)
-        vectors.append(row.vector)
-        if len(ids) >= BLOCK:
-            flush()
-    if ids or not parts:
-        if not ids:
-            return spark.createDataFrame([], f"query_id {kind}, base_id {kind}, score double, rank int")
-        flush()
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "base_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+@dataclass
+class Index:
+    """``table``: (base_id, cell, angle, vector of unit length); ``centres``: a row a cell; ``cells``: members, smallest and largest angle by cell."""
+
+    table: DataFrame
+    centres: np.ndarray
+    cells: dict[int, tuple[int, float, float]]
+
+    @property
+    def rows(self) -> int:
+        return sum(n for n, _, _ in self.cells.values())
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -69,6 +55,181 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n > 0, n, 1)
 
 
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+
+
+def _lists(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+
+
+def _whole(df: DataFrame, column: str = "vector") -> DataFrame:
+    """Rows whose vector is there and holds numbers only."""
+    v = F.col(column).cast("array<double>")
+    return df.withColumn(column, v).filter(F.col(column).isNotNull() & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+
+def _angles(dots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(dots, -1.0, 1.0))
+
+
+def build_index(base: DataFrame, cells: int | None = None, sample_rows: int = SAMPLE_ROWS) -> Index | None:
+    """The inverted file of ``base`` (base_id, vector), written once; None if no row has a vector.
+
+    Centres come from k-means by cosine over at most ``sample_rows`` rows (those with the smallest hashes of their ids); all rows are indexed.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    base = _whole(base.select("base_id", "vector"))
+    n = base.count()
+    if not n:
+        return None
+    pointing = base.filter(F.exists("vector", lambda x: x != 0))
+    sample = pointing.orderBy(F.xxhash64("base_id"), "base_id").limit(sample_rows).select(array_to_vector("vector").alias("features"))
+    k = max(1, min(CELLS, n // CELL_ROWS)) if cells is None else cells
+    if k > 1 and pointing.limit(2).count() == 2:
+        fitted = KMeans(k=k, maxIter=4, initMode="random", seed=1, distanceMeasure="cosine").fit(sample)
+        centres = _unit(np.array(fitted.clusterCenters(), dtype=np.float64))
+    else:
+        centres = _unit(np.array([x.features.toArray() for x in sample.limit(1).collect()] or np.zeros((1, len(base.first().vector)))))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = _unit(_matrix(b.column(1), centres.shape[1]))
+            dots = m @ centres.T
+            cell = dots.argmax(axis=1)
+            angle = _angles(dots[np.arange(len(m)), cell])
+            cell = np.where((m != 0).any(axis=1), cell, _NOWHERE)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell.astype(np.int32)), pa.array(angle), _lists(m)], names=["base_id", "cell", "angle", "vector"])
+
+    kind = base.schema["base_id"].dataType.simpleString()
+    table = cut(base.mapInArrow(assign, f"base_id {kind}, cell int, angle double, vector array<double>"))
+    sizes = table.groupBy("cell").agg(F.count(F.lit(1)), F.min("angle"), F.max("angle")).collect()  # one row a cell
+    return Index(table, centres, {c: (n, low, high) for c, n, low, high in sizes})
+
+
+def _lots(n: int) -> int:
+    return -(-n // LOT)
+
+
+def _blocks(index: Index, wanted: DataFrame, k: int) -> DataFrame:
+    """(query_id, base_id, score): of each (query_id, vector, floor, cell, lot) wanted, the k best members of that lot with a score of ``floor`` or more."""
+    spark, d = wanted.sparkSession, index.centres.shape[1]
+    wanted = cut(wanted)
+    visits = wanted.groupBy("cell", "lot").agg(F.ceil(F.count(F.lit(1)) / QUERY_LOT).cast("int").alias("query_lots"))
+    sizes = spark.createDataFrame([(c, _lots(n)) for c, (n, _, _) in index.cells.items()], "cell int, lots int")  # one row a cell
+    members = index.table.join(F.broadcast(sizes), "cell").withColumn("lot", F.pmod(F.xxhash64("base_id"), F.col("lots")).cast("int"))
+    members = members.join(visits, ["cell", "lot"]).select("cell", "lot", F.explode(F.sequence(F.lit(0), F.col("query_lots") - 1)).alias("part"), "base_id", F.col("vector").alias("v"))
+    asking = wanted.join(visits, ["cell", "lot"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("query_lots")).cast("int")).select("cell", "lot", "part", "query_id", "vector", "floor")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, m = _matrix(left.column("vector"), d), _matrix(right.column("v"), d)
+        own, ids, floor = left.column("query_id").to_numpy(), right.column("base_id").to_numpy(), left.column("floor").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, m = ids[order], m[order]
+        found: list[list[np.ndarray]] = [[own[:0]], [ids[:0]], [np.zeros(0)]]
+        for at in range(0, len(q) if len(m) else 0, 512):
+            s = np.round(q[at : at + 512] @ m.T, DIGITS)
+            s[own[at : at + 512, None] == ids[None, :]] = -np.inf
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]  # stable: ties by base id
+            rows = np.repeat(np.arange(len(s)), top.shape[1])
+            score = s[rows, top.ravel()]
+            good = np.isfinite(score) & (score >= floor[at + rows] - _SLACK)
+            for x, y in zip(found, (own[at + rows[good]], ids[top.ravel()[good]], score[good])):
+                x.append(y)
+        return pa.table({name: np.concatenate(x) for name, x in zip(("query_id", "base_id", "score"), found)})
+
+    kinds = (wanted.schema["query_id"].dataType.simpleString(), index.table.schema["base_id"].dataType.simpleString())
+    both = asking.groupBy("cell", "lot", "part").cogroup(members.groupBy("cell", "lot", "part"))
+    return both.applyInArrow(best, f"query_id {kinds[0]}, base_id {kinds[1]}, score double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "base_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def visits(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, vector, floor, cell, lot): the lots of all cells that can hold one of the k best of each query.
+
+    ``floor`` is the k-th best cosine among the first lots of the cells nearest to the query that hold enough members together; -2 if there are too few.
+    """
+    d, centres, nowhere = index.centres.shape[1], index.centres, index.cells.get(_NOWHERE, (0,))[0]
+    names = np.array(sorted(c for c in index.cells if c != _NOWHERE), dtype=np.int64)
+    count, low, high = (np.array([index.cells[int(c)][i] for c in names]) for i in range(3))
+    count = count.astype(np.int64)
+    first = np.minimum(count, np.maximum(1, count // np.maximum(1, -(-count // LOT)) // 2))  # what the first lot holds at least, or nearly
+    kind = queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {kind}, vector array<double>, floor double, cell int, lot int"
+
+    def emit(b: pa.RecordBatch, q: np.ndarray, floor: np.ndarray, rows: np.ndarray, cells: np.ndarray, lots: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [b.column(0).take(pa.array(rows)), _lists(q[rows]), pa.array(floor[rows]), pa.array(cells.astype(np.int32)), pa.array(lots.astype(np.int32))],
+            names=["query_id", "vector", "floor", "cell", "lot"],
+        )
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q = _unit(_matrix(b.column(1), d))
+            order = np.argsort(-(q @ centres[names].T), axis=1, kind="stable")
+            before = np.cumsum(first[order], axis=1) - first[order]
+            rows, at = np.nonzero(before < k + 1)
+            cells = names[order[rows, at]]
+            yield emit(b, q, np.full(len(q), -2.0), rows, cells, np.zeros(len(rows)))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q, floor = _unit(_matrix(b.column(1), d)), b.column(2).to_numpy(zero_copy_only=False)
+            theta = _angles(q @ centres[names].T)
+            gap = np.maximum(0, np.maximum(theta - high, low - theta))
+            could = np.where((q != 0).any(axis=1)[:, None], np.cos(np.minimum(gap, np.pi)), 0.0)
+            rows, at = np.nonzero(could >= floor[:, None] - _SLACK)
+            cells, sizes = names[at], count[at]
+            if nowhere:
+                zero = np.flatnonzero(floor <= _SLACK)
+                rows, cells = np.concatenate([rows, zero]), np.concatenate([cells, np.full(len(zero), _NOWHERE)])
+                sizes = np.concatenate([sizes, np.full(len(zero), nowhere)])
+            lots = -(-sizes // LOT)
+            within = np.arange(lots.sum()) - np.repeat(np.cumsum(lots) - lots, lots)
+            yield emit(b, q, floor, np.repeat(rows, lots), np.repeat(cells, lots), within)
+
+    queries = _whole(queries.select("query_id", "vector"))
+    if len(names):
+        some = _ranked(_blocks(index, queries.mapInArrow(home, schema), k), k)
+        floors = some.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(-2.0).alias("floor"))
+        queries = queries.join(floors, "query_id", "left").select("query_id", "vector", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
+    else:
+        queries = queries.withColumn("floor", F.lit(-2.0))
+    return queries.mapInArrow(near, schema)
+
+
+def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, base_id, score, rank) over an index that stands; see :func:`top_k`."""
+    return _ranked(_blocks(index, visits(index, queries, k), k), k)
+
+
+def pruned_share(index: Index, queries: DataFrame, k: int = 5) -> float:
+    """The share of pairs of query and base row that a search never compares."""
+    seen = visits(index, queries, k).filter("lot = 0").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a cell
+    compared = sum(r.n * index.cells[r.cell][0] for r in seen)
+    return 1 - compared / max(1, _whole(queries.select("query_id", "vector")).count() * index.rows)
+
+
+def top_k(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, base_id, score, rank): the k base vectors of highest cosine for each query, ties by base id, a vector never its own hit.
+
+    ``queries`` is (query_id, vector) with one row an id, ``base`` (base_id, vector).  A vector of zeros has cosine 0 with any;
+    rows whose vector is null or holds anything but numbers are left out on both sides.
+    """
+    index = build_index(base)
+    if index is None:
+        kinds = (queries.schema["query_id"].dataType.simpleString(), base.schema["base_id"].dataType.simpleString())
+        return base.sparkSession.createDataFrame([], f"query_id {kinds[0]}, base_id {kinds[1]}, score double, rank int")
+    return search(index, queries, k)
+
+
 def mock_embeddings(texts: DataFrame, text: str = "text", out: str = "embedding", size: int = 384) -> DataFrame:
     """Unit Gaussian vectors that depend on the text alone."""
 
