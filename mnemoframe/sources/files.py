@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemoframe.plans import lineage
 from mnemoframe.schemas import FACT, LOG_LINE, MEMORY, METRICS, PROBE, SNAPSHOT
+from mnemoframe.sources import json_arrays, run_sink
 
-SEED_DIR = r"(?:^|/)(?:exp=)?([^/]+)/seed[_=](\d+)/[^/]+$"
+#: A run's file, or a part of it.
+SEED_DIR = r"(?:^|/)(?:exp=)?([^/]+)/seed[_=](\d+)/[^/]+(?:/part-[^/]+)?$"
 
 
 def _yaml(path: str) -> Any:
@@ -124,26 +127,29 @@ def _place(rows: DataFrame, path_column: str) -> DataFrame:
     return rows.withColumn("exp", F.regexp_extract(p, SEED_DIR, 1)).withColumn("seed", F.regexp_extract(p, SEED_DIR, 2).cast("int"))
 
 
-def _existing(spark: SparkSession, root: str, name: str) -> list[str]:
+def _existing(spark: SparkSession, root: str, name: str) -> list[tuple[str, int]]:
+    """(path, bytes) of every run's file of this name; of a folder of parts each part."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/seed[_=]*/{name}")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return [x.getPath().toString() for x in found or []]
+    found = []
+    for below in ("", "/part-*"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/seed[_=]*/{name}{below}")
+        found += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return [(x.getPath().toString(), x.getLen()) for x in found if x.isFile()]
 
 
-def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """Snapshots of all runs under ``root``; a missing file is an empty store."""
-    out = spark.createDataFrame([], SNAPSHOT)
+def read_snapshots(spark: SparkSession, root: str, split: int = json_arrays.SPLIT) -> DataFrame:
+    """Snapshots of all runs under ``root``, large ones in splits; a missing file is an empty store."""
+    stores, listed = {}, []
     for snapshot, name in (("plant", "store_after_plant.json"), ("final", "store_final.json")):
-        paths = _existing(spark, root, name)
-        if not paths:
-            continue
-        texts = spark.read.text(paths, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
-        rows = _place(texts, "path").select("exp", "seed", F.posexplode(F.from_json("value", T.ArrayType(MEMORY))).alias("seq", "m"))
-        coerced = [F.coalesce(f"m.{c}", F.lit("")).alias(c) for c in ("raw_id", "text", "lang_detected")]
-        rows = rows.select("exp", "seed", F.lit(snapshot).alias("snapshot"), F.col("seq").cast("long"), *coerced, F.coalesce("m.metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
-        out = out.unionByName(rows)
-    return out
+        for path, size in _existing(spark, root, name):
+            exp, seed = re.search(SEED_DIR, path).groups()
+            listed.append((stores.setdefault((exp, int(seed), snapshot), len(stores)), path, size))
+    if not listed:
+        return spark.createDataFrame([], SNAPSHOT)
+    names = spark.createDataFrame([(i, *x) for x, i in stores.items()], "store int, exp string, seed int, snapshot string")  # one row a file
+    rows = json_arrays.read(spark, listed, split).join(lineage.small(names), "store").withColumn("m", F.from_json("value", MEMORY))
+    coerced = [F.coalesce(f"m.{c}", F.lit("")).alias(c) for c in ("raw_id", "text", "lang_detected")]
+    return rows.select("exp", "seed", "snapshot", "seq", *coerced, F.coalesce("m.metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
@@ -157,11 +163,11 @@ def read_log(spark: SparkSession, root: str) -> DataFrame:
     paths = _existing(spark, root, "run_log.jsonl")
     if not paths:
         raise FileNotFoundError(f"no run log under {root}")
-    # a long log is read in several pieces: a line's place is that of its piece in the file, then its own in the piece
-    texts = spark.read.option("lineSep", "\n").text(paths)
+    # a long log lies in parts and is read in pieces: a line's place is that of its part, then of its piece in the part, then its own
+    texts = spark.read.option("lineSep", "\n").text([p for p, _ in paths])
     texts = texts.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("at"))
-    line = F.row_number().over(Window.partitionBy("path").orderBy("piece", "at")) - 1
-    return parse_log(_place(texts.withColumn("line", line.cast("long")), "path").select("exp", "seed", "line", "value"))
+    line = F.row_number().over(Window.partitionBy("exp", "seed").orderBy("path", "piece", "at")) - 1
+    return parse_log(_place(texts, "path").withColumn("line", line.cast("long")).select("exp", "seed", "line", "value"))
 
 
 def probes(log: DataFrame) -> DataFrame:
@@ -189,26 +195,30 @@ def ensure_absent(spark: SparkSession, root: str, exp: str, seeds: list[int]) ->
             raise FileExistsError(f"run exp={exp} seed={seed} is there already; runs are never overwritten")
 
 
-def _write_once(spark: SparkSession, path: str, text: str) -> None:
-    """One small file; an existing one is never overwritten."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, False)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
+def run_rows(plant: DataFrame, final: DataFrame, log: DataFrame) -> DataFrame:
+    """The lines (exp, seed, file, pos, value) of runs' files.  ``plant`` and ``final`` are snapshots, ``log`` lines (line, value), each with exp and seed."""
+    record = F.to_json(F.struct("raw_id", "text", "lang_detected", "metadata"))
+    rows = log.select("exp", "seed", F.lit("run_log.jsonl").alias("file"), F.col("line").alias("pos"), "value")
+    for file, store in (("store_after_plant.json", plant), ("store_final.json", final)):
+        rows = rows.unionByName(store.select("exp", "seed", F.lit(file).alias("file"), F.col("seq").alias("pos"), record.alias("value")))
+    return rows
+
+
+def write_runs(rows: DataFrame, root: str, runs: list[tuple[str, int]]) -> list[str]:
+    """Files of runs from their lines (exp, seed, file, pos, value), each run whole or not at all; returns the folders."""
+    spark = rows.sparkSession
+    spark.dataSource.register(run_sink.RunSink)
+    order = ("exp", "seed", "file", "pos")
+    rows = rows.select(F.col("exp").cast("string"), F.col("seed").cast("int"), "file", F.col("pos").cast("long"), "value").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.format("mnemoframe_runs").option("runs", json.dumps(runs)).mode("append").save(root)
+    return [f"{root.rstrip('/')}/{run_sink.run_folder(*x)}" for x in runs]
 
 
 def write_run(spark: SparkSession, root: str, exp: str, seed: int, plant: DataFrame, final: DataFrame, log: DataFrame) -> str:
-    """The two snapshots and the log (line, value) of one run, as one file each: a run is as long as a fact bank."""
-    folder = f"{root.rstrip('/')}/exp={exp}/seed={seed}"
-    for name, rows in (("store_after_plant.json", plant), ("store_final.json", final)):
-        records = rows.orderBy("seq").select(F.to_json(F.struct("raw_id", "text", "lang_detected", "metadata"))).collect()
-        _write_once(spark, f"{folder}/{name}", "[" + ",\n".join(x[0] for x in records) + "]")
-    lines = [x.value for x in log.orderBy("line").collect()]
-    _write_once(spark, f"{folder}/run_log.jsonl", "".join(x + "\n" for x in lines))
-    return folder
+    """The two snapshots and the log (line, value) of one run."""
+    ensure_absent(spark, root, exp, [seed])
+    tagged = [x.withColumns({"exp": F.lit(exp), "seed": F.lit(seed)}) for x in (plant, final, log)]
+    return write_runs(run_rows(*tagged), root, [(exp, seed)])[0]
 
 
 def write_scores(scores: DataFrame, root: str) -> None:
