@@ -5,7 +5,7 @@ Every operator takes the table and returns the new one; nothing is changed in pl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import text as X
@@ -20,13 +20,15 @@ def reset(store: DataFrame, user_id: str) -> DataFrame:
     return store.filter(F.col("user_id") != user_id)
 
 
-def write(store: DataFrame, turns: DataFrame, user_id: str) -> DataFrame:
-    """Append a record for each turn, in order of seq."""
-    last = store.filter(F.col("user_id") == user_id).agg(F.coalesce(F.max("seq"), F.lit(-1).cast("long")).alias("last"))
-    seq = F.col("last") + F.row_number().over(Window.orderBy("seq"))
-    rows = turns.join(F.broadcast(last)).withColumn("n", seq)
+def write(store: DataFrame, turns: DataFrame, user_id: str | Column) -> DataFrame:
+    """Append a record for each turn, in order of seq, to the store of a user, or of the user that a column of the turns names."""
+    turns = turns.withColumn("_user", F.lit(user_id) if isinstance(user_id, str) else user_id.cast("string"))
+    last = store.groupBy(F.col("user_id").alias("_user")).agg(F.max("seq").alias("_last"))
+    seq = F.coalesce("_last", F.lit(-1)) + F.row_number().over(Window.partitionBy("_user").orderBy("seq"))
+    rows = turns.join(last, "_user", "left").withColumn("n", seq)
     meta = F.create_map(F.lit("session_id"), F.col("session_id").cast("string"), F.lit("kind"), F.col("kind"), F.lit("fact_id"), F.col("fact_id"))
-    return store.unionByName(rows.select(F.lit(user_id).alias("user_id"), F.col("n").cast("long").alias("seq"), F.concat(F.lit("mem_"), F.col("n").cast("string")).alias("raw_id"), "text", F.col("lang").alias("lang_detected"), meta.alias("metadata")))
+    name = F.concat(F.lit("mem_"), F.col("n").cast("string"))
+    return store.unionByName(rows.select(F.col("_user").alias("user_id"), F.col("n").cast("long").alias("seq"), name.alias("raw_id"), "text", F.col("lang").alias("lang_detected"), meta.alias("metadata")))
 
 
 #: A correction is appended; the record it corrects stays.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mnemoframe.config import RunConfig
 from mnemoframe.operators import aggregate, runner, score
@@ -28,7 +29,7 @@ def facts_or_smoke(spark: SparkSession, path: str | None, n_facts: int | None =
 
 
 def run_experiment(spark: SparkSession, config: RunConfig, root: str, facts: DataFrame | None = None, respond: runner.Respond | None = None, offline: bool = False) -> list[str]:
-    """Run every seed on the native store and write its snapshots and log; returns the folders.
+    """Run all seeds on the native store, in one plan, and write their snapshots and logs; returns the folders.
 
     All seeds are looked for first: nothing runs if one of them is there already.  ``offline`` lets the native
     store stand in for an external one, whose name the log keeps; without it such a configuration is an error.
@@ -38,12 +39,10 @@ def run_experiment(spark: SparkSession, config: RunConfig, root: str, facts: Dat
     files.ensure_absent(spark, root, config.experiment, config.seeds)
     if facts is None:
         facts = files.read_facts(spark, config.benchmark.fact_bank, config.benchmark.n_facts)
-    out = []
-    for seed in config.seeds:
-        kwargs = {"respond": respond} if respond else {}
-        run = runner.run_seed(facts, config.experiment, seed, config.languages.store, config.languages.probe, config.benchmark.filler_sessions, config.framework, **kwargs)
-        out.append(files.write_run(spark, root, config.experiment, seed, run.plant, run.final, run.log))
-    return out
+    kwargs = {"respond": respond} if respond else {}
+    run = runner.run_seeds(facts, config.experiment, config.seeds, config.languages.store, config.languages.probe, config.benchmark.filler_sessions, config.framework, **kwargs)
+    rows = files.run_rows(*[x.withColumn("exp", F.lit(config.experiment)) for x in (run.plant, run.final, run.log)])
+    return files.write_runs(rows, root, [(config.experiment, x) for x in config.seeds])
 
 
 def score_logs(spark: SparkSession, root: str, facts: DataFrame, write: bool = True) -> DataFrame:

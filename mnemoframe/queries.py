@@ -7,11 +7,12 @@ sessions, ``part`` and ``customer`` for fact-bank rows.
 
 from __future__ import annotations
 
+import random
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import text as X
@@ -278,9 +279,10 @@ def eligible_recall(spark: SparkSession, d: str) -> DataFrame:
     facts, dump = _facts(spark, d), _dump(spark, d)
     value = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("fact_id"), _longest(X.normalize(F.col("text")), 8).alias("word"))
     words = score.normalized(dump).select("seq", "text", F.explode(F.array_distinct(F.split("normal", " "))).alias("word"))
-    found = words.join(F.broadcast(value), "word").select("fact_id", "seq")
-    first = found.groupBy("fact_id").agg(F.slice(F.array_sort(F.collect_list("seq")), 1, 5).alias("seqs"))
-    shown = first.select("fact_id", F.posexplode("seqs").alias("pos", "seq")).join(dump.select("seq", "text"), "seq")
+    found = words.join(lineage.small(value), "word").select("fact_id", "seq")
+    place = F.row_number().over(Window.partitionBy("fact_id").orderBy("seq"))  # every task passes on five of a fact at most
+    first = found.withColumn("pos", place).filter("pos <= 5")
+    shown = first.join(dump.select("seq", "text"), "seq")
     probes = shown.groupBy("fact_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.struct(x["text"].alias("text"))).alias("retrieved"))
     probes = probes.select(F.lit("all").alias("exp"), F.lit(0).alias("seed"), F.lit("probe").alias("phase"), F.lit(0).cast("long").alias("line"), "fact_id", "retrieved", F.lit(False).alias("hit_strict"), F.lit(False).alias("hit_lenient"))
     runs = _runs(dump)
@@ -451,10 +453,7 @@ def _written(spark: SparkSession, d: str) -> DataFrame:
     """Turns of all conversations, written for two users."""
     c = _t(spark, d, "conversations")
     turns = c.select(F.struct("conv_id", "turn").alias("seq"), F.col("conv_id").cast("int").alias("session_id"), F.lit("plant").alias("kind"), F.col("turn").cast("string").alias("fact_id"), "text", F.lit("en").alias("lang"), "role")
-    out = store.empty(spark)
-    for role in ("user", "assistant"):
-        out = store.write(out, turns.filter(F.col("role") == role).drop("role"), role)
-    return out
+    return store.write(store.empty(spark), turns.filter(F.col("role").isin("user", "assistant")), F.col("role"))
 
 
 @_query(_WRITTEN + " SELECT 'mem_' || n AS raw_id, n AS seq, text, CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS VARCHAR) AS fact_id FROM t WHERE role = 'assistant'")
@@ -764,7 +763,7 @@ _SCRIPT = """WITH f AS (SELECT item_id AS k, CAST(item_id AS VARCHAR) AS id FROM
 
 @_query(_SCRIPT + " SELECT row_number() OVER (ORDER BY phase, k) - 1 AS seq, CAST(session_id AS INT) AS session_id, kind, text, id AS fact_id FROM t")
 def script_union(spark: SparkSession, d: str) -> DataFrame:
-    """All phases but filler, whose choices follow Spark's hash."""
+    """All phases but filler, which script_filler draws."""
     return script.build_script(_script_facts(spark, d), "en", "en", filler_sessions=0).select("seq", "session_id", "kind", "text", "fact_id")
 
 
@@ -779,16 +778,25 @@ def update_prefix(spark: SparkSession, d: str) -> DataFrame:
     return script.correction_subset(_script_facts(spark, d)).select("id")
 
 
-def _md5_number(x: str) -> str:
-    return f"CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT)"
+_FILLER = ", ".join("'" + x["en"].replace("'", "''") + "'" for x in script.FILLERS)
 
 
-_FILLER = ", ".join("'" + x["en"].replace("'", "''") + "'" for x in script.FILLERS)
+def _twister_sql(seed: int, sessions: int, most: int = 200) -> str:
+    """(n, step, other, choice) as VALUES: what the standard generator draws for up to ``most`` distractors."""
+    rows = []
+    for n in range(most + 1):
+        rng, places = random.Random(seed), list(range(n))
+        rng.shuffle(places)
+        choices = [rng.choice(range(len(script.FILLERS))) for _ in range(sessions)]
+        rows += [f"({n},{i},{places[i] if i < n else 'NULL'},{choices[i]})" for i in range(sessions)]
+    return f"(VALUES {','.join(rows)}) w(n, step, other, choice)"
 
 
 @_query(
-    f"""SELECT CAST(step + 2 AS INT) AS session_id, 0 AS place, [{_FILLER}][{_md5_number("'7:filler:' || step")} % {len(script.FILLERS)} + 1] AS text, NULL AS fact_id FROM range(4) r(step)
-    UNION ALL SELECT CAST(n + 1 AS INT), 1, 'fact ' || id, id FROM (SELECT CAST(item_id AS VARCHAR) AS id, row_number() OVER (ORDER BY {_md5_number("'7:' || item_id")}, item_id) AS n FROM benchmark WHERE item_id % 3 = 2) WHERE n <= 4"""
+    f"""WITH o AS (SELECT CAST(item_id AS VARCHAR) AS id, row_number() OVER (ORDER BY item_id) - 1 AS place FROM benchmark WHERE item_id % 3 = 2),
+    w AS (SELECT step, other, choice FROM {_twister_sql(7, 4)} WHERE n = (SELECT count(*) FROM o))
+    SELECT CAST(step + 2 AS INT) AS session_id, 0 AS place, [{_FILLER}][choice + 1] AS text, NULL AS fact_id FROM w
+    UNION ALL SELECT CAST(step + 2 AS INT), 1, 'fact ' || id, id FROM w JOIN o ON w.other = o.place"""
 )
 def script_filler(spark: SparkSession, d: str) -> DataFrame:
     """The filler sessions of a script: a neutral turn and a distractor each, drawn by the seed."""
@@ -818,8 +826,9 @@ def _run_sql() -> str:
     recalls = ", ".join(f"(SELECT round(count(*) FILTER (r <= {k}) / count(*), 6) FROM w LEFT JOIN hit USING (k)) AS recall_at_{k}_{mode}" for mode in ("strict", "lenient") for k in (1, 3, 5))
     return f"""WITH f AS (SELECT item_id AS k, CAST(item_id AS VARCHAR) AS id, {_norm("text")} AS n FROM benchmark),
     b AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS seq FROM f WHERE k % 3 <> 2), nb AS (SELECT count(*) AS c FROM b),
-    dz AS (SELECT id, row_number() OVER (ORDER BY {_md5_number("'1:' || id")}, k) - 1 AS step FROM f WHERE k % 3 = 2),
-    fill AS (SELECT 2 * step AS pos, [{_FILLER}][{_md5_number("'1:filler:' || step")} % {len(script.FILLERS)} + 1] AS text FROM range(2) r(step) UNION ALL SELECT 2 * step + 1, 'fact ' || id FROM dz WHERE step < 2),
+    o AS (SELECT id, row_number() OVER (ORDER BY k) - 1 AS place FROM f WHERE k % 3 = 2),
+    dw AS (SELECT step, other, choice FROM {_twister_sql(1, 2)} WHERE n = (SELECT count(*) FROM o)),
+    fill AS (SELECT 2 * step AS pos, [{_FILLER}][choice + 1] AS text FROM dw UNION ALL SELECT 2 * step + 1, 'fact ' || id FROM dw JOIN o ON dw.other = o.place),
     m0 AS (SELECT seq, 'fact ' || id AS text FROM b UNION ALL SELECT c + row_number() OVER (ORDER BY pos) - 1, text FROM fill, nb),
     m1 AS (SELECT min(seq) AS seq, text FROM m0 GROUP BY text), m2 AS (SELECT text, {_norm("text")} AS n FROM (SELECT text FROM m1 UNION ALL SELECT 'Correction: the text is actually new.')),
     key AS (SELECT k, 'fact ' || id AS key FROM f UNION ALL SELECT k, {_key("n")} FROM f WHERE n <> ''),

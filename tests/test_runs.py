@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe import cli
 from mnemoframe.config import RunConfig, allowed_url
-from mnemoframe.operators import mitigation, store, vectors
+from mnemoframe.operators import mitigation, script, store, vectors
 from mnemoframe.plans import experiments
 from mnemoframe.sources import files
 from mnemoframe.streaming import run_log
@@ -62,6 +62,39 @@ def test_native_store_stands_in_offline(spark, tmp_path):
     assert [x["record_type"] for x in lines].count("probe_result") == 2
 
 
+def test_all_seeds_in_one_plan(spark):
+    """The runs of several seeds together are the runs of each, and the plan is as deep for five as for one."""
+    from mnemoframe.operators import runner
+
+    facts = files.facts_frame(spark, experiments.SMOKE_FACTS + [experiments.SMOKE_FACTS[i] | {"id": f"d{i}", "distractor_of": f"smoke_{i + 1}", "surface": {"en": f"distractor {i}"}} for i in range(4)])
+    together = runner.run_seeds(facts, "e", [11, 22, 33], "en", "en", 3, now=1.0)
+    for seed in (11, 33):
+        alone = runner.run_seed(facts, "e", seed, "en", "en", 3, now=1.0)
+        for name in ("plant", "final", "log"):
+            rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+            assert rows(getattr(together, name).filter(F.col("seed") == seed).drop("seed")) == rows(getattr(alone, name))
+    depth = lambda seeds: len(script.build_scripts(facts, "en", "en", seeds, 2)._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert depth([1, 2, 3, 4, 5]) == depth([1])
+
+
+def test_fillers_are_those_of_the_standard_generator(spark):
+    import random
+
+    facts = files.facts_frame(spark, [*experiments.SMOKE_FACTS, *[experiments.SMOKE_FACTS[0] | {"id": f"d{i}", "distractor_of": "smoke_1", "surface": {"en": f"distractor {i}"}} for i in range(7)]])
+    for sessions in (2, 9):
+        got = {}
+        for r in script.build_scripts(facts, "en", "en", [11, 22, 33], sessions).filter("kind = 'filler'").orderBy("seed", "seq").collect():
+            got.setdefault(r.seed, []).append((r.session_id, r.text))
+        for seed in (11, 22, 33):
+            rng, pool, want = random.Random(seed), list(range(7)), []
+            rng.shuffle(pool)
+            for step in range(sessions):
+                want.append((step + 2, rng.choice(script.FILLERS)["en"]))
+                if pool:
+                    want.append((step + 2, f"distractor {pool.pop(0)}"))
+            assert got[seed] == want
+
+
 def test_run_score_aggregate(spark, tmp_path):
     root = f"file://{tmp_path}/runs"
     facts = files.facts_frame(spark, experiments.SMOKE_FACTS)
