@@ -19,7 +19,7 @@ from mnemoframe.functions import text as X
 from mnemoframe.operators import aggregate, match, mitigation, quality, render, runner, score, script, store, vectors
 from mnemoframe.plans import lineage
 from mnemoframe.sources import files
-from mnemoframe.streaming import run_log
+from mnemoframe.streaming import run_log, store_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -463,6 +463,23 @@ def store_write(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("raw_id", "seq", "text", F.col("metadata")["session_id"].alias("session_id"), F.col("metadata")["fact_id"].alias("fact_id"))
 
 
+@_query(
+    """WITH t AS (SELECT role AS user_id, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS seq, coalesce(text, '') AS text FROM conversations)
+    SELECT user_id, seq, 'mem_' || seq AS raw_id, text, row_number() OVER (PARTITION BY user_id, text ORDER BY seq) = 1 AS is_first FROM t"""
+)
+def store_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of all conversations taken in as a stream, a user for each role: keyed state numbers records and keeps the first of equal ones."""
+    table = f"{d}/conversations.parquet"
+    turns = spark.readStream.schema(spark.read.parquet(table).schema).parquet(f"{d}/conversations.parque[t]")  # a pattern: streams take no single file
+    nothing = F.lit(None).cast("string")
+    turns = turns.select(
+        F.col("role").alias("user_id"), F.lit("write").alias("op"), (F.col("conv_id") * 1_000_000 + F.col("turn")).cast("long").alias("seq"),
+        F.col("conv_id").cast("int").alias("session_id"), F.lit("plant").alias("kind"), nothing.alias("fact_id"), F.lit("en").alias("lang"), "text",
+    )
+    folder = f"{lineage.shared_dir(spark)}/mnemoframe/stream-{uuid.uuid4().hex}"
+    return store_stream.current(store_stream.write_all(turns, f"{folder}/records", f"{folder}/state")).select("user_id", "seq", "raw_id", "text", "is_first")
+
+
 @_query("SELECT conv_id, CAST(count(*) AS BIGINT) AS n, string_agg(text, '|' ORDER BY turn // 2, turn) AS texts FROM conversations GROUP BY 1")
 def flatten_repair(spark: SparkSession, d: str) -> DataFrame:
     """Turns in lists of two, as a model returns them nested, and flat again."""
