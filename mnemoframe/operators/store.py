@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import text as X
+from mnemoframe.plans import lineage
 from mnemoframe.schemas import STORE
 
 
@@ -52,16 +53,31 @@ def dump(store: DataFrame, user_id: str) -> DataFrame:
     return store.filter(F.col("user_id") == user_id).drop("user_id")
 
 
-def retrieve(store: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+#: Records of a store up to which retrieval joins on every token; beyond, by bounds.
+PLAIN_RECORDS = 100_000
+#: Rarest tokens of a query, and records of each, that give the first bound on its k-th best score.
+SEEDS, SEED_RECORDS = 3, 64
+
+
+def _words(c: Column) -> Column:
+    return F.array_distinct(X.words(F.lower(c)))
+
+
+def retrieve(store: DataFrame, queries: DataFrame, k: int = 5, plan: str = "auto") -> DataFrame:
     """(query_id, rank, score, and the record): the k records of the query's user with most tokens in common, ties in write order.
 
-    ``queries``: (query_id, user_id, query).  Only records that share a token are joined (on the token);
-    the rest, all with score 0, fill up in write order from the first k records of the user.
+    ``queries``: (query_id, user_id, query).  Records that share a token are found by one of two plans with equal results:
+
+    * ``join``: on every token;
+    * ``bounded``: a query's common tokens are left out of the join where they cannot decide.  A few records that hold
+      its rarest tokens are scored first; if the k-th best of these has a score of t, a record that holds none but the t - 1
+      commonest tokens of the query cannot be among its k best.  What the rest finds is scored in full.
+
+    The rest, all with score 0, fill up in write order from the first k records of the user.
     """
-    words = lambda c: F.array_distinct(X.words(F.lower(c)))
-    q = queries.select("query_id", "user_id", F.explode_outer(words(F.col("query"))).alias("word"))
-    m = store.select("user_id", "seq", F.explode(words(F.col("text"))).alias("word"))
-    scored = q.join(m, ["user_id", "word"]).groupBy("query_id", "user_id", "seq").agg(F.count(F.lit(1)).alias("score"))
+    if plan == "auto":
+        plan = "join" if store.limit(PLAIN_RECORDS + 1).count() <= PLAIN_RECORDS else "bounded"
+    scored = {"join": _by_every_token, "bounded": _by_bounds}[plan](store, queries, k)
     w = Window.partitionBy("user_id").orderBy("seq")
     head = store.select("user_id", "seq").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
     filler = queries.select("query_id", "user_id").join(head, "user_id").select("query_id", "user_id", "seq", F.lit(0).cast("long").alias("score"))
@@ -72,6 +88,42 @@ def retrieve(store: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return top.join(store, ["user_id", "seq"])
 
 
+def _by_every_token(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    q = queries.select("query_id", "user_id", F.explode(_words(F.col("query"))).alias("word"))
+    m = store.select("user_id", "seq", F.explode(_words(F.col("text"))).alias("word"))
+    return q.join(m, ["user_id", "word"]).groupBy("query_id", "user_id", "seq").agg(F.count(F.lit(1)).alias("score"))
+
+
+def _by_bounds(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    postings = lineage.cut(store.select("user_id", "seq", F.explode(_words(F.col("text"))).alias("word")))
+    essential = lineage.cut(essential_tokens(store, postings, queries, k))
+    shares = F.count(F.lit(1))
+    found = essential.join(postings, ["user_id", "word"]).groupBy("query_id", "user_id", "seq", "left_out", "floor").agg(shares.alias("shares"))
+    return _in_full(store, queries, found.filter(F.col("shares") + F.col("left_out") >= F.col("floor")).select("query_id", "user_id", "seq"))
+
+
+def _in_full(store: DataFrame, queries: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, user_id, seq, score) of the pairs ``found``, by all tokens of both texts."""
+    both = found.join(queries.select("query_id", _words(F.col("query")).alias("qw")), "query_id").join(store.select("user_id", "seq", _words(F.col("text")).alias("rw")), ["user_id", "seq"])
+    return both.select("query_id", "user_id", "seq", F.size(F.array_intersect("qw", "rw")).cast("long").alias("score"))
+
+
+def essential_tokens(store: DataFrame, postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, user_id, word, left_out, floor): the tokens of each query that the join needs, how many it can do without, and a lower bound of its k-th best score."""
+    often = postings.groupBy("user_id", "word").agg(F.count(F.lit(1)).alias("df"))
+    tokens = queries.select("query_id", "user_id", F.explode(_words(F.col("query"))).alias("word")).join(often, ["user_id", "word"])
+    rare = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "word"))
+    tokens = lineage.cut(tokens.select("query_id", "user_id", "word", rare.alias("nth"), F.count(F.lit(1)).over(Window.partitionBy("query_id")).alias("tokens")))
+    first = F.row_number().over(Window.partitionBy("user_id", "word").orderBy("seq"))  # every task passes on SEED_RECORDS of a word at most
+    heads = postings.withColumn("_n", first).filter(F.col("_n") <= SEED_RECORDS).drop("_n")
+    some = tokens.filter(F.col("nth") <= SEEDS).join(heads, ["user_id", "word"]).select("query_id", "user_id", "seq").distinct()
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))
+    floors = _in_full(store, queries, some).withColumn("_n", best).filter(F.col("_n") == k).select("query_id", F.col("score").alias("floor"))
+    bound = tokens.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0)))
+    left_out = F.least(F.greatest(F.col("floor") - 1, F.lit(0)), F.col("tokens"))
+    return bound.withColumn("left_out", left_out).filter(F.col("nth") <= F.col("tokens") - F.col("left_out")).select("query_id", "user_id", "word", "left_out", "floor")
+
+
 def flatten_facts(nested: str = "facts"):
     """Lists of facts that a model returned nested, flattened by one level."""
     return F.flatten(nested)
