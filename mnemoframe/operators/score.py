@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import text as X
-from mnemoframe.operators.match import contains_join
+from mnemoframe.operators.match import Index, contains_join
 from mnemoframe.plans.lineage import cut, small
 
 RUN = ["exp", "seed"]
@@ -34,13 +34,21 @@ def with_keys(facts: DataFrame, use_aliases: bool = False) -> DataFrame:
 
 
 def normalized(memories: DataFrame) -> DataFrame:
+    """``memories`` with their normalised texts as ``normal``; a store that has them already is left as it is."""
+    if "normal" in memories.columns:
+        return memories
     return memories.withColumn("normal", X.normalize(F.coalesce("text", F.lit(""))))
 
 
-def matches(facts: DataFrame, memories: DataFrame, plan: str = "auto", use_aliases: bool = False) -> DataFrame:
-    """(exp, seed, snapshot, mem_seq, fact_seq): which memory holds which fact."""
+def texts_of(memories: DataFrame) -> DataFrame:
+    """(text_id, normal) of a store, as :func:`matches` and :func:`match.build_index` take it."""
+    return normalized(memories).select(F.struct("exp", "seed", "snapshot", F.col("seq").alias("mem_seq")).alias("text_id"), "normal")
+
+
+def matches(facts: DataFrame, memories: DataFrame | Index, plan: str = "auto", use_aliases: bool = False) -> DataFrame:
+    """(exp, seed, snapshot, mem_seq, fact_seq): which memory holds which fact; a store that is scored often may come as an index of :func:`texts_of`."""
     keys = with_keys(facts, use_aliases).select(F.col("seq").alias("key_id"), F.explode("keys").alias("key"))
-    texts = normalized(memories).select(F.struct("exp", "seed", "snapshot", F.col("seq").alias("mem_seq")).alias("text_id"), "normal")
+    texts = memories if isinstance(memories, Index) else texts_of(memories)
     return contains_join(keys, texts, plan).select("text_id.*", F.col("key_id").alias("fact_seq"))
 
 
@@ -159,6 +167,7 @@ def staleness_rate(facts: DataFrame, probes: DataFrame, runs: DataFrame) -> Data
 def score_runs(facts: DataFrame, memories: DataFrame, probes: DataFrame, runs: DataFrame, plan: str = "auto") -> DataFrame:
     """All ten metrics of every run in ``runs`` (exp, seed)."""
     facts, runs = cut(facts), cut(runs.select(*RUN).distinct())
+    memories = cut(normalized(memories))  # once for all metrics
     matched = cut(matches(facts, memories, plan))
     store = scored_store(matched, memories)
     out = write_fidelity(facts, matched, runs)

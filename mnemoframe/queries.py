@@ -165,6 +165,17 @@ def _match_pairs(plan: str) -> Query:
     return run
 
 
+def match_pairs_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs over a store that was indexed before: its words lie in buckets and are not shuffled."""
+    keys = score.with_keys(_facts(spark, d)).select(F.col("seq").alias("key_id"), F.explode("keys").alias("key"))
+    index = match.build_index(score.normalized(_dump(spark, d)).select(F.col("seq").alias("text_id"), "normal"))
+    found = lineage.cut(match.contains_join(keys, index, "tokens"))
+    index.drop()
+    return found.select(F.col("key_id").alias("item_id"), F.col("text_id").alias("doc_id"))
+
+
+QUERIES["match_pairs_index"], ORACLES["match_pairs_index"] = match_pairs_index, _PAIRS + " SELECT item_id, doc_id FROM m"
+
 for _plan in ("nested", "automaton", "tokens"):
     QUERIES[f"match_pairs_{_plan}"] = _match_pairs(_plan)
     ORACLES[f"match_pairs_{_plan}"] = _PAIRS + " SELECT item_id, doc_id FROM m"
@@ -331,6 +342,23 @@ def topk_lexical(spark: SparkSession, d: str) -> DataFrame:
     return store.retrieve(kept, queries, 5).select(F.col("query_id").alias("conv_id"), F.col("seq").alias("turn"), "score", "rank")
 
 
+def topk_lexical_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """The same by bounds, over one user who has all turns after the first of their conversation; queries are the first turns."""
+    c = _t(spark, d, "conversations")
+    one = F.lit("all").alias("user_id")
+    queries = c.filter("turn = 0").select(F.col("conv_id").alias("query_id"), one, F.col("text").alias("query"))
+    kept = c.filter("turn > 0").select(one, (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("seq"), "text")
+    return store.retrieve(kept, queries, 5, plan="bounded").select(F.col("query_id").alias("conv_id"), "seq", "score", "rank")
+
+
+QUERIES["topk_lexical_bounded"] = topk_lexical_bounded
+ORACLES["topk_lexical_bounded"] = (
+    f"""WITH q AS (SELECT conv_id, {_WORDS.format("text")} AS w FROM conversations WHERE turn = 0), c AS (SELECT conv_id * 1000000 + turn AS seq, {_WORDS.format("text")} AS w FROM conversations WHERE turn > 0),
+    s AS (SELECT q.conv_id, c.seq, CAST(len(list_intersect(q.w, c.w)) AS BIGINT) AS score FROM q, c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, seq) AS rank FROM s) SELECT conv_id, seq, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5"""
+)
+
+
 @_query(
     """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     s AS (SELECT q.vec_id AS qid, q.label AS ql, b.vec_id AS bid, b.label AS bl, list_cosine_similarity(q.v, b.v) AS c FROM e q JOIN e b ON q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0),

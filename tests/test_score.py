@@ -1,7 +1,9 @@
 """Hand-computed cases of the metrics."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from mnemoframe.functions import text as X
 from mnemoframe.operators import aggregate, match, score
 from mnemoframe.schemas import FACT, PROBE, SNAPSHOT
 from mnemoframe.sources import files
@@ -115,3 +117,21 @@ def test_plans_agree(spark):
     want = sorted({(k.key_id, t.text_id) for k in keys.collect() if k.key for t in texts.collect() if k.key in t.normal})
     for plan in ("nested", "automaton", "tokens", "auto"):
         assert sorted(map(tuple, match.contains_join(keys, texts, plan).collect())) == want
+
+
+def test_an_index_is_read_without_a_shuffle(spark, small):
+    from mnemoframe.operators import match
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = docs.select(F.col("doc_id").alias("text_id"), X.normalize(F.col("text")).alias("normal"))
+    b = spark.read.parquet(f"{small}/benchmark.parquet")
+    keys = b.select(F.col("item_id").alias("key_id"), X.normalize(F.col("text")).alias("key")).unionByName(spark.createDataFrame([(1000, "a"), (1001, "of the"), (1002, "no such words there")], "key_id long, key string"))
+    index = match.build_index(texts, 3)
+    try:
+        pairs = lambda t: sorted(map(tuple, match.contains_join(keys, t, "tokens").collect()))
+        assert pairs(index) == pairs(texts) and len(pairs(index)) > 10
+        by_word = index.words.groupBy("word").count().join(index.often.hint("merge"), "word")
+        assert "Exchange" not in by_word._jdf.queryExecution().executedPlan().toString()
+    finally:
+        index.drop()
+    assert not spark.catalog.tableExists(index.tables[0])
