@@ -11,7 +11,9 @@ threshold above which further subtrees count.
 Classes and ids are weighed, not obeyed.  A box that is named like furniture
 competes for the centre with ``NAMED`` of its sum, and joins no other centre.
 Inside the centre a box goes only if one of its classes or its id is itself such
-a name and its density is under the threshold, or if it holds reader comments.
+a name and its density is under the threshold, or if it is named as an advert, a notice or
+reader comments and holds less than half of the text.  Headings and list items stay; so
+do buttons and labels that stand inside a run of prose.
 The centre is widened to the ``article`` element around it, so that the heading
 comes along; which article that is, density decides.  The body competes with its
 own paragraphs only, as its other children compete themselves.
@@ -70,9 +72,12 @@ _ENDS = {
 }
 #: Never part of an article.
 _FURNITURE = frozenset(
-    "head title script style noscript template nav footer aside button select textarea option label input legend iframe object embed "
+    "head title script style noscript template nav footer aside select textarea option input legend iframe object embed "
     "svg canvas audio video map menu dialog applet frame frameset noframes noembed".split()
 )
+#: Words of a sentence, or controls of a page.
+_CONTROLS = frozenset(("button", "label"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 li".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alert alertdialog".split())
 #: Parts of a class or id that hint at furniture.
 _WORDS = frozenset(
@@ -87,12 +92,19 @@ _TOKENS = frozenset(
     "ad ads advert advertisement adsbygoogle ad-banner ad-container ad-slot banner sponsored promo cookie-notice cookie-banner notice notification popup newsletter "
     "newsletter-signup sidebar menu navbar breadcrumb breadcrumbs share-buttons social-share related-posts pagination widget".split()
 )
+#: Those of them that hold adverts and notices, however dense.
+_CERTAIN = _TOKENS - frozenset("banner promo menu widget navbar".split())
+#: First parts of classes and ids of adverts.
+_ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored".split())
 #: Whole classes and ids of reader comments.
 _COMMENTS = frozenset("comment comments comment-list commentlist comments-area comments-section comment-section comments-list comment-thread disqus_thread user-comments reader-comments".split())
 #: What the sum of a box that is named like furniture counts for.
 NAMED = 0.25
 
 
+_KINDS = ("", "other", "certain", "comments")
+
+
 class _Node:
     __slots__ = ("tag", "parent", "items", "gone", "hint", "named", "chars", "tags", "lchars", "ltags", "density", "total")
 
@@ -118,21 +130,56 @@ def _read_attributes(tag: str, attrs: str) -> tuple[bool, bool, str]:
         if name in ("class", "id") and tag not in ("html", "body", "main"):
             for token in value.split():
                 plain = _CAMEL.sub("-", token).lower()
-                named = "comments" if plain in _COMMENTS else named or ("other" if plain in _TOKENS else "")
                 words = _NAMES.findall(plain)
+                certain = plain in _CERTAIN or bool(words) and words[0] in _ADVERTS
+                kind = "comments" if plain in _COMMENTS else "certain" if certain else "other" if plain in _TOKENS else ""
+                named = max(named, kind, key=_KINDS.index)
                 # "has-sidebar" and "no-ads" say what a box is not
                 hint = hint or (bool(words) and words[0] not in ("has", "with", "no", "without") and not _WORDS.isdisjoint(words))
     return False, hint, named
 
 
+class _Open:
+    """The open elements, innermost last, with their places by name, so that no tag looks through all of them."""
+
+    def __init__(self, body: _Node):
+        self.stack, self.where, self.blocks, self.hard = [body], {}, [], []
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of this name; 0, the body's, if there is none."""
+        found = self.where.get(tag)
+        return found[-1] if found else 0
+
+    def push(self, node: _Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.where.setdefault(node.tag, []).append(at)
+        if node.tag in _BLOCK:
+            self.blocks.append(at)
+            if node.tag not in ("p", "li"):
+                self.hard.append(at)
+
+    def close(self, at: int) -> None:
+        """End the element at this place and all inside it."""
+        while len(self.stack) > at:
+            node = self.stack.pop()
+            self.where[node.tag].pop()
+            for some in (self.blocks, self.hard):
+                if some and some[-1] == len(self.stack):
+                    some.pop()
+
+
 def parse(page: str) -> _Node:
-    """The page's tree.  ``items`` holds texts and nodes in page order; furniture is marked ``gone``."""
+    """The page's tree.  ``items`` holds texts and nodes in page order; furniture is marked ``gone``.  Takes time in proportion to the page's length."""
     root = _Node("html", None)
     body = _Node("body", root)
     root.items.append(body)
-    now, at, end = body, 0, len(page)
+    controls: list[_Node] = []
+    opened = _Open(body)
+    at, end = 0, len(page)
     search = _TAG.search
     while at < end:
+        now = opened.stack[-1]
         m = search(page, at)
         if m is None:
             if (lt := page.rfind("<", at)) >= 0 and re.match(r"</?[a-zA-Z][^>]*\Z", page[lt:]):
@@ -152,51 +199,46 @@ def parse(page: str) -> _Node:
         if m[1]:
             if tag in ("html", "body", "br"):
                 continue
-            up = now
-            while up is not body and up.tag != tag:
-                if tag not in _BLOCK and up.tag in _BLOCK and up.tag not in ("p", "li"):
-                    up = body
-                    break
-                up = up.parent
-            if up is not body:
-                now = up.parent
+            place = opened.last(tag)
+            if place and (tag in _BLOCK or not opened.hard or place > opened.hard[-1]):  # an inline end tag ends nothing outside its block
+                opened.close(place)
             continue
         if tag in ("html", "body"):
             continue
         if tag in _HEAD_P:
-            up = now
-            while up is not body and up.tag != "p" and up.tag not in _BLOCK:
-                up = up.parent
-            if up.tag == "p":
-                now = up.parent
+            if opened.blocks and opened.stack[opened.blocks[-1]].tag == "p":
+                opened.close(opened.blocks[-1])
         elif tag in _ENDS:
             names, stops = _ENDS[tag]
-            up = now
-            while up is not body and up.tag not in names and up.tag not in stops:
-                up = up.parent
-            if up.tag in names:
-                now = up.parent
+            place = max(opened.last(x) for x in (*names, *stops))
+            if opened.stack[place].tag in names:
+                opened.close(place)
+        now = opened.stack[-1]
         gone, hint, named = _read_attributes(tag, m[3])
-        node = _Node(tag, now, now.gone or gone or (tag == "header" and not _inside(now)), hint, named)
+        outside = not opened.last("article") and not opened.last("main")
+        node = _Node(tag, now, now.gone or gone or (tag == "header" and outside), hint, named)
         now.items.append(node)
+        if tag in _CONTROLS and not node.gone:
+            if opened.last("form"):
+                node.gone = True
+            else:
+                controls.append(node)
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
             continue
         if tag in _RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        now = node
+        opened.push(node)
+    prose: dict[int, bool] = {}
+    for node in controls:  # a button or a label inside a run of prose is a word of it; others are controls of the page
+        around = node.parent
+        if id(around) not in prose:
+            prose[id(around)] = any(isinstance(x, str) and x.strip() for x in around.items)
+        node.gone = node.gone or not prose[id(around)]
     return body
 
 
-def _inside(node: _Node) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
-
 def _order(body: _Node) -> list[_Node]:
     """Nodes that stay, parents first."""
     out, todo = [], [body]
@@ -282,21 +324,23 @@ def _chosen(body: _Node) -> tuple[list[_Node], float]:
     return out, threshold
 
 
-def _dropped(n: _Node, threshold: float, whole: int, in_article: bool) -> bool:
-    """Whether a box inside a chosen subtree is furniture: named so and thin, reader comments, a form of its own, or (outside articles) a menu of short links."""
-    if n.named == "comments":
+def _dropped(n: _Node, threshold: float, whole: int) -> bool:
+    """Whether a box inside a chosen subtree is furniture: an advert, a notice or reader comments by name, named like furniture and thin, or a form of its own.
+
+    Headings and list items never go by their names, and nothing goes for being a list of links.
+    """
+    if n.tag in _HEADINGS:
+        return False
+    if n.named in ("comments", "certain"):
         return n.chars * 2 < whole
     if n.named:
         return n.density < threshold
-    if n.tag == "form":
-        return n.chars * 2 < whole
-    return not in_article and n.tag in ("ul", "ol", "div", "dl") and n.lchars >= n.chars and n.ltags >= 4 and n.chars <= 24 * n.ltags
+    return n.tag == "form" and n.chars * 2 < whole
 
 
 def _blocks(top: _Node, threshold: float) -> list[str]:
     out: list[str] = []
     run: list[str] = []
-    in_article = _around(top, ("article",)) is not None
 
     def flush() -> None:
         if run:
@@ -317,10 +361,10 @@ def _blocks(top: _Node, threshold: float) -> list[str]:
                 run.append(" " if x.tag == "br" else "")
             elif x.tag in _BLOCK:
                 flush()
-                if not _dropped(x, threshold, top.chars, in_article):
+                if not _dropped(x, threshold, top.chars):
                     todo.append((x, iter(x.items)))
                     break
-            elif x.named and _dropped(x, threshold, top.chars, in_article):
+            elif x.named and _dropped(x, threshold, top.chars):
                 continue
             else:
                 todo.append((x, iter(x.items)))
