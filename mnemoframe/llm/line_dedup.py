@@ -4,7 +4,12 @@ Passages that documents share are found through rare hashes, aligned pair by
 pair with a patience diff, and deleted from the later document (the one with the
 larger key).
 
-Lines are logical ones.  A passage may stand inside another document's line, so
+With ``line_words``, real lines of so many words or more that stand in several documents stay
+in the first one only.  A line that ``RARE_DOCS`` documents or fewer hold pairs each holder with the first one,
+and the pair is aligned on its lines as well.  A line of more documents is boilerplate: it says nothing about
+which texts overlap, so it pairs none; its hash marks it in every later document, and it goes from there.
+
+For passages, lines are logical ones.  A passage may stand inside another document's line, so
 a text is read as overlapping lines of ``WIDTH`` words; the hash of a line is
 kept if it is the smallest of ``MIN_WORDS - WIDTH + 1`` neighbours (winnowing).
 This keeps about one hash in ten words, yet any passage of ``MIN_WORDS`` words
@@ -37,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +51,8 @@ from mnemoframe.llm.rolling import prefix_sums, window
 
 MIN_WORDS = 50
 WIDTH = 30
+#: Documents that may hold a real line before it counts as boilerplate.
+RARE_DOCS = 10
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -146,6 +154,30 @@ def _left_over(earlier: list[bytes], later: list[bytes], found: list[tuple[int,
     return out
 
 
+def real_lines(text: bytes, least: int) -> list[tuple[bytes, int, int]]:
+    """(line, start, end) of the lines of ``least`` words or more, without the white space around them."""
+    out, at = [], 0
+    for raw in text.split(b"\n"):
+        line = raw.strip()
+        if line and len(line.split(None, least - 1)) == least:
+            start = at + raw.index(line)
+            out.append((line, start, start + len(line)))
+        at += len(raw) + 1
+    return out
+
+
+def line_digest(line: bytes) -> int:
+    return xxhash.xxh64_intdigest(line, 9)
+
+
+def common_lines(earlier: bytes, later: bytes, least: int) -> list[tuple[int, int]]:
+    """Byte ranges of the real lines of ``later`` that ``earlier`` holds too, by an alignment of the two texts' lines."""
+    a, b = real_lines(earlier, least), real_lines(later, least)
+    if not a or not b:
+        return []
+    return [b[i][1:] for x, y in common_blocks([line for line, _, _ in a], [line for line, _, _ in b], 1, 1) for i in range(x, y)]
+
+
 def _aligned(earlier: list[bytes], later: list[bytes], width: int, least: int) -> list[tuple[int, int]]:
     """Common blocks by one patience alignment."""
     a, b = line_hashes(earlier, width), line_hashes(later, width)
@@ -229,21 +261,27 @@ def _bytes(x: pa.Scalar) -> bytes:
     return x.as_buffer().to_pybytes() if x.is_valid else b""
 
 
-def anchors(docs: DataFrame, key: str, text: str, width: int, least: int) -> DataFrame:
-    """(a, k): the rare line hashes of every row."""
+def anchors(docs: DataFrame, key: str, text: str, width: int, least: int, line_words: int | None = None) -> DataFrame:
+    """(a, k, line): the rare line hashes of every row, and the hashes of its real lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [winnow(line_hashes(_bytes(x).split(), width), least - width + 1) for x in b.column(1)]
-            sizes = [len(x) for x in found]
-            keys = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-            hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(keys)], names=["a", "k"])
+            found, real = [], []
+            for x in b.column(1):
+                t = _bytes(x)
+                found.append(winnow(line_hashes(t.split(), width), least - width + 1))
+                if line_words:
+                    real.append(np.unique(np.array([line_digest(line) for line, _, _ in real_lines(t, line_words)], np.uint64)))
+            names = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = np.concatenate([np.repeat(names, [len(x) for x in xs]) for xs in (found, real) if xs] or [names[:0]])
+            hashes = np.concatenate([*found, *real] or [np.zeros(0, np.uint64)])
+            is_line = np.arange(len(hashes)) >= sum(map(len, found))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(keys), pa.array(is_line)], names=["a", "k", "line"])
         pa.default_memory_pool().release_unused()
 
     bounded_batches(docs.sparkSession)
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").cast("binary").alias("t"))
-    return rows.mapInArrow(run, "a long, k long")
+    return rows.mapInArrow(run, "a long, k long, line boolean")
 
 
 def whole_runs(docs: DataFrame, marked: DataFrame, key: str, text: str, width: int, least: int) -> DataFrame:
@@ -267,21 +305,31 @@ def whole_runs(docs: DataFrame, marked: DataFrame, key: str, text: str, width: i
     return rows.join(marked, "k").select("k", "t", "marks").mapInArrow(run, "a long, k long")
 
 
-def _first(found: DataFrame) -> DataFrame:
+def _first(found: DataFrame, *by: str) -> DataFrame:
     """(a, first, n): the first holder of every hash that several keys hold, and the number of rows that hold it."""
-    return found.groupBy("a").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count(F.lit(1)).alias("n")).filter("last > first").select("a", "first", "n")
+    per = found.groupBy("a", *by).agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count(F.lit(1)).alias("n"))
+    return per.filter("last > first").select("a", *by, "first", "n")
 
 
 def _with_first(found: DataFrame, first: DataFrame) -> DataFrame:
-    return found.join(small(first.select("a", "first")), "a").filter("k > first").select(F.col("k").alias("later"), F.col("first").alias("earlier")).distinct()
+    on = [c for c in ("a", "line") if c in first.columns]
+    return found.join(small(first.select(*on, "first")), on).filter("k > first").select(F.col("k").alias("later"), F.col("first").alias("earlier")).distinct()
 
 
-def pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = MIN_WORDS) -> DataFrame:
-    """(later, earlier): documents to align; every run of ``least`` words of a later one is paired with a document that holds it whole, if an earlier one does."""
-    found = cut(anchors(docs, key, text, width, least), "anchors")
-    first = cut(_first(found), "shared")
-    marked = cut(found.join(small(first.filter("n > 2").select("a")), "a").groupBy("k").agg(F.collect_set("a").alias("marks")), "marked")
-    two = cut(_with_first(found, first.filter("n = 2")), "pairs-of-two")
+def pairs(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = MIN_WORDS, line_words: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Documents to align (later, earlier), and boilerplate (id, lines): the hashes of the lines that go from a document anyway.
+
+    Every run of ``least`` words of a later document is paired with a document that holds it whole, if an earlier one does.
+    """
+    found = cut(anchors(docs, key, text, width, least, line_words), "anchors")
+    first = cut(_first(found, "line"), "shared")
+    crowded = first.filter("n > 2 AND NOT line").select("a", "line")
+    marked = cut(found.join(small(crowded), ["a", "line"]).groupBy("k").agg(F.collect_set("a").alias("marks")), "marked")
+    two = cut(_with_first(found, first.filter(F.when(F.col("line"), F.col("n") <= RARE_DOCS).otherwise(F.col("n") == 2))), "pairs-of-two")
+    common = found.join(small(first.filter(F.col("line") & (F.col("n") > RARE_DOCS)).select("a", "line", "first")), ["a", "line"]).filter("k > first")
+    boilerplate = cut(common.groupBy(F.col("k").alias("id")).agg(F.collect_set("a").alias("lines")), "boilerplate")  # a text's own lines at most
     drop_cut(found)
     drop_cut(first)
     runs = cut(whole_runs(docs, marked, key, text, width, least), "runs")
@@ -290,16 +338,18 @@ def pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     out = cut(two.unionByName(_with_first(runs, first)).distinct(), "pairs")
     for x in (two, runs, first):
         drop_cut(x)
-    return out
+    return out, boilerplate
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = MIN_WORDS, n_chars: str | None = None) -> DataFrame:
-    """``docs`` with the copied passages deleted, and _ld_blocks and _ld_words: what was deleted (0 where nothing was).
+def dedup_lines(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = MIN_WORDS, n_chars: str | None = None, line_words: int | None = None,
+) -> DataFrame:
+    """``docs`` with the copied passages (and lines) deleted, and _ld_blocks and _ld_words: what was deleted (0 where nothing was).
 
     ``n_chars`` names a column that holds the text's length and is kept true.
     """
-    found = pairs(docs, key, text, width, least)
-    ids = small(found.select(F.explode(F.array("later", "earlier")).alias("_ld_id")).distinct())
+    found, boilerplate = pairs(docs, key, text, width, least, line_words)
+    ids = small(found.select(F.explode(F.array("later", "earlier")).alias("_ld_id")).unionByName(boilerplate.select(F.col("id").alias("_ld_id"))).distinct())
     marked = docs.withColumn("_ld_id", F.col(key).cast("long")).withColumn("_ld_th", F.xxhash64(text))
     rows = cut(marked.join(ids, "_ld_id", "left_semi"), "involved")
     texts = rows.select("_ld_id", "_ld_th", F.col(text).cast("string").cast("binary").alias("t")).distinct()
@@ -314,24 +364,33 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
                 t, e = _bytes(t), _bytes(e)
                 words = t.split()
                 blocks = common_blocks(words if t == e else e.split(), words, width, least)
-                if blocks:
-                    where = _spans(t, words)
+                where = _spans(t, words) if blocks else None
+                own = [(int(where[x, 0]), int(where[y - 1, 1])) for x, y in blocks]
+                if line_words:
+                    own = _merged(own + common_lines(e, t, line_words))
+                if own:
                     later.append(k)
                     th.append(h)
-                    spans.append([{"s": int(where[x, 0]), "e": int(where[y - 1, 1]), "w": y - x} for x, y in blocks])
-            kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("w", pa.int64())]))
+                    spans.append([{"s": x, "e": y} for x, y in own])
+            kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(later, pa.int64()), pa.array(th, pa.int64()), pa.array(spans, kind)], names=["id", "th", "spans"])
 
-    spans = both.mapInArrow(align, "id long, th long, spans array<struct<s:long,e:long,w:long>>")
-    spans = cut(spans.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")  # at most a text's own hashes
-    edited = spans.join(texts.select(F.col("_ld_id").alias("id"), F.col("_ld_th").alias("th"), "t"), ["id", "th"]).select("id", "th", "t", "spans")
+    spans = both.mapInArrow(align, "id long, th long, spans array<struct<s:long,e:long>>")
+    spans = spans.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most a text's own hashes
+    named = texts.select(F.col("_ld_id").alias("id"), F.col("_ld_th").alias("th"))
+    nothing = F.array().cast("array<struct<s:long,e:long>>")
+    marks = named.join(boilerplate, "id").select("id", "th", nothing.alias("spans"), "lines")
+    both = spans.withColumn("lines", F.array().cast("array<long>")).unionByName(marks)
+    spans = cut(both.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("lines")).alias("lines")), "spans")  # two rows a text at most
+    edited = spans.join(texts.select(F.col("_ld_id").alias("id"), F.col("_ld_th").alias("th"), "t"), ["id", "th"]).select("id", "th", "t", "spans", "lines")
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, blocks, words = [], [], []
-            for t, spans in zip(b.column(2), b.column(3).to_pylist()):
-                t = _bytes(t)
-                gone = _merged([(x["s"], x["e"]) for x in spans])
+            for t, spans, lines in zip(b.column(2), b.column(3).to_pylist(), b.column(4)):
+                t, marks = _bytes(t), set(lines.values.to_numpy().view(np.uint64).tolist())
+                known = [(s, e) for line, s, e in real_lines(t, line_words) if line_digest(line) in marks] if marks else []
+                gone = _merged([(x["s"], x["e"]) for x in spans] + known)
                 out.append(delete(t, gone).decode())
                 blocks.append(len(gone))
                 words.append(sum(len(t[s:e].split()) for s, e in gone))

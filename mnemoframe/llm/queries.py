@@ -73,8 +73,12 @@ def op7_bayesian_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "carried.page_id", "carried.is_page", "language", "confidence", "text_language", "kept")
 
 
+#: Words from which a line that several documents hold goes from the later ones, besides passages of 50 words wherever they stand.
+LINE_WORDS = 5
+
+
 def op9_pairwise_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), line_words=LINE_WORDS)
     return docs.select("doc_id", "text", F.col("_ld_blocks").alias("n_blocks"), F.col("_ld_words").alias("n_words_deleted"))
 
 

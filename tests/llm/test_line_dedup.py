@@ -96,3 +96,40 @@ def test_further_copies_of_a_passage_go():
     assert L.common_blocks(enc(p + y), enc(p + x + p + y[::-1] + p)) == [(0, 55), (75, 130), (139, 194)]
     assert L.common_blocks(enc(q[:40] + x + q[10:] + y + q), enc(y[::-1] + q)) == [(9, 59)]  # pieces of the passage come first
     assert L.common_blocks(enc(["is", "so"] * 150), enc(["is", "so"] * 350 + x)) == [(0, 300), (300, 700)]
+
+
+def surplus(texts, least=5):
+    """Lines of ``least`` words that a document shares with an earlier one, by document."""
+    first, out = {}, {}
+    for i in sorted(texts):
+        for line in texts[i].split("\n"):
+            if len(line.split()) >= least and first.setdefault(line.strip(), i) != i:
+                out.setdefault(i, []).append(line.strip())
+    return out
+
+
+def test_real_lines_go_from_later_documents(spark):
+    """Rare lines through pairs and boilerplate through its hashes, both against a plain pass over all lines."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r.text for r in L.dedup_lines(docs, line_words=5).collect()}
+    assert len(surplus(before)) > 50 and not surplus(after) and not repeated(after)
+    dirty = repeated(before) | set(surplus(before))
+    assert all(after[i] == before[i] for i in before if i not in dirty)
+    kept = lambda texts: {x.strip() for t in texts.values() for x in t.split("\n") if len(x.split()) >= 5}
+    passages = {r.doc_id: r.text for r in L.dedup_lines(docs).collect()}
+    assert kept(after) >= kept(passages) & kept(before)  # no line is lost altogether
+
+
+def test_a_licence_line_stays_once(spark, monkeypatch):
+    rng = random.Random(8)
+    licence, rare, short = " ".join(words(rng, 20)), " ".join(words(rng, 7)), "four words are short"
+    text = lambda i: "\n".join([" ".join(words(rng, 30)), short, *([f"  {licence}\t"] if i < 20 else []), *([rare] if i in (3, 9) else []), " ".join(words(rng, 12))])
+    rows = {i: text(i) for i in range(25)}
+    for bound in (1, 10, 100):  # all boilerplate, as given, all by pairs
+        monkeypatch.setattr(L, "RARE_DOCS", bound)
+        got = {r.doc_id: r for r in L.dedup_lines(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), line_words=5).collect()}
+        assert [i for i, r in got.items() if licence in r.text] == [0] and [i for i, r in got.items() if rare in r.text] == [3]
+        assert all(short in r.text for r in got.values())
+        assert got[9]._ld_words == 27 and got[5]._ld_words == 20 and got[24]._ld_words == 0
+        assert all(got[i].text == rows[i] for i in (0, *range(20, 25)))
