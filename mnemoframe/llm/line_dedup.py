@@ -56,14 +56,20 @@ RARE_DOCS = 10
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
+def word_sums(words: list[bytes]) -> np.ndarray:
+    """What :func:`run_hashes` takes, computed once for all widths."""
+    return prefix_sums(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)))
+
+
+def run_hashes(sums: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words."""
+    at = np.arange(max(0, len(sums) - width))
+    return window(sums, at, at + width) if len(at) else np.zeros(0, np.uint64)
+
+
 def line_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     """Hashes of all runs of ``width`` words."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    sums = prefix_sums(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)))
-    at = np.arange(n)
-    return window(sums, at, at + width)
+    return run_hashes(word_sums(words), width) if len(words) >= width else np.zeros(0, np.uint64)
 
 
 def winnow(h: np.ndarray, span: int) -> np.ndarray:
@@ -127,17 +133,18 @@ def common_blocks(earlier: list[bytes], later: list[bytes], width: int = WIDTH,
     """Word ranges of ``later`` that ``earlier`` holds too, of ``least`` words or more, in order."""
     if earlier == later:
         return [(0, len(later))] if len(later) >= least else []
-    found = _aligned(earlier, later, width, least)
-    return sorted(found + _left_over(earlier, later, found, least))
+    sums = word_sums(earlier), word_sums(later)
+    found = _aligned(earlier, later, width, least, sums)
+    return sorted(found + _left_over(earlier, later, found, least, sums))
 
 
-def _left_over(earlier: list[bytes], later: list[bytes], found: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+def _left_over(earlier: list[bytes], later: list[bytes], found: list[tuple[int, int]], least: int, sums: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
     """Word ranges between the blocks ``found`` that consist of runs of ``least`` words which ``earlier`` holds anywhere."""
     edges = [0, *(x for block in sorted(found) for x in block), len(later)]
     gaps = [(s, e) for s, e in zip(edges[::2], edges[1::2]) if e - s >= least]
     if not gaps or len(earlier) < least:
         return []
-    a, b = line_hashes(earlier, least), line_hashes(later, least)
+    a, b = (run_hashes(x, least) for x in sums)
     order = np.argsort(a, kind="stable")
     sorted_a = a[order]
     out: list[tuple[int, int]] = []
@@ -166,8 +173,12 @@ def real_lines(text: bytes, least: int) -> list[tuple[bytes, int, int]]:
     return out
 
 
+#: Hashes of real lines are odd, others even.
+_EVEN = np.uint64((1 << 64) - 2)
+
+
 def line_digest(line: bytes) -> int:
-    return xxhash.xxh64_intdigest(line, 9)
+    return xxhash.xxh64_intdigest(line, 9) | 1
 
 
 def common_lines(earlier: bytes, later: bytes, least: int) -> list[tuple[int, int]]:
@@ -178,9 +189,9 @@ def common_lines(earlier: bytes, later: bytes, least: int) -> list[tuple[int, in
     return [b[i][1:] for x, y in common_blocks([line for line, _, _ in a], [line for line, _, _ in b], 1, 1) for i in range(x, y)]
 
 
-def _aligned(earlier: list[bytes], later: list[bytes], width: int, least: int) -> list[tuple[int, int]]:
+def _aligned(earlier: list[bytes], later: list[bytes], width: int, least: int, sums: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
     """Common blocks by one patience alignment."""
-    a, b = line_hashes(earlier, width), line_hashes(later, width)
+    a, b = (run_hashes(x, width) for x in sums)
     if not len(a) or not len(b):
         return []
     # the n-th occurrence of a line meets the n-th
@@ -262,26 +273,25 @@ def _bytes(x: pa.Scalar) -> bytes:
 
 
 def anchors(docs: DataFrame, key: str, text: str, width: int, least: int, line_words: int | None = None) -> DataFrame:
-    """(a, k, line): the rare line hashes of every row, and the hashes of its real lines."""
+    """(a, k): the rare line hashes of every row (even), and the hashes of its real lines (odd)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found, real = [], []
             for x in b.column(1):
                 t = _bytes(x)
-                found.append(winnow(line_hashes(t.split(), width), least - width + 1))
+                found.append(winnow(line_hashes(t.split(), width), least - width + 1) & _EVEN)
                 if line_words:
-                    real.append(np.unique(np.array([line_digest(line) for line, _, _ in real_lines(t, line_words)], np.uint64)))
+                    real.append(np.array(list({line_digest(line) for line, _, _ in real_lines(t, line_words)}), np.uint64))
             names = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             keys = np.concatenate([np.repeat(names, [len(x) for x in xs]) for xs in (found, real) if xs] or [names[:0]])
             hashes = np.concatenate([*found, *real] or [np.zeros(0, np.uint64)])
-            is_line = np.arange(len(hashes)) >= sum(map(len, found))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(keys), pa.array(is_line)], names=["a", "k", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(keys)], names=["a", "k"])
         pa.default_memory_pool().release_unused()
 
     bounded_batches(docs.sparkSession)
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").cast("binary").alias("t"))
-    return rows.mapInArrow(run, "a long, k long, line boolean")
+    return rows.mapInArrow(run, "a long, k long")
 
 
 def whole_runs(docs: DataFrame, marked: DataFrame, key: str, text: str, width: int, least: int) -> DataFrame:
@@ -291,10 +301,10 @@ def whole_runs(docs: DataFrame, marked: DataFrame, key: str, text: str, width: i
         for b in batches:
             found = []
             for x, marks in zip(b.column(1), b.column(2)):
-                words = _bytes(x).split()
-                low = minima(line_hashes(words, width), least - width + 1)
+                sums = word_sums(_bytes(x).split())
+                low = minima(run_hashes(sums, width), least - width + 1) & _EVEN
                 some = np.isin(low, marks.values.to_numpy().view(np.uint64))
-                found.append(np.unique(line_hashes(words, least)[some]))
+                found.append(np.unique(run_hashes(sums, least)[some]))
             keys = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in found])
             hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(keys)], names=["a", "k"])
@@ -305,37 +315,38 @@ def whole_runs(docs: DataFrame, marked: DataFrame, key: str, text: str, width: i
     return rows.join(marked, "k").select("k", "t", "marks").mapInArrow(run, "a long, k long")
 
 
-def _first(found: DataFrame, *by: str) -> DataFrame:
+def _first(found: DataFrame) -> DataFrame:
     """(a, first, n): the first holder of every hash that several keys hold, and the number of rows that hold it."""
-    per = found.groupBy("a", *by).agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count(F.lit(1)).alias("n"))
-    return per.filter("last > first").select("a", *by, "first", "n")
+    return found.groupBy("a").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count(F.lit(1)).alias("n")).filter("last > first").select("a", "first", "n")
 
 
 def _with_first(found: DataFrame, first: DataFrame) -> DataFrame:
-    on = [c for c in ("a", "line") if c in first.columns]
-    return found.join(small(first.select(*on, "first")), on).filter("k > first").select(F.col("k").alias("later"), F.col("first").alias("earlier")).distinct()
+    """(later, earlier, line): holders with the first one, and whether they share a real line, a run of words, or both (a row each)."""
+    both = found.join(small(first.select("a", "first")), "a").filter("k > first")
+    return both.select(F.col("k").alias("later"), F.col("first").alias("earlier"), F.col("a").bitwiseAND(1).cast("boolean").alias("line")).distinct()
 
 
 def pairs(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = MIN_WORDS, line_words: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Documents to align (later, earlier), and boilerplate (id, lines): the hashes of the lines that go from a document anyway.
+    """Documents to align (later, earlier, runs, lines: what they are known to share), and boilerplate (id, lines): the hashes of the lines that go from a document anyway.
 
     Every run of ``least`` words of a later document is paired with a document that holds it whole, if an earlier one does.
     """
+    line = F.col("a").bitwiseAND(1) == 1
     found = cut(anchors(docs, key, text, width, least, line_words), "anchors")
-    first = cut(_first(found, "line"), "shared")
-    crowded = first.filter("n > 2 AND NOT line").select("a", "line")
-    marked = cut(found.join(small(crowded), ["a", "line"]).groupBy("k").agg(F.collect_set("a").alias("marks")), "marked")
-    two = cut(_with_first(found, first.filter(F.when(F.col("line"), F.col("n") <= RARE_DOCS).otherwise(F.col("n") == 2))), "pairs-of-two")
-    common = found.join(small(first.filter(F.col("line") & (F.col("n") > RARE_DOCS)).select("a", "line", "first")), ["a", "line"]).filter("k > first")
+    first = cut(_first(found), "shared")
+    marked = cut(found.join(small(first.filter((F.col("n") > 2) & ~line).select("a")), "a").groupBy("k").agg(F.collect_set("a").alias("marks")), "marked")
+    two = cut(_with_first(found, first.filter(F.when(line, F.col("n") <= RARE_DOCS).otherwise(F.col("n") == 2))), "pairs-of-two")
+    common = found.join(small(first.filter(line & (F.col("n") > RARE_DOCS)).select("a", "first")), "a").filter("k > first")
     boilerplate = cut(common.groupBy(F.col("k").alias("id")).agg(F.collect_set("a").alias("lines")), "boilerplate")  # a text's own lines at most
     drop_cut(found)
     drop_cut(first)
     runs = cut(whole_runs(docs, marked, key, text, width, least), "runs")
     drop_cut(marked)
     first = cut(_first(runs), "shared-runs")
-    out = cut(two.unionByName(_with_first(runs, first)).distinct(), "pairs")
+    both = two.unionByName(_with_first(runs, first).withColumn("line", F.lit(False)))
+    out = cut(both.groupBy("later", "earlier").agg(F.bool_or(~F.col("line")).alias("runs"), F.bool_or("line").alias("lines")), "pairs")
     for x in (two, runs, first):
         drop_cut(x)
     return out, boilerplate
@@ -355,18 +366,20 @@ def dedup_lines(
     texts = rows.select("_ld_id", "_ld_th", F.col(text).cast("string").cast("binary").alias("t")).distinct()
     first = small(found.select(F.col("earlier").alias("_ld_id")).distinct())
     earlier = cut(texts.join(first, "_ld_id", "left_semi").groupBy("_ld_id").agg(F.min("t").alias("e")).withColumnRenamed("_ld_id", "earlier"), "earlier")  # so that a hot one can be split in the join
-    both = found.join(earlier, "earlier").join(texts.withColumnRenamed("_ld_id", "later"), "later").select("later", "_ld_th", "t", "e")
+    both = found.join(earlier, "earlier").join(texts.withColumnRenamed("_ld_id", "later"), "later").select("later", "_ld_th", "t", "e", "runs", "lines")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             later, th, spans = [], [], []
-            for k, h, t, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                t, e = _bytes(t), _bytes(e)
-                words = t.split()
-                blocks = common_blocks(words if t == e else e.split(), words, width, least)
-                where = _spans(t, words) if blocks else None
-                own = [(int(where[x, 0]), int(where[y - 1, 1])) for x, y in blocks]
-                if line_words:
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist())
+            for k, h, t, e, by_runs, by_lines in rows:
+                t, e, own = _bytes(t), _bytes(e), []
+                if by_runs:
+                    words = t.split()
+                    blocks = common_blocks(words if t == e else e.split(), words, width, least)
+                    where = _spans(t, words) if blocks else None
+                    own = [(int(where[x, 0]), int(where[y - 1, 1])) for x, y in blocks]
+                if by_lines:  # lines inside a passage that goes are gone with it
                     own = _merged(own + common_lines(e, t, line_words))
                 if own:
                     later.append(k)
