@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -53,6 +54,12 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over: it does so once the driver has collected their plans as garbage, which a driver with room to spare puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     """Mark ``ids`` for broadcast if it has at most ``limit`` rows; else leave the join to a shuffle."""
     n = ids.limit(limit + 1).count()

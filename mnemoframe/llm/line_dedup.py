@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemoframe.llm.common import bounded_batches, cut, drop_cut, small
+from mnemoframe.llm.common import bounded_batches, cut, drop_cut, release, small
 from mnemoframe.llm.rolling import prefix_sums, window
 
 MIN_WORDS = 50
@@ -342,6 +342,7 @@ def pairs(
     boilerplate = cut(common.groupBy(F.col("k").alias("id")).agg(F.collect_set("a").alias("lines")), "boilerplate")  # a text's own lines at most
     drop_cut(found)
     drop_cut(first)
+    release(docs.sparkSession)
     runs = cut(whole_runs(docs, marked, key, text, width, least), "runs")
     drop_cut(marked)
     first = cut(_first(runs), "shared-runs")
@@ -349,6 +350,8 @@ def pairs(
     out = cut(both.groupBy("later", "earlier").agg(F.bool_or(~F.col("line")).alias("runs"), F.bool_or("line").alias("lines")), "pairs")
     for x in (two, runs, first):
         drop_cut(x)
+    del x, two, runs, first, both, marked, common, found
+    release(docs.sparkSession)
     return out, boilerplate
 
 
@@ -395,6 +398,9 @@ def dedup_lines(
     marks = named.join(boilerplate, "id").select("id", "th", nothing.alias("spans"), "lines")
     both = spans.withColumn("lines", F.array().cast("array<long>")).unionByName(marks)
     spans = cut(both.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("lines")).alias("lines")), "spans")  # two rows a text at most
+    drop_cut(earlier)
+    del both
+    release(docs.sparkSession)
     edited = spans.join(texts.select(F.col("_ld_id").alias("id"), F.col("_ld_th").alias("th"), "t"), ["id", "th"]).select("id", "th", "t", "spans", "lines")
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
