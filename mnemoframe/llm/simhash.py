@@ -45,7 +45,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe.llm.common import bounded_batches, cut, drop_cut, small, unused, without
@@ -166,29 +166,81 @@ def _masks(blocks: int, take: int) -> list[int]:
     return [sum(c) for c in combinations(part, take)]
 
 
+#: Steps of a sweep before what is left of a bucket is split once more (each costs a pass over the rest); a sweep that reaches
+#: fewer than ``_WORTH`` fingerprints a step ends after ``_TRIES`` steps.
+_STEPS, _TRIES, _WORTH = 256, 8, 4
+
+
 def _bucket_edges(ids: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that connect whatever is connected in one bucket: breadth first, over rows sorted by the first pivot's distance."""
+    """Edges that connect whatever is connected in one bucket: breadth first, over rows sorted by the first pivot's distance.
+
+    A dense bucket is reached in few steps.  What they leave is sparse; it is split by further bits (:func:`_split_edges`).
+    """
     order = np.argsort(table[:, 0], kind="stable")
     ids, fps, table = ids[order], fps[order], table[order].astype(np.int16)
-    left = np.arange(len(ids))
+    left, todo, steps = np.arange(len(ids)), [], 0
     out: list[tuple[int, int]] = []
-    while len(left) > 1:
-        todo, left = [int(left[0])], left[1:]
-        while todo and len(left):
-            i = todo.pop()
-            # the first coordinate is sorted: only a slice of the bucket can be near
-            first = table[left, 0]
-            a, b = np.searchsorted(first, table[i, 0] - radius), np.searchsorted(first, table[i, 0] + radius, side="right")
-            near = left[a:b]
-            near = near[np.abs(table[near] - table[i]).max(axis=1, initial=0) <= radius]
-            near = near[np.bitwise_count(fps[near] ^ fps[i]) <= radius]
-            if len(near):
-                out.extend(zip(ids[near].tolist(), [int(ids[i])] * len(near)))
-                todo.extend(near.tolist())
-                left = left[~np.isin(left, near, assume_unique=True)]
+    while len(left) and len(left) + len(todo) > 1:
+        idle = steps >= _TRIES and len(ids) - len(left) < _WORTH * steps
+        if (steps >= _STEPS or idle) and len(left) > _PAIRWISE:
+            # rows that were searched from have no links to the rest: only the rest and the rows still to search from do
+            rest = np.sort(np.concatenate([left, np.array(todo, dtype=left.dtype)]))
+            u, v = _split_edges(ids[rest], fps[rest], table[rest], radius)
+            out.extend(zip(u.tolist(), v.tolist()))
+            break
+        if not todo:
+            todo, left = [int(left[0])], left[1:]
+        i, steps = todo.pop(), steps + 1
+        # the first coordinate is sorted: only a slice of the bucket can be near
+        first = table[left, 0]
+        a, b = np.searchsorted(first, table[i, 0] - radius), np.searchsorted(first, table[i, 0] + radius, side="right")
+        near = left[a:b]
+        near = near[np.abs(table[near] - table[i]).max(axis=1, initial=0) <= radius]
+        near = near[np.bitwise_count(fps[near] ^ fps[i]) <= radius]
+        if len(near):
+            out.extend(zip(ids[near].tolist(), [int(ids[i])] * len(near)))
+            todo.extend(near.tolist())
+            left = left[~np.isin(left, near, assume_unique=True)]
     return out
 
 
+def _split_edges(ids: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a bucket by its own bits: those in which its members differ are dealt into ``radius + 1`` masks, one of which every link agrees in."""
+    differ = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    bits = [i for i in range(64) if differ >> i & 1]
+    if len(bits) <= radius:  # all of them link
+        return ids[1:], np.repeat(ids[:1], len(ids) - 1)
+    u, v = [], []
+    for j in range(radius + 1):
+        part = fps & np.uint64(sum(1 << i for i in bits[j :: radius + 1]))
+        order = np.argsort(part, kind="stable")
+        for x, y in _run_edges(part[order], ids[order], fps[order], table[order], radius):
+            u.append(x)
+            v.append(y)
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *u]), np.concatenate([none, *v])
+
+
+def _run_edges(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges within runs of equal keys: small runs pair by pair, all at once, larger ones by a sweep each."""
+    start, size = _runs(keys)
+    end = start + size
+    rows = np.flatnonzero((size > 1) & (size <= _PAIRWISE))
+    shift = 1
+    while len(rows := rows[rows + shift < end[rows]]):
+        a, b = rows, rows + shift
+        for c in range(0, table.shape[1], 4):  # the table's columns, a few at a time: most pairs go at once
+            ok = (np.abs(table[a, c : c + 4].astype(np.int16) - table[b, c : c + 4]) <= radius).all(axis=1)
+            a, b = a[ok], b[ok]
+        ok = np.bitwise_count(fps[a] ^ fps[b]) <= radius
+        yield ids[a[ok]], ids[b[ok]]
+        shift += 1
+    for first in np.unique(start[size > _PAIRWISE]).tolist():
+        at = slice(first, first + int(size[first]))
+        edges = np.array(_bucket_edges(ids[at], fps[at], table[at], radius), dtype=np.int64).reshape(-1, 2)
+        yield edges[:, 0], edges[:, 1]
+
+
 #: Rows of sorted keys searched at once.
 _ROWS = 50_000
 #: Buckets up to this size are compared pair by pair, all buckets of a batch at once.
@@ -197,47 +249,47 @@ _PAIRWISE = 96
 
 def _search(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, refs: np.ndarray, radius: int, mark: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Edges (id, id) within runs of equal keys; with ``mark`` also (id, id) of each member of a run that was swept."""
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    sizes = np.diff(np.append(starts, len(keys)))
-    size_of = np.repeat(sizes, sizes)
-    u, v = [], []
-    some = (size_of > 1) & (size_of <= _PAIRWISE)
-    rows = np.flatnonzero(some)
-    if len(rows):
-        table = np.zeros((len(keys), len(refs)), dtype=np.uint8)
-        table[rows] = pivot_table(fps[rows], refs)
-        end_of = np.repeat(starts + sizes, sizes)
-        for shift in range(1, _PAIRWISE):
-            rows = rows[rows + shift < end_of[rows]]
-            if not len(rows):
-                break
-            a, b = rows, rows + shift
-            for c in range(0, len(refs), 4):  # the table's columns, a few at a time: most pairs go at once
-                ok = (np.abs(table[a, c : c + 4].astype(np.int16) - table[b, c : c + 4]) <= radius).all(axis=1)
-                a, b = a[ok], b[ok]
-            ok = np.bitwise_count(fps[a] ^ fps[b]) <= radius
-            u.append(ids[a[ok]])
-            v.append(ids[b[ok]])
-    for g in np.flatnonzero(sizes > _PAIRWISE):
-        at = slice(starts[g], starts[g] + sizes[g])
-        edges = _bucket_edges(ids[at], fps[at], pivot_table(fps[at], refs), radius)
-        if edges:
-            e = np.array(edges, dtype=np.int64)
-            u.append(e[:, 0])
-            v.append(e[:, 1])
-            if mark:
-                u.append(ids[at])
-                v.append(ids[at])
+    _, size = _runs(keys)
+    some = size > 1
+    keys, ids, fps, swept = keys[some], ids[some], fps[some], size[some] > _PAIRWISE
+    found = list(_run_edges(keys, ids, fps, pivot_table(fps, refs), radius)) if len(keys) else []
+    if mark:
+        found.append((ids[swept], ids[swept]))
     none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(u) if u else none), (np.concatenate(v) if v else none)
+    return np.concatenate([none, *[u for u, _ in found]]), np.concatenate([none, *[v for _, v in found]])
+
+
+#: Fingerprints that a bucket may hold before it is split over tasks, and how often.
+CROWDED, LEVELS = 50_000, 2
+
+
+def _deal(bits: Callable[[int], int], radius: int) -> list[int]:
+    """``radius + 1`` masks: bit i belongs to mask ``bits(i) % (radius + 1)``."""
+    return [sum(1 << i for i in range(64) if bits(i) % (radius + 1) == j) for j in range(radius + 1)]
 
 
 def _keyed(nodes: DataFrame, radius: int, *columns: str) -> DataFrame:
-    """(key, id, fp, ...) in runs of equal keys: one row for each combination of agreeing blocks."""
+    """(key, id, fp, ...) in runs of equal keys: one row for each combination of agreeing blocks.
+
+    Keys of more than ``CROWDED`` rows are split: by pigeonhole a link agrees in one of any ``radius + 1`` masks too,
+    so its rows go under the key and each mask's bits instead, ``LEVELS`` times with other masks.
+    """
     blocks, take = plan_blocks(nodes.count(), radius)
-    masks = _masks(blocks, take)
-    keyed = nodes.select("id", "fp", *columns, F.posexplode(F.array(*[F.lit(_signed(m)).bitwiseAND(F.col("fp")) for m in masks])).alias("combo", "part"))
+
+    def parts(masks: list[int]) -> Column:
+        return F.posexplode(F.array(*[F.lit(_signed(m)).bitwiseAND(F.col("fp")) for m in masks])).alias("combo", "part")
+
+    keyed = nodes.select("id", "fp", *columns, parts(_masks(blocks, take)))
     keyed = keyed.select(F.xxhash64("combo", "part").alias("key"), "id", "fp", *columns)
+    for bits in (lambda i: i, lambda i: i // (radius + 1))[:LEVELS]:
+        crowded = cut(keyed.groupBy("key").count().filter(F.col("count") > CROWDED).select("key"), "crowded")  # few: each stands for so many rows
+        if crowded.isEmpty():
+            drop_cut(crowded)
+            break
+        crowded = small(crowded)
+        split = keyed.join(crowded, "key", "left_semi").select("key", "id", "fp", *columns, parts(_deal(bits, radius)))
+        split = split.select(F.xxhash64("key", "combo", "part").alias("key"), "id", "fp", *columns)
+        keyed = keyed.join(crowded, "key", "left_anti").select("key", "id", "fp", *columns).unionByName(split)
     return keyed.repartition("key").sortWithinPartitions("key")
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -196,3 +197,49 @@ def test_swept_buckets_keep_every_link(spark):
     want = plain_components(ids, [simhash.fingerprint(texts[i].encode(), 5) for i in ids], 8, lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8)
     got = {r.doc_id: r.component_id for r in simhash.near_groups(docs, width=5, radius=8, least=0.8).collect()}
     assert got == want
+
+
+def _sparse_bucket(n, seed):
+    """Distinct fingerprints that agree in their 13 lowest bits, with a near one for one in ten of them and a dense ball of 300."""
+    rng = np.random.default_rng(seed)
+    fps = rng.integers(0, 1 << 51, n, dtype=np.uint64) << np.uint64(13)
+    one = rng.integers(0, 51, n // 10, dtype=np.uint64)
+    two = (one + rng.integers(1, 51, n // 10, dtype=np.uint64)) % np.uint64(51)  # another bit
+    near = fps[: n // 10] ^ (np.uint64(1) << (one + np.uint64(13))) ^ (np.uint64(1) << (two + np.uint64(13)))
+    ball = fps[-1] ^ (np.uint64(1) << rng.integers(13, 64, 300, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(13, 64, 300, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(13, 64, 300, dtype=np.uint64))
+    return np.unique(np.concatenate([fps, near, ball]))
+
+
+def test_sparse_bucket_is_split(monkeypatch):
+    """What a few steps of the sweep leave is split by further bits, level after level, without losing a link."""
+    monkeypatch.setattr(simhash, "_STEPS", 4)
+    monkeypatch.setattr(simhash, "_PAIRWISE", 3)
+    for seed, shift in ((1, 13), (2, 40), (3, 50)):
+        fps = _sparse_bucket(900, seed)
+        fps = np.unique((fps >> np.uint64(shift)) << np.uint64(shift))  # fewer free bits: denser
+        ids = list(range(len(fps)))
+        edges = simhash._bucket_edges(np.array(ids), fps, simhash.pivot_table(fps, simhash.pivots()), 4)
+        assert all(bin(int(fps[u] ^ fps[v])).count("1") <= 4 for u, v in edges)
+        assert united(ids, edges) == plain_components(ids, fps.tolist())
+
+
+def test_large_sparse_bucket_in_linear_time():
+    fps = _sparse_bucket(200_000, 4)
+    began = time.process_time()
+    edges = simhash._bucket_edges(np.arange(len(fps)), fps, simhash.pivot_table(fps, simhash.pivots()), 4)
+    assert time.process_time() - began < 60
+    assert len({v for e in edges for v in e}) >= 40_000
+
+
+def test_crowded_keys_are_split_over_tasks(spark, monkeypatch):
+    """Keys over the bound go under further masks, twice, and the components stay."""
+    fps = _sparse_bucket(600, 5)
+    nodes = spark.createDataFrame([(i, simhash._signed(int(f))) for i, f in enumerate(fps)], "id long, fp long")
+    most = simhash._keyed(nodes, 4).groupBy("key").count().agg({"count": "max"}).first()[0]
+    monkeypatch.setattr(simhash, "CROWDED", 40)
+    split = simhash._keyed(nodes, 4).groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert most >= len(fps) and split < most / 2
+    ids = list(range(len(fps)))
+    got = {r.id: r.component for r in simhash.components(simhash.links(nodes)).collect()}
+    want = plain_components(ids, fps.tolist())
+    assert all(got.get(i, i) == want[i] for i in ids)
