@@ -43,6 +43,7 @@ def _parser() -> argparse.ArgumentParser:
     c = sub.add_parser("review")
     c.add_argument("--templates", nargs="+", required=True)
     c.add_argument("--entities", required=True)
+    c.add_argument("--hand", nargs="*", default=[], help="hand-written banks, whose sentences and clashes are listed too")
     c.add_argument("--out", required=True)
     return p
 
@@ -85,8 +86,9 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "review":
         t = files.read_templates(spark, args.templates, args.entities)
         facts = render.render(t["plan"], t["relations"], t["lexicon"], t["entities"])
-        sheets = {"Patterns": render.review_patterns(facts, t["relations"]), "Values": render.review_values(facts, t["lexicon"]), "People": render.review_people(t["entities"])}
-        files.write_xlsx(args.out, {k: v.orderBy("row") for k, v in sheets.items()}, "Verdict (OK / Fix)")
+        hand, raw = files.read_hand_written(spark, args.hand), files.read_raw_banks(spark, args.hand)
+        sheets = render.review_sheets(facts, t["relations"], t["lexicon"], t["entities"], hand, raw)
+        files.write_xlsx(args.out, sheets, render.REVIEW_COLUMNS, {"How to review": render.REVIEW_NOTES})
     return 0
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import text as X
+from mnemoframe.operators import quality
 
 # Agreement suffixes by gender (masculine, feminine, plural), and languages.
 HI_SUFFIX = {"m": "ा", "f": "ी", "p": "े"}
@@ -155,3 +156,33 @@ def review_sentences(facts: DataFrame) -> DataFrame:
     n = F.row_number().over(Window.orderBy("file", "seq", "p"))
     text = lambda lang, other: F.coalesce(F.try_element_at("t", F.lit(lang)), F.lit(other))
     return rows.select(F.format_string("H%03d", n).alias("row"), "file", F.col("id").alias("fact"), "sentence", text("en", "").alias("english"), text("hi", "").alias("hindi"), text("hi-en", "(not used)").alias("hinglish"))
+
+
+def review_existing(raw: DataFrame) -> DataFrame:
+    """A row for each clash and each overlap that validation finds across existing banks (file, file_no, seq, raw)."""
+    columns = ["fact_id", "severity", "message"]
+    found = quality.collisions(raw).select(F.struct(F.lit(0).alias("p"), "file", "seq", "message").alias("o"), *columns)
+    found = found.unionByName(quality.bank_overlaps(raw).select(F.struct(F.lit(1).alias("p"), F.lit("").alias("file"), "seq", "message").alias("o"), *columns))
+    n = F.row_number().over(Window.orderBy("o"))  # a sheet
+    return found.select(F.format_string("X%03d", n).alias("row"), F.col("fact_id").alias("fact"), "severity", F.col("message").alias("issue"))
+
+
+#: What the first sheet of a workbook says.
+REVIEW_NOTES = [
+    "Each row of the other sheets is one thing to judge: a sentence pattern, a value, a person, a sentence or a finding.",
+    "Choose OK if a native speaker would say it so, and Fix if not.",
+    "For a Fix, write the better wording in the next column, and the reason in the last one.",
+    "Words in braces are filled in: {v} is the value, {poss} and {Poss} the person, {old} and {new} the values of a correction.",
+    "A row whose gender_mismatch is true has a noun of another gender in Hinglish than in Hindi: check both possessives.",
+]
+#: Columns for the reviewer's answer.
+REVIEW_COLUMNS = ("Verdict (OK / Fix)", "Suggested fix", "Comment")
+
+
+def review_sheets(facts: DataFrame, relations: DataFrame, lexicon: DataFrame, entities: DataFrame, hand: DataFrame, raw: DataFrame) -> dict[str, DataFrame]:
+    """All sheets of a workbook: of templates, and of hand-written banks (:func:`review_sentences`, :func:`review_existing`)."""
+    sheets = {
+        "Patterns": review_patterns(facts, relations), "Values": review_values(facts, lexicon), "People": review_people(entities),
+        "Hand-written facts": review_sentences(hand), "Existing data": review_existing(raw),
+    }
+    return {k: v.orderBy("row") for k, v in sheets.items()}

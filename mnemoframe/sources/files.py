@@ -78,6 +78,14 @@ def read_raw_banks(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "file string, file_no int, seq long, raw string")
 
 
+def read_hand_written(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Facts of several banks with the name of their ``file``; ``seq`` counts within a bank."""
+    rows = facts_frame(spark, []).withColumn("file", F.lit(""))
+    for p in paths:
+        rows = rows.unionByName(read_facts(spark, p).withColumn("file", F.lit(os.path.basename(p))))
+    return rows
+
+
 def bank_errors(paths: list[str]) -> list[tuple[str, str]]:
     """(file, message) of banks that cannot be read at all."""
     out = []
@@ -236,8 +244,12 @@ def write_results(table: DataFrame, root: str) -> None:
     table.withColumn("exp", F.col("Experiment")).write.mode("overwrite").partitionBy("exp").csv(f"{root.rstrip('/')}/aggregated", header=True)
 
 
-def write_xlsx(path: str, sheets: dict[str, DataFrame], check_column: str | None = None) -> None:
-    """Review sheets as a workbook: frozen header, filter, and an OK/Fix choice in ``check_column``.  Sheets are short and go through the driver."""
+def write_xlsx(path: str, sheets: dict[str, DataFrame], check: str | tuple[str, ...] = (), notes: dict[str, list[str]] | None = None) -> None:
+    """Review sheets as a workbook: frozen header, filter, and the empty columns ``check`` for the reviewer, an OK/Fix choice in the first of them.
+
+    ``notes`` are sheets of plain lines, which come first.  Sheets are short and go through the driver.
+    """
+    check = (check,) if isinstance(check, str) else check
     from xml.sax.saxutils import escape
     from zipfile import ZIP_DEFLATED, ZipFile
 
@@ -249,20 +261,22 @@ def write_xlsx(path: str, sheets: dict[str, DataFrame], check_column: str | None
     package = "http://schemas.openxmlformats.org/package/2006"
     with ZipFile(path, "x", ZIP_DEFLATED) as z:
         parts = []
-        for i, (title, df) in enumerate(sheets.items(), 1):
-            header = [*df.columns, *([check_column] if check_column else [])]
-            rows = [header, *[["" if v is None else str(v) for v in r] for r in df.collect()]]
+        for i, (title, df) in enumerate([*(notes or {}).items(), *sheets.items()], 1):
+            note = isinstance(df, list)
+            header = [] if note else [*df.columns, *check]
+            rows = [[x] for x in df] if note else [header, *[["" if v is None else str(v) for v in r] for r in df.collect()]]
             cells = "".join(
                 f'<row r="{r}">' + "".join(f'<c r="{name(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f]", "", v))}</t></is></c>' for c, v in enumerate(row)) + "</row>"
                 for r, row in enumerate(rows, 1)
             )
             last = f"{name(len(header) - 1)}{len(rows)}"
             choice = ""
-            if check_column and len(rows) > 1:
-                col = name(len(header) - 1)
+            if check and not note and len(rows) > 1:
+                col = name(len(header) - len(check))
                 choice = f'<dataValidations count="1"><dataValidation type="list" allowBlank="1" sqref="{col}2:{col}{len(rows)}"><formula1>"OK,Fix"</formula1></dataValidation></dataValidations>'
             pane = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<?xml version="1.0" encoding="UTF-8"?><worksheet {ns}>{pane}<sheetData>{cells}</sheetData><autoFilter ref="A1:{last}"/>{choice}</worksheet>')
+            pane, filtered = ("", "") if note else (pane, f'<autoFilter ref="A1:{last}"/>')
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<?xml version="1.0" encoding="UTF-8"?><worksheet {ns}>{pane}<sheetData>{cells}</sheetData>{filtered}{choice}</worksheet>')
             parts.append((i, escape(title[:31], {'"': "&quot;"})))
         z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook {ns} xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{t}" sheetId="{i}" r:id="rId{i}"/>' for i, t in parts) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i, _ in parts) + "</Relationships>")

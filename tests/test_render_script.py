@@ -1,5 +1,6 @@
 import pytest
 
+from mnemoframe import cli
 from mnemoframe.operators import render, script
 from mnemoframe.sources import files
 
@@ -62,6 +63,50 @@ def test_violations(templates, rule, plan):
         render.render(t["plan"], t["relations"], t["lexicon"], t["entities"])
 
 
+def _workbook(path):
+    """{sheet: rows of cell texts}, and the sheets' XML by name."""
+    from xml.etree.ElementTree import fromstring
+    from zipfile import ZipFile
+
+    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with ZipFile(path) as z:
+        names = [x.get("name") for x in fromstring(z.read("xl/workbook.xml")).iter(f"{ns}sheet")]
+        parts = {n: z.read(f"xl/worksheets/sheet{i}.xml").decode() for i, n in enumerate(names, 1)}
+    return {n: [["".join(c.itertext()) for c in r] for r in fromstring(x).iter(f"{ns}row")] for n, x in parts.items()}, parts
+
+
+def test_cli_renders_a_bank_and_its_review_workbook(spark, templates, tmp_path):
+    """render writes the bank of one batch; review lists templates, hand-written sentences and the clashes between banks."""
+    templates(*PLAN)
+    t, e, bank, book = (str(tmp_path / x) for x in ("t.yaml", "e.yaml", "bank.yaml", "book.xlsx"))
+    assert cli.main(["render", "--template", t, "--entities", e, "--out", bank]) == 0
+    assert [r.id for r in files.read_facts(spark, bank).collect()] == ["f_201"]
+    (tmp_path / "other.yaml").write_text((tmp_path / "bank.yaml").read_text())
+    assert cli.main(["review", "--templates", t, "--entities", e, "--out", book, "--hand", bank, str(tmp_path / "other.yaml")]) == 0
+    rows, parts = _workbook(book)
+    assert list(rows) == ["How to review", "Patterns", "Values", "People", "Hand-written facts", "Existing data"]
+    assert "OK" in rows["How to review"][1][0] and "autoFilter" not in parts["How to review"]
+    for name in list(rows)[1:]:
+        assert rows[name][0][-3:] == list(render.REVIEW_COLUMNS) and "autoFilter" in parts[name]
+        if len(rows[name]) > 1:  # the choice stands in the first of the three columns
+            column = chr(65 + len(rows[name][0]) - 3)
+            assert f'sqref="{column}2:{column}{len(rows[name])}"' in parts[name]
+    hand = rows["Hand-written facts"]
+    assert [r[:4] for r in hand[1:5]] == [[f"H00{i}", "bank.yaml", "f_201", x] for i, x in enumerate(["Statement", "Question", "Correction", "Question after correction"], 1)]
+    assert len(hand) == 9 and hand[4][6] == "(not used)"
+    assert rows["Existing data"][1][:2] == ["X001", "f_201"] and len(rows["Existing data"]) > 1
+    with pytest.raises(FileExistsError):
+        cli.main(["render", "--template", t, "--entities", e, "--out", bank])
+
+
+def test_review_workbook_without_hand_written_banks(spark, templates, tmp_path):
+    templates(*PLAN)
+    t, e, book = (str(tmp_path / x) for x in ("t.yaml", "e.yaml", "book.xlsx"))
+    assert cli.main(["review", "--templates", t, "--entities", e, "--out", book]) == 0
+    rows, _ = _workbook(book)
+    assert len(rows["Hand-written facts"]) == len(rows["Existing data"]) == 1 and len(rows["Patterns"]) == 5
+
+
 def test_review_sheets(templates, tmp_path):
     t = templates(*PLAN)
     facts = render.render(t["plan"], t["relations"], t["lexicon"], t["entities"])
