@@ -35,8 +35,6 @@ columns of the input come back, and names starting with ``_ld_`` are reserved.
 
 from __future__ import annotations
 
-import re
-import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -45,6 +43,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemoframe.llm.common import bounded_batches, cut, drop_cut, release, small
 from mnemoframe.llm.rolling import prefix_sums, window
@@ -54,11 +53,34 @@ WIDTH = 30
 #: Documents that may hold a real line before it counts as boilerplate.
 RARE_DOCS = 10
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Bytes hashed at a time, or one word if that is longer.
+STRETCH = 1 << 16
 
-def word_sums(words: list[bytes]) -> np.ndarray:
-    """What :func:`run_hashes` takes, computed once for all widths."""
-    return prefix_sums(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, which are those of ``bytes.split``."""
+    space = _SPACE[np.frombuffer(text, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    first, last = [0] if len(space) and not space[0] else [], [len(space)] if len(space) and not space[-1] else []
+    edges = np.concatenate((np.array(first, np.int64), edges, np.array(last, np.int64)))
+    return edges[::2], edges[1::2]
+
+
+def text_sums(text: bytes) -> np.ndarray:
+    """What :func:`run_hashes` takes, computed once for all widths: sums over the hashes of the words, which are taken from the bytes a stretch at a time."""
+    starts, ends = word_spans(text)
+    raw, hashes, i = np.frombuffer(text, np.uint8), np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        at = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, at + STRETCH, "right")))
+        values = raw[at : int(ends[j - 1])].astype(np.uint64)
+        values += np.uint64(1)
+        hashes[i:j] = window(prefix_sums(values), starts[i:j] - at, ends[i:j] - at)
+        i = j
+    return prefix_sums(hashes)
 
 
 def run_hashes(sums: np.ndarray, width: int) -> np.ndarray:
@@ -69,7 +91,7 @@ def run_hashes(sums: np.ndarray, width: int) -> np.ndarray:
 
 def line_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     """Hashes of all runs of ``width`` words."""
-    return run_hashes(word_sums(words), width) if len(words) >= width else np.zeros(0, np.uint64)
+    return run_hashes(text_sums(b" ".join(words)), width)
 
 
 def winnow(h: np.ndarray, span: int) -> np.ndarray:
@@ -89,15 +111,6 @@ def minima(h: np.ndarray, span: int) -> np.ndarray:
     return m
 
 
-def _spans(text: bytes, words: list[bytes]) -> np.ndarray:
-    """Start and end of each word."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    if int(sizes.sum()) + len(words) - 1 == len(text):  # single separators throughout
-        ends = np.cumsum(sizes + 1) - 1
-        return np.stack([ends - sizes, ends], axis=1)
-    return np.array([m.span() for m in _WORD.finditer(text)], dtype=np.int64).reshape(-1, 2)
-
-
 def _occurrences(h: np.ndarray) -> np.ndarray:
     """For each hash, how many equal ones stand before it."""
     order = np.argsort(h, kind="stable")
@@ -129,11 +142,13 @@ def _chain(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def common_blocks(earlier: list[bytes], later: list[bytes], width: int = WIDTH, least: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Word ranges of ``later`` that ``earlier`` holds too, of ``least`` words or more, in order."""
+def common_blocks(
+    earlier: list[bytes], later: list[bytes], width: int = WIDTH, least: int = MIN_WORDS, sums: tuple[np.ndarray, np.ndarray] | None = None,
+) -> list[tuple[int, int]]:
+    """Word ranges of ``later`` that ``earlier`` holds too, of ``least`` words or more, in order; ``sums`` are those of both, which :func:`run_hashes` takes."""
     if earlier == later:
         return [(0, len(later))] if len(later) >= least else []
-    sums = word_sums(earlier), word_sums(later)
+    sums = sums or tuple(text_sums(b" ".join(words)) for words in (earlier, later))
     found = _aligned(earlier, later, width, least, sums)
     return sorted(found + _left_over(earlier, later, found, least, sums))
 
@@ -186,7 +201,9 @@ def common_lines(earlier: bytes, later: bytes, least: int) -> list[tuple[int, in
     a, b = real_lines(earlier, least), real_lines(later, least)
     if not a or not b:
         return []
-    return [b[i][1:] for x, y in common_blocks([line for line, _, _ in a], [line for line, _, _ in b], 1, 1) for i in range(x, y)]
+    own, other = ([line for line, _, _ in x] for x in (a, b))
+    sums = tuple(prefix_sums(np.fromiter(map(line_digest, x), np.uint64, len(x))) for x in (own, other))
+    return [b[i][1:] for x, y in common_blocks(own, other, 1, 1, sums) for i in range(x, y)]
 
 
 def _aligned(earlier: list[bytes], later: list[bytes], width: int, least: int, sums: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
@@ -280,7 +297,7 @@ def anchors(docs: DataFrame, key: str, text: str, width: int, least: int, line_w
             found, real = [], []
             for x in b.column(1):
                 t = _bytes(x)
-                found.append(winnow(line_hashes(t.split(), width), least - width + 1) & _EVEN)
+                found.append(winnow(run_hashes(text_sums(t), width), least - width + 1) & _EVEN)
                 if line_words:
                     real.append(np.array(list({line_digest(line) for line, _, _ in real_lines(t, line_words)}), np.uint64))
             names = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -301,7 +318,7 @@ def whole_runs(docs: DataFrame, marked: DataFrame, key: str, text: str, width: i
         for b in batches:
             found = []
             for x, marks in zip(b.column(1), b.column(2)):
-                sums = word_sums(_bytes(x).split())
+                sums = text_sums(_bytes(x))
                 low = minima(run_hashes(sums, width), least - width + 1) & _EVEN
                 some = np.isin(low, marks.values.to_numpy().view(np.uint64))
                 found.append(np.unique(run_hashes(sums, least)[some]))
@@ -366,22 +383,28 @@ def dedup_lines(
     ids = small(found.select(F.explode(F.array("later", "earlier")).alias("_ld_id")).unionByName(boilerplate.select(F.col("id").alias("_ld_id"))).distinct())
     marked = docs.withColumn("_ld_id", F.col(key).cast("long")).withColumn("_ld_th", F.xxhash64(text))
     rows = cut(marked.join(ids, "_ld_id", "left_semi"), "involved")
-    texts = rows.select("_ld_id", "_ld_th", F.col(text).cast("string").cast("binary").alias("t")).distinct()
+    named = rows.select(F.col("_ld_id").alias("id"), F.col("_ld_th").alias("th"))
+    texts = rows.select("_ld_id", "_ld_th", F.col(text).cast("string").cast("binary").alias("t"))
     first = small(found.select(F.col("earlier").alias("_ld_id")).distinct())
     earlier = cut(texts.join(first, "_ld_id", "left_semi").groupBy("_ld_id").agg(F.min("t").alias("e")).withColumnRenamed("_ld_id", "earlier"), "earlier")  # so that a hot one can be split in the join
+    if not named.groupBy("id", "th").count().filter("count > 1").isEmpty():  # repeated rows are aligned once; without any, texts need no shuffle for it
+        texts = texts.distinct()
     both = found.join(earlier, "earlier").join(texts.withColumnRenamed("_ld_id", "later"), "later").select("later", "_ld_th", "t", "e", "runs", "lines")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             later, th, spans = [], [], []
+            last, words, sums = b"", [], text_sums(b"")  # pairs of one later text mostly follow each other
             rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist())
             for k, h, t, e, by_runs, by_lines in rows:
                 t, e, own = _bytes(t), _bytes(e), []
                 if by_runs:
-                    words = t.split()
-                    blocks = common_blocks(words if t == e else e.split(), words, width, least)
-                    where = _spans(t, words) if blocks else None
-                    own = [(int(where[x, 0]), int(where[y - 1, 1])) for x, y in blocks]
+                    if t != last:
+                        last, words = t, t.split()
+                        sums = text_sums(t)
+                    blocks = [(0, len(words))] * (len(words) >= least) if t == e else common_blocks(e.split(), words, width, least, (text_sums(e), sums))
+                    starts, ends = word_spans(t) if blocks else ((), ())
+                    own = [(int(starts[x]), int(ends[y - 1])) for x, y in blocks]
                 if by_lines:  # lines inside a passage that goes are gone with it
                     own = _merged(own + common_lines(e, t, line_words))
                 if own:
@@ -393,30 +416,30 @@ def dedup_lines(
 
     spans = both.mapInArrow(align, "id long, th long, spans array<struct<s:long,e:long>>")
     spans = spans.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most a text's own hashes
-    named = texts.select(F.col("_ld_id").alias("id"), F.col("_ld_th").alias("th"))
     nothing = F.array().cast("array<struct<s:long,e:long>>")
-    marks = named.join(boilerplate, "id").select("id", "th", nothing.alias("spans"), "lines")
+    marks = named.distinct().join(boilerplate, "id").select("id", "th", nothing.alias("spans"), "lines")
     both = spans.withColumn("lines", F.array().cast("array<long>")).unionByName(marks)
     spans = cut(both.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("lines")).alias("lines")), "spans")  # two rows a text at most
     drop_cut(earlier)
     del both
     release(docs.sparkSession)
-    edited = spans.join(texts.select(F.col("_ld_id").alias("id"), F.col("_ld_th").alias("th"), "t"), ["id", "th"]).select("id", "th", "t", "spans", "lines")
-
-    def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, blocks, words = [], [], []
-            for t, spans, lines in zip(b.column(2), b.column(3).to_pylist(), b.column(4)):
-                t, marks = _bytes(t), set(lines.values.to_numpy().view(np.uint64).tolist())
-                known = [(s, e) for line, s, e in real_lines(t, line_words) if line_digest(line) in marks] if marks else []
-                gone = _merged([(x["s"], x["e"]) for x in spans] + known)
-                out.append(delete(t, gone).decode())
-                blocks.append(len(gone))
-                words.append(sum(len(t[s:e].split()) for s, e in gone))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(blocks, pa.int64()), pa.array(words, pa.int64())], names=["_ld_id", "_ld_th", "_ld_text", "_ld_blocks", "_ld_words"])
-
-    edits = edited.mapInArrow(edit, "_ld_id long, _ld_th long, _ld_text string, _ld_blocks long, _ld_words long")
-    changed = rows.drop(text).join(edits, ["_ld_id", "_ld_th"]).withColumnRenamed("_ld_text", text)
+    kind = T.StructType([T.StructField(text, T.StringType()), T.StructField("_ld_blocks", T.LongType()), T.StructField("_ld_words", T.LongType())])
+
+    @F.arrow_udf(kind)
+    def edit(texts: pa.Array, spans: pa.Array, lines: pa.Array) -> pa.Array:
+        out, blocks, words = [], [], []
+        for t, own, hashes in zip(texts, spans.to_pylist(), lines):
+            t, marks = _bytes(t), set(hashes.values.to_numpy().view(np.uint64).tolist())
+            known = [(s, e) for line, s, e in real_lines(t, line_words) if line_digest(line) in marks] if marks else []
+            gone = _merged([(x["s"], x["e"]) for x in own] + known)
+            out.append(delete(t, gone).decode())
+            blocks.append(len(gone))
+            words.append(sum(len(t[s:e].split()) for s, e in gone))
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(blocks, pa.int64()), pa.array(words, pa.int64())], names=[text, "_ld_blocks", "_ld_words"])
+
+    marks = spans.select(F.col("id").alias("_ld_id"), F.col("th").alias("_ld_th"), F.col("spans").alias("_ld_spans"), F.col("lines").alias("_ld_lines"))
+    edited = rows.join(marks, ["_ld_id", "_ld_th"]).withColumn("_ld_edit", edit(F.col(text).cast("string").cast("binary"), "_ld_spans", "_ld_lines"))
+    changed = edited.select(*docs.drop(text).columns, "_ld_edit.*")
     if n_chars:
         kind = docs.schema[n_chars].dataType
         changed = changed.withColumn(n_chars, F.length(text).cast(kind))

@@ -22,7 +22,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """Sums from which :func:`window` takes the hash of any run."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * powers(len(values))[0], out=out[1:])
+    np.cumsum(values.astype(np.uint64, copy=False) * powers(len(values))[0], out=out[1:])
     return out
 
 

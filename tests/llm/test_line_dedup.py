@@ -133,3 +133,14 @@ def test_a_licence_line_stays_once(spark, monkeypatch):
         assert all(short in r.text for r in got.values())
         assert got[9]._ld_words == 27 and got[5]._ld_words == 20 and got[24]._ld_words == 0
         assert all(got[i].text == rows[i] for i in (0, *range(20, 25)))
+
+
+def test_word_hashes_do_not_depend_on_place_or_stretch(monkeypatch):
+    text = b"\x0b one\ttwo  " + b"x" * 70 + b"\nthree \xc3\xa9t\xc3\xa9\x00 four\r"
+    monkeypatch.setattr(L, "STRETCH", 16)  # a long word is a stretch of its own
+    starts, ends = L.word_spans(text)
+    assert [text[s:e] for s, e in zip(starts, ends)] == text.split()
+    small = L.run_hashes(L.text_sums(text), 2).tolist()
+    monkeypatch.undo()
+    assert small == L.run_hashes(L.text_sums(b" ".join(text.split())), 2).tolist() and len(set(small)) == 5
+    assert [len(x) for x in L.word_spans(b"")] == [0, 0] and len(L.run_hashes(L.text_sums(b" \n"), 1)) == 0

@@ -1,5 +1,7 @@
 """The pipeline against a plain version of every stage on a small table."""
 
+import re
+
 import public_tokenizers
 
 import corpus_pipeline
@@ -15,8 +17,8 @@ def plain(texts):
     for i in sorted(texts):
         words = texts[i].encode().split()
         runs = [tuple(words[k : k + 50]) for k in range(len(words) - 49)]
-        where = line_dedup._spans(texts[i].encode(), words)
-        out[i] = line_dedup.delete(texts[i].encode(), [(int(where[k, 0]), int(where[k + 49, 1])) for k, r in enumerate(runs) if r in seen]).decode()
+        where = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", texts[i].encode())]
+        out[i] = line_dedup.delete(texts[i].encode(), [(where[k][0], where[k + 49][1]) for k, r in enumerate(runs) if r in seen]).decode()
         seen.update(runs)
     ids = sorted(out)
     near = [(i, j) for i in ids for j in ids if j < i and similarity(out[i].encode(), out[j].encode()) >= 0.8]
