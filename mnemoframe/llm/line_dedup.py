@@ -69,9 +69,26 @@ def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def text_sums(text: bytes) -> np.ndarray:
+class Words:
+    """The words of a text by their places, cut out only where they are asked for."""
+
+    def __init__(self, text: bytes):
+        self.text = text
+        self.starts, self.ends = word_spans(text)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, at: int | slice) -> bytes | list[bytes]:
+        if isinstance(at, slice):
+            some = range(len(self))[at]
+            return self.text[self.starts[some[0]] : self.ends[some[-1]]].split() if some else []
+        return self.text[self.starts[at] : self.ends[at]]
+
+
+def text_sums(text: bytes, spans: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """What :func:`run_hashes` takes, computed once for all widths: sums over the hashes of the words, which are taken from the bytes a stretch at a time."""
-    starts, ends = word_spans(text)
+    starts, ends = spans or word_spans(text)
     raw, hashes, i = np.frombuffer(text, np.uint8), np.empty(len(starts), np.uint64), 0
     while i < len(starts):
         at = int(starts[i])
@@ -143,7 +160,7 @@ def _chain(values: list[int]) -> list[int]:
 
 
 def common_blocks(
-    earlier: list[bytes], later: list[bytes], width: int = WIDTH, least: int = MIN_WORDS, sums: tuple[np.ndarray, np.ndarray] | None = None,
+    earlier: list[bytes] | Words, later: list[bytes] | Words, width: int = WIDTH, least: int = MIN_WORDS, sums: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> list[tuple[int, int]]:
     """Word ranges of ``later`` that ``earlier`` holds too, of ``least`` words or more, in order; ``sums`` are those of both, which :func:`run_hashes` takes."""
     if earlier == later:
@@ -153,7 +170,7 @@ def common_blocks(
     return sorted(found + _left_over(earlier, later, found, least, sums))
 
 
-def _left_over(earlier: list[bytes], later: list[bytes], found: list[tuple[int, int]], least: int, sums: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
+def _left_over(earlier: list[bytes] | Words, later: list[bytes] | Words, found: list[tuple[int, int]], least: int, sums: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
     """Word ranges between the blocks ``found`` that consist of runs of ``least`` words which ``earlier`` holds anywhere."""
     edges = [0, *(x for block in sorted(found) for x in block), len(later)]
     gaps = [(s, e) for s, e in zip(edges[::2], edges[1::2]) if e - s >= least]
@@ -206,7 +223,7 @@ def common_lines(earlier: bytes, later: bytes, least: int) -> list[tuple[int, in
     return [b[i][1:] for x, y in common_blocks(own, other, 1, 1, sums) for i in range(x, y)]
 
 
-def _aligned(earlier: list[bytes], later: list[bytes], width: int, least: int, sums: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
+def _aligned(earlier: list[bytes] | Words, later: list[bytes] | Words, width: int, least: int, sums: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
     """Common blocks by one patience alignment."""
     a, b = (run_hashes(x, width) for x in sums)
     if not len(a) or not len(b):
@@ -337,9 +354,9 @@ def _first(found: DataFrame) -> DataFrame:
     return found.groupBy("a").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count(F.lit(1)).alias("n")).filter("last > first").select("a", "first", "n")
 
 
-def _with_first(found: DataFrame, first: DataFrame) -> DataFrame:
+def _with_first(shared: DataFrame) -> DataFrame:
     """(later, earlier, line): holders with the first one, and whether they share a real line, a run of words, or both (a row each)."""
-    both = found.join(small(first.select("a", "first")), "a").filter("k > first")
+    both = shared.filter("k > first")
     return both.select(F.col("k").alias("later"), F.col("first").alias("earlier"), F.col("a").bitwiseAND(1).cast("boolean").alias("line")).distinct()
 
 
@@ -353,21 +370,23 @@ def pairs(
     line = F.col("a").bitwiseAND(1) == 1
     found = cut(anchors(docs, key, text, width, least, line_words), "anchors")
     first = cut(_first(found), "shared")
-    marked = cut(found.join(small(first.filter((F.col("n") > 2) & ~line).select("a")), "a").groupBy("k").agg(F.collect_set("a").alias("marks")), "marked")
-    two = cut(_with_first(found, first.filter(F.when(line, F.col("n") <= RARE_DOCS).otherwise(F.col("n") == 2))), "pairs-of-two")
-    common = found.join(small(first.filter(line & (F.col("n") > RARE_DOCS)).select("a", "first")), "a").filter("k > first")
-    boilerplate = cut(common.groupBy(F.col("k").alias("id")).agg(F.collect_set("a").alias("lines")), "boilerplate")  # a text's own lines at most
+    shared = cut(found.join(small(first), "a"), "holders")
     drop_cut(found)
     drop_cut(first)
+    marked = cut(shared.filter((F.col("n") > 2) & ~line).groupBy("k").agg(F.collect_set("a").alias("marks")), "marked")
+    two = cut(_with_first(shared.filter(F.when(line, F.col("n") <= RARE_DOCS).otherwise(F.col("n") == 2))), "pairs-of-two")
+    common = shared.filter(line & (F.col("n") > RARE_DOCS) & (F.col("k") > F.col("first")))
+    boilerplate = cut(common.groupBy(F.col("k").alias("id")).agg(F.collect_set("a").alias("lines")), "boilerplate")  # a text's own lines at most
+    drop_cut(shared)
     release(docs.sparkSession)
     runs = cut(whole_runs(docs, marked, key, text, width, least), "runs")
     drop_cut(marked)
     first = cut(_first(runs), "shared-runs")
-    both = two.unionByName(_with_first(runs, first).withColumn("line", F.lit(False)))
+    both = two.unionByName(_with_first(runs.join(small(first), "a")).withColumn("line", F.lit(False)))
     out = cut(both.groupBy("later", "earlier").agg(F.bool_or(~F.col("line")).alias("runs"), F.bool_or("line").alias("lines")), "pairs")
     for x in (two, runs, first):
         drop_cut(x)
-    del x, two, runs, first, both, marked, common, found
+    del x, two, runs, first, both, marked, common, shared, found
     release(docs.sparkSession)
     return out, boilerplate
 
@@ -394,17 +413,20 @@ def dedup_lines(
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             later, th, spans = [], [], []
-            last, words, sums = b"", [], text_sums(b"")  # pairs of one later text mostly follow each other
+            last, words, sums = b"", Words(b""), text_sums(b"")  # pairs of one later text mostly follow each other
             rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist())
             for k, h, t, e, by_runs, by_lines in rows:
                 t, e, own = _bytes(t), _bytes(e), []
                 if by_runs:
                     if t != last:
-                        last, words = t, t.split()
-                        sums = text_sums(t)
-                    blocks = [(0, len(words))] * (len(words) >= least) if t == e else common_blocks(e.split(), words, width, least, (text_sums(e), sums))
-                    starts, ends = word_spans(t) if blocks else ((), ())
-                    own = [(int(starts[x]), int(ends[y - 1])) for x, y in blocks]
+                        last, words = t, Words(t)
+                        sums = text_sums(t, (words.starts, words.ends))
+                    if t == e:
+                        blocks = [(0, len(words))] * (len(words) >= least)
+                    else:
+                        other = Words(e)
+                        blocks = common_blocks(other, words, width, least, (text_sums(e, (other.starts, other.ends)), sums))
+                    own = [(int(words.starts[x]), int(words.ends[y - 1])) for x, y in blocks]
                 if by_lines:  # lines inside a passage that goes are gone with it
                     own = _merged(own + common_lines(e, t, line_words))
                 if own:
