@@ -48,6 +48,15 @@ def test_half_even(spark):
     assert ask(spark, X.half_even(F.col("t")), numbers, "t double") == [f"{abs(x) if x == 0 else x:.3f}" for x in numbers]
 
 
+def test_half_even_at_the_ends(spark):
+    """Negative zeros, numbers beyond seventeen digits, what is no number, and null."""
+    rng = random.Random(4)
+    inf = float("inf")
+    numbers = [-0.0, -1e-9, 5e-324, 803372835579624.0, 2.0**50 + 0.25, -(2.0**52) - 0.5, 2.0**53 + 2, -4.658643736660667e18, 1e22, 1.7e308, -inf, inf, float("nan")] + [rng.uniform(-1, 1) * 10.0 ** rng.randrange(12, 40) for _ in range(300)]
+    assert ask(spark, X.half_even(F.col("t")), numbers, "t double") == [f"{x:.3f}" for x in numbers]
+    assert ask(spark, X.mean_and_std(F.col("t"), F.lit(1.0)), [None, -0.0], "t double") == [None, "-0.000 ± 1.000"]
+
+
 def test_entailment_by_a_scorer(spark):
     import pandas as pd
 
