@@ -52,3 +52,32 @@ def test_plan_follows_the_size(spark, monkeypatch, limit, plan):
     s, q, _, _ = data(spark, 50)
     assert store.retrieve(s, q, 2).count() > 0
     assert used == [{"bounded": "_by_bounds", "join": "_by_every_token"}[plan]]
+
+
+@pytest.mark.parametrize("lot", [40, 16_384])
+def test_lots_of_records_and_queries(spark, monkeypatch, lot):
+    """Users cut into lots and users that share one, ids that are structs: what the join on every token gives."""
+    monkeypatch.setattr(store, "RECORD_LOT", lot)
+    monkeypatch.setattr(store, "QUERY_LOT", max(3, lot // 4))
+    s, q, _, _ = data(spark, 400)
+    q = q.withColumn("query_id", F.struct("query_id", F.lit("x").alias("y")))
+    rows = lambda plan: sorted((r.query_id.query_id, r["rank"], r.seq, r.score) for r in store.retrieve(s, q, 3, plan).collect())
+    assert rows("bounded") == rows("join")
+
+
+@pytest.mark.parametrize("cells", [1, 200])
+def test_counting_in_small_steps(monkeypatch, cells):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    some = lambda n: rng.sample([f"w{i}" for i in range(30)], n)
+    left = pa.table({"query_id": list(range(20)), "user_id": [rng.choice("uv") for _ in range(20)], "needed": [some(rng.randrange(6)) for _ in range(20)], "rest": [[] for _ in range(20)], "left_out": [0] * 20, "floor": [rng.randrange(3) for _ in range(20)]}, pa.schema([("query_id", pa.int64()), ("user_id", pa.string()), ("needed", pa.list_(pa.string())), ("rest", pa.list_(pa.string())), ("left_out", pa.int64()), ("floor", pa.int64())]))
+    right = pa.table({"user_id": [rng.choice("uvw") for _ in range(80)], "seq": rng.sample(range(200), 80), "words": [some(rng.randrange(9)) for _ in range(80)]})
+    monkeypatch.setattr(store, "CELLS", cells)
+    monkeypatch.setattr(store, "SHARED", cells)
+    got = {}
+    for r in store._best(left, right, 4).to_pylist():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["seq"]))
+    for q in left.to_pylist():
+        own = sorted((-x, r["seq"]) for r in right.to_pylist() if r["user_id"] == q["user_id"] and (x := len({*q["needed"]} & {*r["words"]})) >= max(1, q["floor"]))
+        assert got.get(q["query_id"], []) == own[:4]
