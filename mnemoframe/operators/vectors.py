@@ -7,9 +7,9 @@ to the centre allows.  A query is first compared with some members of its neares
 these is a bound, and only cells that can still beat it are visited.  The result is exact, whatever
 the centres, which are fitted on a bounded sample and only decide how much is pruned.
 
-Queries and base meet by cell.  Large cells are dealt to lots, and so are the queries that visit
-a cell, so that no task holds more than one lot of each; what meets is multiplied as matrices, and
-the best k of each query leave.  The driver sees one row a cell.
+Queries and base meet by area: some cells that fill a lot together, or one large cell.  Large cells are dealt to lots, and so are the queries that visit
+an area, so that no task holds more than one lot of each; a query goes to an area once, with the list of cells that it visits there.  What meets in a cell is
+multiplied as matrices, and the best k of each query leave.  The driver sees one row a cell.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from mnemoframe.plans.lineage import cut
 CELLS, CELL_ROWS, SAMPLE_ROWS = 4096, 256, 50_000
 #: Base rows, and queries, of one lot.
 LOT, QUERY_LOT = 4096, 8192
+#: Pairs of row and cell that a task looks at together, and rows that it passes on together.
+PAIRS, EMIT_ROWS = 1 << 20, 4096
 #: Digits of a cosine that count: what differs behind them is a tie.
 DIGITS = 12
 #: Angles and cosines within this of a bound are not pruned.
@@ -49,6 +51,17 @@ class Index:
     def rows(self) -> int:
         return sum(n for n, _, _ in self.cells.values())
 
+    def areas(self) -> dict[int, int]:
+        """The area of each cell: neighbours by number share one up to ``LOT`` rows; vectors without direction have their own."""
+        out, area, filled = {}, -1, LOT
+        for c in sorted(self.cells):
+            n = self.cells[c][0]
+            if filled + n > LOT or c == _NOWHERE:
+                area, filled = area + 1, 0
+            filled += LOT if c == _NOWHERE else n
+            out[c] = area
+        return out
+
 
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
@@ -74,6 +87,11 @@ def _angles(dots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(dots, -1.0, 1.0))
 
 
+def _steps(rows: int, cells: int) -> Iterator[slice]:
+    step = max(1, PAIRS // max(1, cells))
+    return (slice(at, min(at + step, rows)) for at in range(0, rows, step))
+
+
 def build_index(base: DataFrame, cells: int | None = None, sample_rows: int = SAMPLE_ROWS) -> Index | None:
     """The inverted file of ``base`` (base_id, vector), written once; None if no row has a vector.
 
@@ -98,9 +116,11 @@ def build_index(base: DataFrame, cells: int | None = None, sample_rows: int = SA
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = _unit(_matrix(b.column(1), centres.shape[1]))
-            dots = m @ centres.T
-            cell = dots.argmax(axis=1)
-            angle = _angles(dots[np.arange(len(m)), cell])
+            cell, angle = np.zeros(len(m), np.int64), np.zeros(len(m))
+            for at in _steps(len(m), len(centres)):
+                dots = m[at] @ centres.T
+                cell[at] = dots.argmax(axis=1)
+                angle[at] = _angles(dots.max(axis=1))
             cell = np.where((m != 0).any(axis=1), cell, _NOWHERE)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell.astype(np.int32)), pa.array(angle), _lists(m)], names=["base_id", "cell", "angle", "vector"])
 
@@ -115,34 +135,44 @@ def _lots(n: int) -> int:
 
 
 def _blocks(index: Index, wanted: DataFrame, k: int) -> DataFrame:
-    """(query_id, base_id, score): of each (query_id, vector, floor, cell, lot) wanted, the k best members of that lot with a score of ``floor`` or more."""
+    """(query_id, base_id, score): of each (query_id, vector, floor, area, lot, cells) wanted, the k best members of each of those cells in that lot with a score of ``floor`` or more."""
     spark, d = wanted.sparkSession, index.centres.shape[1]
     wanted = cut(wanted)
-    visits = wanted.groupBy("cell", "lot").agg(F.ceil(F.count(F.lit(1)) / QUERY_LOT).cast("int").alias("query_lots"))
-    sizes = spark.createDataFrame([(c, _lots(n)) for c, (n, _, _) in index.cells.items()], "cell int, lots int")  # one row a cell
+    visits = wanted.groupBy("area", "lot").agg(F.ceil(F.count(F.lit(1)) / QUERY_LOT).cast("int").alias("query_lots"))
+    areas = index.areas()
+    sizes = spark.createDataFrame([(c, areas[c], _lots(n)) for c, (n, _, _) in index.cells.items()], "cell int, area int, lots int")  # one row a cell
     members = index.table.join(F.broadcast(sizes), "cell").withColumn("lot", F.pmod(F.xxhash64("base_id"), F.col("lots")).cast("int"))
-    members = members.join(visits, ["cell", "lot"]).select("cell", "lot", F.explode(F.sequence(F.lit(0), F.col("query_lots") - 1)).alias("part"), "base_id", F.col("vector").alias("v"))
-    asking = wanted.join(visits, ["cell", "lot"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("query_lots")).cast("int")).select("cell", "lot", "part", "query_id", "vector", "floor")
+    members = members.join(visits, ["area", "lot"]).select("area", "lot", F.explode(F.sequence(F.lit(0), F.col("query_lots") - 1)).alias("part"), "cell", "base_id", F.col("vector").alias("v"))
+    asking = wanted.join(visits, ["area", "lot"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("query_lots")).cast("int")).select("area", "lot", "part", "query_id", "vector", "floor", "cells")
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         q, m = _matrix(left.column("vector"), d), _matrix(right.column("v"), d)
         own, ids, floor = left.column("query_id").to_numpy(), right.column("base_id").to_numpy(), left.column("floor").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, m = ids[order], m[order]
+        cell = right.column("cell").to_numpy()
+        order = np.lexsort((ids, cell))
+        ids, m, cell = ids[order], m[order], cell[order]
+        visited = left.column("cells").combine_chunks()
+        visitor = np.repeat(np.arange(len(q)), visited.value_lengths().to_numpy(zero_copy_only=False))
+        asked = visited.flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(asked, kind="stable")
+        visitor, asked = visitor[order], asked[order]
         found: list[list[np.ndarray]] = [[own[:0]], [ids[:0]], [np.zeros(0)]]
-        for at in range(0, len(q) if len(m) else 0, 512):
-            s = np.round(q[at : at + 512] @ m.T, DIGITS)
-            s[own[at : at + 512, None] == ids[None, :]] = -np.inf
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]  # stable: ties by base id
-            rows = np.repeat(np.arange(len(s)), top.shape[1])
-            score = s[rows, top.ravel()]
-            good = np.isfinite(score) & (score >= floor[at + rows] - _SLACK)
-            for x, y in zip(found, (own[at + rows[good]], ids[top.ravel()[good]], score[good])):
-                x.append(y)
+        for c in np.unique(cell):
+            here, who = slice(*np.searchsorted(cell, (c, c + 1))), visitor[slice(*np.searchsorted(asked, (c, c + 1)))]
+            for at in range(0, len(who), 512):
+                some = who[at : at + 512]
+                s = np.round(q[some] @ m[here].T, DIGITS)
+                s[own[some, None] == ids[None, here]] = -np.inf
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]  # stable: ties by base id
+                rows = np.repeat(np.arange(len(s)), top.shape[1])
+                score = s[rows, top.ravel()]
+                good = np.isfinite(score) & (score >= floor[some[rows]] - _SLACK)
+                for x, y in zip(found, (own[some[rows[good]]], ids[here][top.ravel()[good]], score[good])):
+                    x.append(y)
         return pa.table({name: np.concatenate(x) for name, x in zip(("query_id", "base_id", "score"), found)})
 
     kinds = (wanted.schema["query_id"].dataType.simpleString(), index.table.schema["base_id"].dataType.simpleString())
-    both = asking.groupBy("cell", "lot", "part").cogroup(members.groupBy("cell", "lot", "part"))
+    both = asking.groupBy("area", "lot", "part").cogroup(members.groupBy("area", "lot", "part"))
     return both.applyInArrow(best, f"query_id {kinds[0]}, base_id {kinds[1]}, score double")
 
 
@@ -152,48 +182,64 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def visits(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, vector, floor, cell, lot): the lots of all cells that can hold one of the k best of each query.
+    """(query_id, vector, floor, area, lot, cells): the lots of all cells that can hold one of the k best of each query, an area's cells in one row.
 
     ``floor`` is the k-th best cosine among the first lots of the cells nearest to the query that hold enough members together; -2 if there are too few.
     """
-    d, centres, nowhere = index.centres.shape[1], index.centres, index.cells.get(_NOWHERE, (0,))[0]
+    d, centres, nowhere = index.centres.shape[1], index.centres, _NOWHERE in index.cells
     names = np.array(sorted(c for c in index.cells if c != _NOWHERE), dtype=np.int64)
     count, low, high = (np.array([index.cells[int(c)][i] for c in names]) for i in range(3))
     count = count.astype(np.int64)
     first = np.minimum(count, np.maximum(1, count // np.maximum(1, -(-count // LOT)) // 2))  # what the first lot holds at least, or nearly
+    areas = index.areas()
+    every = np.array(sorted(areas), dtype=np.int64)
+    area_of = np.array([areas[int(c)] for c in every], dtype=np.int64)
+    lots_of = np.zeros(len(every) and area_of.max() + 1, np.int64)
+    np.maximum.at(lots_of, area_of, [_lots(index.cells[int(c)][0]) for c in every])
     kind = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {kind}, vector array<double>, floor double, cell int, lot int"
-
-    def emit(b: pa.RecordBatch, q: np.ndarray, floor: np.ndarray, rows: np.ndarray, cells: np.ndarray, lots: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [b.column(0).take(pa.array(rows)), _lists(q[rows]), pa.array(floor[rows]), pa.array(cells.astype(np.int32)), pa.array(lots.astype(np.int32))],
-            names=["query_id", "vector", "floor", "cell", "lot"],
-        )
+    schema = f"query_id {kind}, vector array<double>, floor double, area int, lot int, cells array<int>"
+
+    def emit(ids: pa.Array, q: np.ndarray, floor: np.ndarray, rows: np.ndarray, cells: np.ndarray, all_lots: bool) -> Iterator[pa.RecordBatch]:
+        if not len(rows):
+            return
+        area = area_of[np.searchsorted(every, cells)]
+        order = np.lexsort((cells, area, rows))
+        rows, cells, area = rows[order], cells[order], area[order]
+        starts = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (area[1:] != area[:-1]))))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)), pa.array(cells.astype(np.int32)))
+        rows, area = rows[starts], area[starts]
+        lots = lots_of[area] if all_lots else np.ones(len(area), np.int64)
+        each = np.repeat(np.arange(len(area)), lots)
+        within = np.arange(lots.sum()) - np.repeat(np.cumsum(lots) - lots, lots)
+        for at in range(0, len(each), EMIT_ROWS):
+            x, lot = each[at : at + EMIT_ROWS], within[at : at + EMIT_ROWS]
+            columns = [ids.take(pa.array(rows[x])), _lists(q[rows[x]]), pa.array(floor[rows[x]]), pa.array(area[x].astype(np.int32)), pa.array(lot.astype(np.int32)), lists.take(pa.array(x))]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vector", "floor", "area", "lot", "cells"])
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q = _unit(_matrix(b.column(1), d))
-            order = np.argsort(-(q @ centres[names].T), axis=1, kind="stable")
-            before = np.cumsum(first[order], axis=1) - first[order]
-            rows, at = np.nonzero(before < k + 1)
-            cells = names[order[rows, at]]
-            yield emit(b, q, np.full(len(q), -2.0), rows, cells, np.zeros(len(rows)))
+            every_q = _unit(_matrix(b.column(1), d))
+            for step in _steps(len(every_q), len(names)):
+                q = every_q[step]
+                order = np.argsort(-(q @ centres[names].T), axis=1, kind="stable")
+                before = np.cumsum(first[order], axis=1) - first[order]
+                rows, at = np.nonzero(before < k + 1)
+                yield from emit(b.column(0).slice(step.start, len(q)), q, np.full(len(q), -2.0), rows, names[order[rows, at]], False)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q, floor = _unit(_matrix(b.column(1), d)), b.column(2).to_numpy(zero_copy_only=False)
-            theta = _angles(q @ centres[names].T)
-            gap = np.maximum(0, np.maximum(theta - high, low - theta))
-            could = np.where((q != 0).any(axis=1)[:, None], np.cos(np.minimum(gap, np.pi)), 0.0)
-            rows, at = np.nonzero(could >= floor[:, None] - _SLACK)
-            cells, sizes = names[at], count[at]
-            if nowhere:
-                zero = np.flatnonzero(floor <= _SLACK)
-                rows, cells = np.concatenate([rows, zero]), np.concatenate([cells, np.full(len(zero), _NOWHERE)])
-                sizes = np.concatenate([sizes, np.full(len(zero), nowhere)])
-            lots = -(-sizes // LOT)
-            within = np.arange(lots.sum()) - np.repeat(np.cumsum(lots) - lots, lots)
-            yield emit(b, q, floor, np.repeat(rows, lots), np.repeat(cells, lots), within)
+            every_q, floors = _unit(_matrix(b.column(1), d)), b.column(2).to_numpy(zero_copy_only=False)
+            for step in _steps(len(every_q), len(names)):
+                q, floor = every_q[step], floors[step]
+                theta = _angles(q @ centres[names].T)
+                gap = np.maximum(0, np.maximum(theta - high, low - theta))
+                could = np.where((q != 0).any(axis=1)[:, None], np.cos(np.minimum(gap, np.pi)), 0.0)
+                rows, at = np.nonzero(could >= floor[:, None] - _SLACK)
+                cells = names[at]
+                if nowhere:
+                    zero = np.flatnonzero(floor <= _SLACK)
+                    rows, cells = np.concatenate([rows, zero]), np.concatenate([cells, np.full(len(zero), _NOWHERE)])
+                yield from emit(b.column(0).slice(step.start, len(q)), q, floor, rows, cells, True)
 
     queries = _whole(queries.select("query_id", "vector"))
     if len(names):
@@ -212,7 +258,7 @@ def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
 
 def pruned_share(index: Index, queries: DataFrame, k: int = 5) -> float:
     """The share of pairs of query and base row that a search never compares."""
-    seen = visits(index, queries, k).filter("lot = 0").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a cell
+    seen = visits(index, queries, k).filter("lot = 0").select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a cell
     compared = sum(r.n * index.cells[r.cell][0] for r in seen)
     return 1 - compared / max(1, _whole(queries.select("query_id", "vector")).count() * index.rows)
 

@@ -54,6 +54,18 @@ def test_few_and_faulty_rows(spark):
     assert {(r.query_id, r.base_id, r.score) for r in vectors.top_k(own, zeros).collect()} == {(1, 2, 0.0), (2, 1, 0.0)}
 
 
+def test_a_query_goes_to_an_area_once(spark):
+    """Cells share an area up to a lot, so that a query's vector is not repeated for each cell, and no batch holds more than a few rows."""
+    rng = np.random.default_rng(5)
+    base, queries = frames(spark, [(i, rng.normal(size=4).tolist()) for i in range(300)])
+    index = vectors.build_index(base, 16)
+    seen = vectors.visits(index, queries.filter("query_id < 50"), 5)
+    assert len(index.cells) > 8 and seen.count() == seen.select("query_id").distinct().count() == 50
+    assert seen.agg(F.max(F.size("cells"))).first()[0] > 1
+    areas = vectors.Index(index.table, index.centres, {-1: (9, 0.0, 0.0), 0: (4000, 0.0, 1.0), 1: (90, 0.0, 1.0), 2: (7, 0.0, 1.0), 3: (9000, 0.0, 1.0), 4: (1, 0.0, 1.0)}).areas()
+    assert areas == {-1: 0, 0: 1, 1: 1, 2: 2, 3: 3, 4: 4}
+
+
 def test_nothing_is_collected(spark, small, monkeypatch):
     from pyspark.sql import classic
 
