@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of a split, and of what is looked at together.
-SPLIT, CHUNK = 16 << 20, 1 << 20
+#: Bytes of a split, and of what is looked at together (a hundred times as much is in use meanwhile).
+SPLIT, CHUNK = 16 << 20, 1 << 17
 
 #: (inside a string, behind an open escape)
 State = tuple[int, int]

@@ -106,3 +106,16 @@ def test_attempts_that_are_not_named_do_not_count(tmp_path):
     folder = tmp_path / "exp=x" / "seed=1"
     assert "".join(p.read_text() for p in sorted((folder / "run_log.jsonl").iterdir())) == "".join(r.value + "\n" for r in rows)
     assert [p.name for p in tmp_path.iterdir()] == ["exp=x"]
+
+
+def test_memory_of_a_split_is_bounded(tmp_path):
+    import tracemalloc
+
+    path = tmp_path / "a.json"
+    path.write_text(json.dumps([{"raw_id": f"m{i}", "text": "word " * 100} for i in range(8_000)]))
+    tracemalloc.start()
+    try:
+        n = sum(1 for _ in json_arrays._records(f"file://{path}", 0, path.stat().st_size, (0, 0), 0))
+        assert n == 8_000 and tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
