@@ -135,3 +135,16 @@ def test_an_index_is_read_without_a_shuffle(spark, small):
     finally:
         index.drop()
     assert not spark.catalog.tableExists(index.tables[0])
+
+
+def test_texts_are_not_read_for_short_keys_where_there_are_none(spark, monkeypatch):
+    from mnemoframe.operators import match
+
+    texts = spark.createDataFrame([(1, "one two three four"), (2, "two three"), (3, "zero one two three")], "text_id long, normal string")
+    keys = spark.createDataFrame([(1, "one two three"), (2, "no one here")], "key_id long, key string")
+    used = []
+    plain = match._automaton
+    monkeypatch.setattr(match, "_automaton", lambda *a: used.append(a) or plain(*a))
+    assert sorted(map(tuple, match.contains_join(keys, texts, "tokens").collect())) == [(1, 1), (1, 3)] and not used
+    keys = keys.unionByName(spark.createDataFrame([(3, "wo")], "key_id long, key string"))
+    assert sorted(map(tuple, match.contains_join(keys, texts, "tokens").collect())) == [(1, 1), (1, 3), (3, 1), (3, 2), (3, 3)] and len(used) == 1
