@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.llm.common import bounded_batches, cut, drop_cut, small
-from mnemoframe.llm.packing import CAPACITY, CHUNK, Encoder, best_fit, encoder, slots
+from mnemoframe.llm.packing import CAPACITY, Encoder, best_fit, encoder, lots, slots
 
 
 def class_sizes(capacity: int = CAPACITY) -> np.ndarray:
@@ -51,21 +51,13 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
         enc, end, task = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId()
         own = np.zeros(capacity + 1, np.int64)
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size >= CHUNK:
-                yield cut_up(held, enc, end, own, task)
-                held, size = [], 0
-        if held:
-            yield cut_up(held, enc, end, own, task)
+        for part in lots(batches):
+            yield cut_up(part, enc, end, own, task)
         pa.default_memory_pool().release_unused()
 
     sizes = class_sizes(capacity)
 
-    def cut_up(held: list[pa.RecordBatch], enc: Encoder, end: bytes, own: np.ndarray, task: int) -> pa.RecordBatch:
-        part = pa.Table.from_batches(held).combine_chunks()
+    def cut_up(part: pa.Table, enc: Encoder, end: bytes, own: np.ndarray, task: int) -> pa.RecordBatch:
         column = pc.fill_null(part.column(1), "").cast(pa.large_string()).combine_chunks()
         column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
         rows: list[tuple[int, int, int, int, int, int]] = []

@@ -42,12 +42,12 @@ CAPACITY = 2048
 GROUPS = 64
 #: Lengths up to this are small: they wait for the slack.
 SMALL = 100
-#: Words of a generation whose ids a worker remembers; it keeps two (about 40 bytes a word).
-CACHE = 800_000
+#: Words of a generation whose ids a worker remembers; it keeps two (about 50 bytes a word).
+CACHE = 400_000
 #: Words of more bytes are not remembered.
 LONG = 48
-#: Bytes of texts encoded together: the more, the fewer words are looked up twice.
-CHUNK = 6 << 20
+#: Bytes of texts encoded together: the more, the fewer words are looked up twice, and the more a worker needs.
+CHUNK = 2 << 20
 #: White space beyond ASCII, control characters, and what may start a special token: such texts are encoded whole.
 _ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0 ᠎ -‏ -  　﻿]")
 
@@ -94,7 +94,7 @@ class Words:
         if 2 * n > len(self.table):
             used = np.flatnonzero(self.table)
             old, which = self.table[used], self.which[used]
-            room = 1 << (4 * n).bit_length()
+            room = 1 << (2 * n).bit_length()
             self.table, self.which = np.zeros(room, np.uint64), np.zeros(room, np.int32)
             self._put(old, which)
         self._put(h, np.arange(first, n, dtype=np.int32))
@@ -277,24 +277,36 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of ``batches`` (key, text) in order, in tables of at most ``CHUNK`` bytes of text (and 16 a row), whatever the size of a batch; a longer text stands alone."""
+    held, size = [], 0
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64) + 16
+        ends, at = np.cumsum(sizes), 0
+        while at < len(ends):
+            before = int(ends[at - 1]) if at else 0
+            to = int(np.searchsorted(ends, before + CHUNK - size, side="right"))
+            if to <= at and held:  # no room for the next text
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+                continue
+            to = max(to, at + 1)
+            held.append(b.slice(at, to - at))
+            size, at = size + int(ends[to - 1]) - before, to
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Per piece: key, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, wide = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size >= CHUNK:
-                yield cut_up(held, enc, end, wide)
-                held, size = [], 0
-        if held:
-            yield cut_up(held, enc, end, wide)
+        for part in lots(batches):
+            yield cut_up(part, enc, end, wide)
         pa.default_memory_pool().release_unused()
 
-    def cut_up(held: list[pa.RecordBatch], enc: Encoder, end: bytes, wide: int) -> pa.RecordBatch:
-        part = pa.Table.from_batches(held).combine_chunks()
+    def cut_up(part: pa.Table, enc: Encoder, end: bytes, wide: int) -> pa.RecordBatch:
         take, piece, start, length, crc = [], [], [], [], []
         column = pc.fill_null(part.column(1), "").cast(pa.large_string()).combine_chunks()
         column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column

@@ -1,7 +1,9 @@
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from mnemoframe.llm import packing
@@ -83,3 +85,50 @@ def test_edges(spark):
     assert check(got, dict(rows)) == 3
     assert len(got) == 5 + 3
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_memory_does_not_follow_the_batch(spark, monkeypatch):
+    """One batch of 30 MB of long texts: a worker holds parts of it, and the pieces are those of the whole."""
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(w) for w in rng.choice(list("abcdefgh"), (3_000, 6))])
+    texts = [" ".join(rng.choice(words, 4_300)) for _ in range(1_000)]
+    texts[3:7] = [None, "", " ", "word " * 600_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_000)), pa.array(texts)], names=["k", "t"])
+    frame, work = spark.createDataFrame([], "doc_id long, text string"), []
+    with monkeypatch.context() as m:
+        m.setattr(type(frame), "mapInArrow", lambda df, run, schema: work.append(run) or df)
+        packing.pieces(frame, PATH)
+    packing.encoder(PATH).encode(texts[:3])
+    tracemalloc.start()
+    rows = [row for out in work[0](iter([batch.slice(0, 0), batch])) for row in zip(*[out.column(i).to_pylist() for i in (0, 3)])]
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 100 << 20, peak >> 20
+    lengths = np.bincount(*np.array(rows).T)
+    assert [k for k, _ in rows] == sorted(k for k, _ in rows) and lengths[[3, 4, 5]].tolist() == [1, 1, 1]
+    tok = Tokenizer.from_file(PATH)
+    for k in (0, 2, 6, 7, 500, 999):
+        assert lengths[k] == len(tok.encode(texts[k], add_special_tokens=False).ids) + 1
+
+
+def test_known_words_need_few_bytes(monkeypatch):
+    """The table doubles as words come, so that a word needs no more than 85 bytes right after it has grown."""
+    rng, words = np.random.default_rng(7), packing.Words(np.uint16)
+    for _ in range(54):
+        h = rng.integers(1, 1 << 63, 10_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        words.add(h, np.full(10_000, 3), np.arange(30_000).astype(np.uint16))
+        sizes, ids = words.gather(words.find(h))
+        assert (sizes == 3).all() and (ids == np.arange(30_000)).all()
+    held = sum(x.nbytes for x in (words.table, words.which, words.starts, words.ids))
+    assert held < 85 * words.n, held / words.n
+
+
+def test_lots_keep_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 100)
+    texts = [None, "", "a" * 90, "b" * 300, "é" * 20, *[""] * 50, "c" * 84, "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"])
+    for cuts in ([0, len(texts)], [0, 0, 1, 4, 4, 30, len(texts)]):
+        parts = list(packing.lots(iter([batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:])])))
+        assert [(r["k"], r["t"]) for part in parts for r in part.to_pylist()] == list(enumerate(texts))
+        assert all(part.num_rows == 1 or sum(16 + len((t or "").encode()) for t in part.column(1).to_pylist()) <= 100 for part in parts)
+    assert list(packing.lots(iter([]))) == []
