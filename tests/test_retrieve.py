@@ -81,3 +81,43 @@ def test_counting_in_small_steps(monkeypatch, cells):
     for q in left.to_pylist():
         own = sorted((-x, r["seq"]) for r in right.to_pylist() if r["user_id"] == q["user_id"] and (x := len({*q["needed"]} & {*r["words"]})) >= max(1, q["floor"]))
         assert got.get(q["query_id"], []) == own[:4]
+
+
+def test_every_first_turn_is_a_query(spark, small):
+    """The registered query and its SQL ask for all conversations, not for some."""
+    from mnemoframe.queries import ORACLES, QUERIES, _t
+
+    from tests.oracle import connect
+
+    want = sorted(r.conv_id for r in _t(spark, small, "conversations").filter("turn = 0").collect())
+    assert len(want) > 10
+    assert sorted(r.conv_id for r in QUERIES["topk_lexical_bounded"](spark, small).select("conv_id").distinct().collect()) == want
+    assert sorted(x for (x,) in connect(small).execute(f"SELECT DISTINCT conv_id FROM ({ORACLES['topk_lexical_bounded']})").fetchall()) == want
+
+
+def test_records_without_text(spark):
+    s = spark.createDataFrame([("u", 0, None), ("u", 1, "a b"), ("u", 2, " "), ("u", 3, "b c"), ("v", 4, None)], "user_id string, seq long, text string")
+    q = spark.createDataFrame([(1, "u", "b c"), (2, "v", "b"), (3, "u", " ")], "query_id long, user_id string, query string")
+    rows = lambda plan: sorted((r.query_id, r["rank"], r.seq, r.score) for r in store.retrieve(s, q, 2, plan).collect())
+    assert rows("bounded") == rows("join") == [(1, 1, 3, 2), (1, 2, 1, 1), (2, 1, 4, 0), (3, 1, 0, 0), (3, 2, 1, 0)]
+
+
+@pytest.mark.parametrize("dense,matrix", [(0, 1 << 26), (0.05, 1 << 26), (0, 600), (2, 0)])
+@pytest.mark.parametrize("cells", [50, 1 << 20])
+def test_common_and_rare_tokens(monkeypatch, dense, matrix, cells):
+    """All tokens in the matrices, some, none: the same scores; many ties, several users, users of one side only."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    some = lambda n: rng.sample([f"w{i}" for i in range(12)] + [f"r{i}" for i in range(60)], n)
+    left = pa.table({"query_id": list(range(40)), "user_id": [rng.choice("uvx") for _ in range(40)], "needed": [some(rng.randrange(9)) for _ in range(40)], "floor": [rng.randrange(4) for _ in range(40)]}, pa.schema([("query_id", pa.int64()), ("user_id", pa.string()), ("needed", pa.list_(pa.string())), ("floor", pa.int64())]))
+    right = pa.table({"user_id": [rng.choice("uuvw") for _ in range(300)], "seq": rng.sample(range(999), 300), "words": [some(rng.randrange(30)) for _ in range(300)]})
+    monkeypatch.setattr(store, "DENSE", dense)
+    monkeypatch.setattr(store, "MATRIX", matrix)
+    monkeypatch.setattr(store, "CELLS", cells)
+    got = {}
+    for r in store._best(left, right, 3).to_pylist():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["seq"]))
+    for q in left.to_pylist():
+        own = sorted((-x, r["seq"]) for r in right.to_pylist() if r["user_id"] == q["user_id"] and (x := len({*q["needed"]} & {*r["words"]})) >= max(1, q["floor"]))
+        assert got.get(q["query_id"], []) == own[:3]
